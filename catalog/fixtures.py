@@ -214,7 +214,7 @@ def oracle(sql: str, **values) -> str:
     settings = {"START": START, "CUTOFF": CUTOFF, "MATURITY": MATURITY, "WINDOW": WINDOW, "DAY": DAY, **values}
     text = sql
     for name, value in settings.items():
-        text = text.replace("{" + name + "}", repr(value) if isinstance(value, float) else str(value))
+        text = text.replace("{" + name + "}", f"{value!r}::double" if isinstance(value, float) else str(value))
     text = text.strip()
     if text.lower().startswith("with "):
         return f"with {CTES}, {text[5:]}"

@@ -28,6 +28,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
         SparkSession.builder.master(f"local[{cores}]")
         .appName("proofline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
