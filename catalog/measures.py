@@ -366,8 +366,8 @@ def drift_feature(spark, sf):
     )
 
 
-# Fixed reference: the first year of each model's volume is the baseline.
-EPOCH_1993, EPOCH_1995 = 725846400.0, 788918400.0
+# Fixed reference: two early years of each model's volume is the baseline.
+LOW, HIGH = 820454400.0, 883612800.0
 YEAR_MINUTES = 365 * 24 * 60
 REFERENCE_SQL = """
 with reference as (select * from fx_prediction_volume where predicted_at > {LOW} and predicted_at <= {HIGH}),
@@ -376,12 +376,12 @@ reference_long as (select * from fx_volume_long where predicted_at > {LOW} and p
 
 
 def with_limits(sql):
-    return sql.replace("{LOW}", f"{EPOCH_1993}::double").replace("{HIGH}", f"{EPOCH_1995}::double")
+    return sql.replace("{LOW}", f"{LOW}::double").replace("{HIGH}", f"{HIGH}::double")
 
 
 def volume_reference(spark, sf):
     at = F.col("predicted_at")
-    rows = fx.prediction_volume(spark, sf).where((at > EPOCH_1993) & (at <= EPOCH_1995))
+    rows = fx.prediction_volume(spark, sf).where((at > LOW) & (at <= HIGH))
     return rows.withColumn("baseline_id", F.concat_ws("@", F.col("model_run_id"), F.col("threshold").cast("string")))
 
 
@@ -437,7 +437,7 @@ def baseline_bins(spark, sf):
 def fixed(spark, sf):
     rows = volume_reference(spark, sf)
     baselines = rows.groupBy("baseline_id", *GROUP).agg(
-        F.lit(EPOCH_1993).alias("source_start"), F.lit(EPOCH_1995).alias("source_end")
+        F.lit(LOW).alias("source_start"), F.lit(HIGH).alias("source_end")
     )
     return drift.fixed_drift(
         fx.prediction_volume(spark, sf), baselines, drift.reference_stats(rows), YEAR_MINUTES, 3

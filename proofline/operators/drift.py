@@ -11,7 +11,7 @@ from proofline.functions.scalars import first_present, ratio
 from proofline.operators.bins import feature_psi, reference_bins
 from proofline.operators.latest import top_per_key
 from proofline.operators.scale import attach, small_table
-from proofline.operators.stats import feature_stats, percentiles
+from proofline.operators.stats import feature_stats, percentile_columns
 
 GROUP = ("model_run_id", "threshold")
 OUTPUT = ("prediction_count", "predicted_fail_ratio", "fail_probability_avg", "fail_probability_p50", "fail_probability_p95")
@@ -50,9 +50,11 @@ def window_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg(F.col("missing_count").cast("double")).alias("missing_count_avg"),
         F.max(F.col("missing_count").cast("double")).alias("missing_count_max"),
     )
-    scores = percentiles(rows, keys, "fail_probability", [0.5, 0.95], names=OUTPUT[3:])
-    missing = percentiles(rows, keys, "missing_count", [0.95], names=INPUT[1:2])
-    return attach(attach(basic, scores, keys), missing, keys)
+    wanted = {
+        "fail_probability_p50": ("fail_probability", 0.5), "fail_probability_p95": ("fail_probability", 0.95),
+        "missing_count_p95": ("missing_count", 0.95),
+    }
+    return attach(basic, percentile_columns(rows, keys, wanted), keys)
 
 
 def _family_rows(df: DataFrame, keep: Sequence[str], samples: tuple[str, str]) -> DataFrame:

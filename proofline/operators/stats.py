@@ -53,6 +53,18 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
+def percentile_columns(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact percentiles of several columns at once: output name to (column, q)."""
+    columns = sorted({column for column, _ in wanted.values()})
+    probs = sorted({q for _, q in wanted.values()})
+    pairs = F.array(*[F.struct(F.lit(c).alias("_which"), F.col(c).cast("double").alias("_value")) for c in columns])
+    found = exact_quantiles(df.select(*keys, F.inline(pairs)), [*keys, "_which"], "_value", probs)
+    return found.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_which") == column, F.col("_q")[probs.index(q)])).alias(name)
+        for name, (column, q) in wanted.items()
+    ])
+
+
 def prediction_window_metrics(
     predictions: DataFrame, limit: int | None = 500, model_run_id: str | None = None,
 ) -> DataFrame:
@@ -81,9 +93,12 @@ def prediction_window_metrics(
         ]),
     )
     if limit is None:
-        for column, names in (("fail_probability", (0.5, 0.95)), ("missing_count", (0.5, 0.95)), ("latency_ms", (0.95,))):
-            named = [f"{column}_p{int(q * 100)}" for q in names]
-            counts = attach(counts, percentiles(rows, keys, column, names, names=named), keys)
+        wanted = {
+            f"{column}_p{int(q * 100)}": (column, q)
+            for column, q in (("fail_probability", 0.5), ("fail_probability", 0.95), ("missing_count", 0.5),
+                              ("missing_count", 0.95), ("latency_ms", 0.95))
+        }
+        counts = attach(counts, percentile_columns(rows, keys, wanted), keys)
     else:
         total = F.sum("prediction_count").over(W.partitionBy())  # a handful of groups
         counts = counts.withColumn("_total", total).where(F.col("_total") >= limit).drop("_total")

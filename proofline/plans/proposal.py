@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline.constants import FAIL
 from proofline.functions.scalars import ratio
 from proofline.operators.scale import attach
-from proofline.operators.stats import percentiles
+from proofline.operators.stats import percentile_columns
 
 
 def covering_windows(at: Column, start: float, end: float, size: float, step: float) -> Column:
@@ -48,9 +48,10 @@ def propose_windows(
         F.avg("fail_probability").alias("fail_probability_avg"), F.avg("missing_count").alias("missing_count_avg"),
         F.max("missing_count").cast("double").alias("missing_count_max"),
     ).where(F.col("sample_count") >= min_samples)
-    scores = percentiles(rows, group, "fail_probability", [0.5, 0.95], names=["fail_probability_p50", "fail_probability_p95"])
-    missing = percentiles(rows, group, "missing_count", [0.5, 0.95], names=["missing_count_p50", "missing_count_p95"])
-    found = attach(attach(counts, scores, group), missing, group)
+    wanted = {
+        f"{column}_p{int(q * 100)}": (column, q) for column in ("fail_probability", "missing_count") for q in (0.5, 0.95)
+    }
+    found = attach(counts, percentile_columns(rows, group, wanted), group)
     order = [F.col("sample_count").desc(), F.col("source_end").desc()]
     if keys:
         from proofline.operators.latest import top_per_key
