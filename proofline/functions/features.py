@@ -78,9 +78,10 @@ def offset_feature(features: Column, key: str, amount: float, every: int, row_nu
     return F.transform_values(features, lambda k, v: F.when(due & (k == key), v + F.lit(amount)).otherwise(v))
 
 
-def reflect(features: Column, medians: Column) -> Column:
+def reflect(features: Column, medians: Mapping[str, float]) -> Column:
     """``2 * median - x`` per feature; a feature without a median is left alone."""
-    return F.transform_values(features, lambda k, v: F.coalesce(2 * medians[k] - v, v))
+    known = F.create_map(*[F.lit(x) for name, value in medians.items() for x in (name, float(value))])
+    return F.transform_values(features, lambda k, v: F.coalesce(2 * known[k] - v, v))
 
 
 def split_groups(features: Column, starts: Mapping[str, int]) -> Column:
@@ -89,13 +90,18 @@ def split_groups(features: Column, starts: Mapping[str, int]) -> Column:
     ends = [start for _, start in ordered[1:]] + [None]
     parts = []
     for (name, start), end in zip(ordered, ends):
-        def belongs(k, _, start=start, end=end):
-            index = F.substring(k, 2, 9).cast("int")
-            return (index >= start) if end is None else (index >= start) & (index < end)
-        parts += [F.lit(name), F.map_filter(features, belongs)]
+        parts += [F.lit(name), F.map_filter(features, _index_between(start, end))]
     return F.create_map(*parts)
 
 
+def _index_between(start: int, end: int | None):
+    def inside(key, _):
+        index = F.substring(key, 2, 9).cast("int")
+        return (index >= start) if end is None else (index >= start) & (index < end)
+
+    return inside
+
+
 def vector_hash():
     """Pandas UDF: array<double> of one full feature vector to its digest text.
 

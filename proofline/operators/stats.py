@@ -38,11 +38,9 @@ def feature_medians(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return middle.select(*keys, "feature_name", F.col("_q")[0].alias("median"))
 
 
-def median_map(long: DataFrame) -> DataFrame:
-    """All medians as one map in a one-row table."""
-    return feature_medians(long).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature_name", "median"))).alias("medians")
-    )
+def median_values(long: DataFrame) -> dict[str, float]:
+    """All medians on the driver; one number per feature."""
+    return {r["feature_name"]: r["median"] for r in feature_medians(long).collect()}
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], lower: bool = False,

@@ -82,7 +82,9 @@ def check(df: DataFrame, contract: Contract) -> DataFrame:
     result = rows.withColumn("reasons", reasons(broken))
     for name, default in contract.defaults.items():
         result = result.withColumn(name, F.coalesce(name, default()))
-    return result.drop("_ok", *[f"_bad_{i}" for i in range(len(problems))], "_types")
+    # Emitting the checked fields through a generator keeps later filters on them from being pushed into
+    # the parsing expressions, which would repeat the parsing for every reference.
+    return result.select(*df.columns, F.inline(F.array(F.struct("reasons", *columns))))
 
 
 def _with_features(rows: DataFrame, name: str) -> DataFrame:
