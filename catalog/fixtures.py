@@ -25,13 +25,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf: str) -> DataFrame:
-    """One feature patch per event; every 13th carries an explicit null."""
+    return patches_of(table(spark, sf, "events"))
+
+
+def patches_of(events: DataFrame) -> DataFrame:
+    """One feature patch per event, of a table or a stream; every 13th carries an explicit null."""
     at = epoch_seconds(F.col("ts"))
     week = F.floor(F.col("t") / 604800.0).cast("bigint").cast("string")
     index = F.array_position(F.array(*[F.lit(e) for e in EVENT_TYPES]), F.col("event_type")) - 1
     value = F.when(F.col("event_id") % 13 != 0, F.col("value"))
     return (
-        table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", at.alias("t"))
+        events.select("event_id", "user_id", "event_type", "value", at.alias("t"))
         .select(
             "event_id", F.concat(F.lit("s-"), F.col("user_id").cast("string"), F.lit("-"), week).alias("sample_id"),
             F.col("t").alias("arrived_at"), (F.col("t") - (F.col("event_id") % 5) * 3600.0).alias("event_time"),

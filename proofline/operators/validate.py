@@ -54,14 +54,17 @@ def _typed(kind: str, json_type: Column, variant: Column, path: str, blank_allow
     if kind == "boolean":
         return F.try_variant_get(variant, path, "boolean"), json_type == "BOOLEAN"
     if kind == "object":
-        return F.try_variant_get(variant, path, "map<string,variant>"), json_type.startswith("OBJECT")
+        # The schema text of a whole feature map would be long; only an object converts to a map.
+        members = F.try_variant_get(variant, path, "map<string,variant>")
+        return members, members.isNotNull()
     raise ValueError(f"unknown kind: {kind}")
 
 
 def check(df: DataFrame, contract: Contract) -> DataFrame:
     """Add the typed fields and ``reasons`` to raw ``key`` / ``value`` rows."""
     parsed = df.withColumn("_v", F.try_parse_json("value"))
-    is_object = F.schema_of_variant("_v").startswith("OBJECT")
+    # Valid JSON that begins with a brace is an object.
+    is_object = F.col("_v").isNotNull() & F.col("value").rlike(r"^\s*\{")
     parsed = parsed.withColumn("_ok", F.coalesce(is_object, F.lit(False)))
     columns, problems = {}, [("payload", ~F.col("_ok"))]
     for item in contract.fields:

@@ -28,20 +28,18 @@ GATE_MEMBERS = (
 LIMBS = 8
 
 
-def canonical_text(df: DataFrame, columns: Sequence[str]) -> Column:
-    """One unambiguous text per row: each value with its length, null as '-', doubles to six decimals."""
-    kinds = dict(df.dtypes)
+def canonical_text(columns: Sequence[str]) -> Column:
+    """One unambiguous text per row: each value with its length, null as '-'; doubles in full precision."""
 
     def text(name):
-        value = F.col(name)
-        shown = F.format_string("%.6f", value) if kinds[name] == "double" else value.cast("string")
+        shown = F.col(name).cast("string")
         return F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("-"))
 
     return F.concat_ws("|", *[text(c) for c in columns])
 
 
 def with_row_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumn("row_digest", F.sha2(canonical_text(df, columns), 256))
+    return df.withColumn("row_digest", F.sha2(canonical_text(columns), 256))
 
 
 def selection_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Session settings the jobs are written for."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +40,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, from spark.checkpoint.dir; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new, unused path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Evaluate ``df`` once into the shared checkpoint folder and cut its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
