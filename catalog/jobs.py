@@ -105,18 +105,18 @@ DIGEST_COLUMNS = ["sample_id", "serving_snapshot_id", "snapshot_version", "label
 
 
 @query("row_digests", COHORT_SQL + """
-, texts as (select concat_ws('|', coalesce(concat(length(sample_id), ':', sample_id), '-'), coalesce(concat(length(serving_snapshot_id), ':', serving_snapshot_id), '-'),
-    coalesce(concat(length(snapshot_version::varchar), ':', snapshot_version), '-'),
-    coalesce(concat(length(label_revision::varchar), ':', label_revision), '-'), coalesce(concat(length(actual_label), ':', actual_label), '-')) as text from members)
+, texts as (select concat_ws('|', coalesce(length(sample_id::varchar) || ':' || sample_id, '-'), coalesce(length(serving_snapshot_id::varchar) || ':' || serving_snapshot_id, '-'),
+    coalesce(length(snapshot_version::varchar) || ':' || snapshot_version, '-'),
+    coalesce(length(label_revision::varchar) || ':' || label_revision, '-'), coalesce(length(actual_label::varchar) || ':' || actual_label, '-')) as text from members)
 select sha256(text) as row_digest from texts""")
 def row_digests(spark, sf):
     return datasets.with_row_digest(training_members(spark, sf), DIGEST_COLUMNS).select("row_digest")
 
 
 @query("selection_digest", COHORT_SQL + """
-, texts as (select sha256(concat_ws('|', coalesce(concat(length(sample_id), ':', sample_id), '-'), coalesce(concat(length(serving_snapshot_id), ':', serving_snapshot_id), '-'),
-    coalesce(concat(length(snapshot_version::varchar), ':', snapshot_version), '-'),
-    coalesce(concat(length(label_revision::varchar), ':', label_revision), '-'), coalesce(concat(length(actual_label), ':', actual_label), '-'))) as h from members),
+, texts as (select sha256(concat_ws('|', coalesce(length(sample_id::varchar) || ':' || sample_id, '-'), coalesce(length(serving_snapshot_id::varchar) || ':' || serving_snapshot_id, '-'),
+    coalesce(length(snapshot_version::varchar) || ':' || snapshot_version, '-'),
+    coalesce(length(label_revision::varchar) || ':' || label_revision, '-'), coalesce(length(actual_label::varchar) || ':' || actual_label, '-'))) as h from members),
 limbs as (select i, sum(('0x' || substr(h, 8 * i + 1, 8))::bigint) as s from texts, (select unnest(range(0, 8)) as i) group by 1)
 select (select count(*) from texts) as row_count, sha256(concat((select count(*) from texts), ':', (select string_agg(s::varchar, ':' order by i) from limbs))) as digest""")
 def selection(spark, sf):

@@ -301,7 +301,7 @@ def insert_null_keys(spark, sf):
         F.col("user_id").alias("model"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("feature"),
         F.col("event_id").alias("arrival"),
     )
-    return sinks.new_rows(rows, rows.where(F.col("arrival") % 7 == 0), ["model", "feature"], ["arrival"])
+    return sinks.new_rows(rows, rows.where(F.col("arrival") % 7 == 0), ["model", "feature"], ["arrival"], null_keys=True)
 
 
 @query("replay_conflicts", ARRIVALS_SQL + """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions.features import canonical, null_count
 from proofline.functions.scalars import offline_id, snapshot_id
-from proofline.operators.scale import attach, hot_cuts, with_piece
+from proofline.operators.scale import attach, hot_cuts, small_table, with_piece
 
 CARRIED = ("feature_group", "event_id", "simulation_run_id", "drift_segment")
 
@@ -78,7 +78,7 @@ def _carry_over(folded, spread, cuts, arrival, present, slots):
         F.min("_t0").over(before).alias("_t0"), F.max("_t1").over(before).alias("_t1"),
         *[F.last(c, True).over(before).alias(f"_c{c}") for c in kept],
     )
-    joined = attach(folded, carry, ["sample_id", "_piece"])
+    joined = attach(folded, small_table(carry, 1_000_000), ["sample_id", "_piece"])
     return joined.select(
         *[c for c in folded.columns if c not in ("_count", "_start", "_end", *slots) and not c.startswith("_last_")],
         (F.col("_count") + F.coalesce("_n", F.lit(0))).alias("_count"),

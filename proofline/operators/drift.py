@@ -270,7 +270,7 @@ def fixed_drift(
         *key, "feature_name", "non_null_count", "bin_edges", "bin_ratios"
     )
     psi = feature_psi(long, reference, [*key, "feature_name"], min_psi_non_null, epsilon, bins)
-    index = F.regexp_replace("feature_name", "^f", "").cast("int")
+    index = F.right("feature_name", F.lit(3)).cast("int")
     psi_lines = psi.select(
         *key, index.alias("feature_index"), "feature_name", F.lit("feature_psi").alias("metric_name"),
         F.col("psi").alias("metric_value"), F.lit(0.0).alias("baseline_value"), F.col("psi").alias("current_value"),

@@ -35,15 +35,8 @@ def small_table(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return pinned(df)
 
 
-def null_safe(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join ``extra`` on ``keys``, null keys matching each other."""
+    """Join ``extra``, usually a small table, on ``keys``, null keys matching each other."""
     renamed = extra
     for key in keys:
         renamed = renamed.withColumnRenamed(key, f"_k_{key}")
@@ -110,6 +103,7 @@ def running_sums(
     carry = totals.select(
         *keys, "_piece", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_c_{c}") for c in columns]
     )
+    carry = small_table(carry, 1_000_000)
     result = attach(result, carry, [*keys, "_piece"])
     for c in columns:
         result = result.withColumn(f"cum_{c}", F.col(f"cum_{c}") + F.coalesce(F.col(f"_c_{c}"), F.lit(0)))
@@ -125,7 +119,7 @@ def exact_quantiles(
     Linear interpolation at position (n-1)q, or with ``lower`` the element at floor((n-1)q).
     Groups of a checked size use the builtin percentile. Beyond it, an approximate quantile
     brackets each position from both sides, rows outside the brackets are only counted, and
-    the exact element is picked among the few distinct values left inside.
+    the exact element is found by running counts over the few distinct values left inside.
     """
     limit = PIECE_ROWS if small_rows is None else small_rows
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -135,62 +129,62 @@ def exact_quantiles(
         return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"), F.percentile("_v", wanted).alias("_q"),
         )
+    return _bracketed_quantiles(rows, keys, probs, lower)
+
+
+def _bracketed_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], lower: bool) -> DataFrame:
     margin = 3.0 / SKETCH_ACCURACY
     points = sorted({min(1.0, max(0.0, q + side * margin)) for q in probs for side in (-1, 1)})
     infinity = F.lit(float("inf"))
-    bounds = rows.groupBy(*keys).agg(
+    sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", points, SKETCH_ACCURACY).alias("_b"),
     )
 
     def edge(q, side):
         point = min(1.0, max(0.0, q + side * margin))
-        found = F.element_at("_b", points.index(point) + 1)
-        # A sketch over few rows is not a tight bracket, so small groups keep every value.
-        outermost = point in (0.0, 1.0)
-        wide = F.col("_n") <= F.lit(10 * SKETCH_ACCURACY)
-        return F.when(wide | F.lit(outermost), infinity * side).otherwise(found)
-
-    brackets = F.array(*[F.struct(edge(q, -1).alias("lo"), edge(q, 1).alias("hi")) for q in probs])
-    bounds = small_table(bounds.select(*keys, "_n", brackets.alias("_brackets")))
-    placed = attach(rows, bounds, keys, "inner")
-    inside = F.exists("_brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
-    # Values outside all brackets collapse onto the bracket edge below them; only their number matters.
-    below = F.array_max(
-        F.transform("_brackets", lambda b: F.when(b["hi"] < F.col("_v"), b["hi"]).otherwise(-infinity))
+        return infinity * side if point in (0.0, 1.0) else F.element_at("_b", points.index(point) + 1)
+
+    # A sketch over few rows gives no tight bracket; such a group keeps all its values in one.
+    wide = F.col("_n") <= F.lit(10 * SKETCH_ACCURACY)
+    everything = F.array(F.struct((-infinity).alias("lo"), infinity.alias("hi")))
+    tight = F.array(*[F.struct(edge(q, -1).alias("lo"), edge(q, 1).alias("hi")) for q in probs])
+    brackets = small_table(sketch.select(*keys, "_n", F.when(wide, everything).otherwise(tight).alias("_brackets")))
+    placed = attach(rows, brackets, keys, "inner")
+    # What lies below each bracket is only counted.
+    below = placed.groupBy(*keys).agg(F.array(*[
+        F.count_if(F.col("_v") < F.get("_brackets", F.lit(i))["lo"]) for i in range(len(probs))
+    ]).alias("_below"))
+    below = small_table(below)
+    inside = F.filter(
+        F.transform("_brackets", lambda b, i: F.when((F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]), i)),
+        lambda i: i.isNotNull(),
     )
-    cells = (
-        placed.withColumn("_in", inside)
-        .select(*keys, "_n", "_in", F.when(F.col("_in"), F.col("_v")).otherwise(below).alias("_at"))
-        .groupBy(*keys, "_n", "_at", "_in")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    kept = placed.select(*keys, F.explode(inside).alias("_bracket"), "_v").groupBy(*keys, "_bracket", "_v").agg(
+        F.count(F.lit(1)).alias("_rows")
     )
-    order = W.partitionBy(*keys).orderBy("_at", F.col("_in").desc()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = cells.withColumn("_upto", F.sum("_rows").over(order))
+    ranked = running_sums(kept, [*keys, "_bracket"], "_v", ["_rows"]).withColumnRenamed("cum__rows", "_upto")
+    ranked = attach(attach(ranked, brackets.select(*keys, "_n", F.size("_brackets").alias("_k")), keys), below, keys)
 
-    def element(index):
-        hit = (F.col("_upto") > index) & (F.col("_upto") - F.col("_rows") <= index)
-        found = F.when(F.col("_in"), F.col("_at")).otherwise(
-            F.raise_error(F.lit("quantile fell outside its bracket")).cast("double")
-        )
-        return F.max(F.when(hit, found))
+    def element(i, index):
+        bracket = F.when(F.col("_k") == 1, 0).otherwise(i)
+        own = F.col("_bracket") == bracket
+        place = index - F.get("_below", bracket)
+        return F.max(F.when(own & (F.col("_upto") > place) & (F.col("_upto") - F.col("_rows") <= place), F.col("_v")))
 
+    position = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
     picks = []
-    for i, q in enumerate(probs):
-        position = (F.col("_n") - 1) * F.lit(float(q))
-        picks.append(element(F.floor(position)).alias(f"_lo{i}"))
-        picks.append(element(F.ceil(position)).alias(f"_hi{i}"))
+    for i, at in enumerate(position):
+        picks += [element(i, F.floor(at)).alias(f"_lo{i}"), element(i, F.ceil(at)).alias(f"_hi{i}")]
     picked = ranked.groupBy(*keys, "_n").agg(*picks)
 
-    def value_at(i, q):
-        position = (F.col("_n") - 1) * F.lit(float(q))
+    def value(i, at):
+        low = F.coalesce(f"_lo{i}", F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
         if lower:
-            return F.col(f"_lo{i}")
-        weight = position - F.floor(position)
-        return F.when(weight == 0, F.col(f"_lo{i}")).otherwise(
-            F.col(f"_lo{i}") * (1 - weight) + F.col(f"_hi{i}") * weight
-        )
+            return low
+        weight = at - F.floor(at)
+        return F.when(weight == 0, low).otherwise(low * (1 - weight) + F.col(f"_hi{i}") * weight)
 
-    return picked.select(*keys, "_n", F.array(*[value_at(i, q) for i, q in enumerate(probs)]).alias("_q"))
+    return picked.select(*keys, "_n", F.array(*[value(i, at) for i, at in enumerate(position)]).alias("_q"))
 
 
 def smallest_by_order(df: DataFrame, keys: Sequence[str], order: str, tie: str, wanted: Column) -> DataFrame:

@@ -10,17 +10,26 @@ from proofline.operators.latest import top_per_key
 from proofline.operators.scale import attach
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame | None, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """Insert-ignore: the first row per key in ``order`` unless the key is stored. Null keys are equal."""
+def new_rows(
+    incoming: DataFrame, existing: DataFrame | None, keys: Sequence[str], order: Sequence, null_keys: bool = False,
+) -> DataFrame:
+    """Insert-ignore: the first row per key in ``order`` unless the key is stored.
+
+    With ``null_keys`` nulls count as equal; without, the join reuses the partitioning of the ranking.
+    """
     firsts = top_per_key(incoming, keys, order)
-    return firsts if existing is None else attach(firsts, existing.select(*keys).distinct(), keys, "left_anti")
+    if existing is None:
+        return firsts
+    if null_keys:
+        return attach(firsts, existing.select(*keys), keys, "left_anti")
+    return firsts.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def insert_counts(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Received, inserted and duplicate counts of an insert-ignore, as one row."""
     per_key = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     stored = existing.select(*keys).distinct().withColumn("_stored", F.lit(1))
-    marked = attach(per_key, stored, keys)
+    marked = per_key.join(stored, list(keys), "left")
     return marked.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("received"),
         F.count_if(F.col("_stored").isNull()).alias("inserted"),
@@ -51,10 +60,10 @@ def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order:
     fresh = top_per_key(incoming, keys, [F.col(order).desc()]).select(*existing.columns)
     if keep:
         stored = existing.select(*keys, *[F.col(c).alias(f"_keep_{c}") for c in keep])
-        fresh = attach(fresh, stored, keys).select(
+        fresh = fresh.join(stored, list(keys), "left").select(
             *[F.coalesce(f"_keep_{c}", c).alias(c) if c in keep else F.col(c) for c in existing.columns]
         )
-    untouched = attach(existing, fresh.select(*keys), keys, "left_anti")
+    untouched = existing.join(incoming.select(*keys), list(keys), "left_anti")
     return untouched.unionByName(fresh)
 
 
