@@ -171,7 +171,7 @@ SNAPSHOT_RULES = [
     ("enum:snapshot_status", "(j->>'$.snapshot_status') not in ('partial', 'complete')"),
     ("range:feature_count", "(j->>'$.feature_count')::int > 5"),
     ("completeness", "json_type(j, '$.is_complete') = 'BOOLEAN' and (j->>'$.is_complete')::boolean <> ((j->>'$.feature_count')::int = 5)"),
-    ("status", "(j->>'$.snapshot_status') <> case when json_type(j, '$.is_complete') = 'BOOLEAN' and (j->>'$.is_complete')::boolean then 'complete' else 'partial' end"),
+    ("status", "json_type(j, '$.is_complete') = 'BOOLEAN' and (j->>'$.snapshot_status') <> case when (j->>'$.is_complete')::boolean then 'complete' else 'partial' end"),
     ("features_canonical", "len(json_keys(j, '$.features')) <> 5"),
     ("feature_key", "len(list_filter(json_keys(j, '$.features'), lambda k: k not in ('f000', 'f001', 'f002', 'f003', 'f004'))) > 0"),
     ("feature_value", "json_type(j, '$.features.f001') = 'VARCHAR'"),

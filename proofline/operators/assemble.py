@@ -129,15 +129,16 @@ def reconstruct(
     totals = seen.groupBy("sample_id").agg(
         F.count(F.lit(1)).alias("source_event_count"), F.max("event_time").alias("max_event_time"),
     )
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    joined = totals.join(states, "sample_id", "left").withColumn("_observed", F.coalesce("_observed", empty))
     unknown = F.array_except(F.map_keys("_observed"), F.array(*[F.lit(k) for k in keys]))
     checked = F.when(F.size(unknown) == 0, F.col("_observed")).otherwise(
         F.raise_error(F.concat(F.lit("unexpected feature key: "), F.array_join(unknown, ",")))
     )
-    rebuilt = totals.join(states, "sample_id", "left").select(
+    rebuilt = joined.select(
         offline_id(F.col("sample_id"), limit).alias("offline_snapshot_id"), "sample_id",
         limit.alias("build_cutoff_time"),
-        F.coalesce(F.size("_observed"), F.lit(0)).alias("feature_count"),
-        canonical(F.coalesce(checked, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))), keys).alias("features"),
+        F.size("_observed").alias("feature_count"), canonical(checked, keys).alias("features"),
         "source_event_count", "max_event_time",
     )
     rebuilt = rebuilt.withColumn("missing_count", null_count(F.col("features"))).withColumn(

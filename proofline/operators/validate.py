@@ -225,7 +225,7 @@ def snapshot_contract(
         return "completeness", F.col("is_complete") == (F.col("feature_count") == feature_count)
 
     def status():
-        expected = F.when(F.col("is_complete"), "complete").otherwise("partial")
+        expected = F.when(F.col("is_complete"), "complete").when(~F.col("is_complete"), "partial")
         return "status", F.col("snapshot_status") == expected
 
     def full():
