@@ -325,14 +325,10 @@ where metric_family = '{family}'"""
 METRICS = ["metric_value", "baseline_value", "current_value", "delta_value"]
 
 
-def resolved_rows(spark, sf):
-    snaps = fx.snapshots(spark, sf)
-    return latest.resolved_predictions(fx.predictions(spark, sf, snaps), snaps)
-
-
 def recent(spark, sf, family):
-    found = drift.recent_drift(resolved_rows(spark, sf), WIDE_MINUTES, 3, 10, 10).where(F.col("metric_family") == family)
-    return rounded(found, *METRICS)
+    snaps = fx.snapshots(spark, sf)
+    found = drift.recent_drift(fx.predictions(spark, sf, snaps), snaps, WIDE_MINUTES, 3, 10, 10)
+    return rounded(found.where(F.col("metric_family") == family), *METRICS)
 
 
 @query("drift_recent_output", FAMILY_SQL.replace("{family}", "output"))
@@ -440,7 +436,7 @@ def fixed(spark, sf):
         F.lit(LOW).alias("source_start"), F.lit(HIGH).alias("source_end")
     )
     return drift.fixed_drift(
-        fx.prediction_volume(spark, sf), baselines, drift.reference_stats(rows), YEAR_MINUTES, 3
+        fx.prediction_volume(spark, sf), baselines, drift.reference_stats(rows), None, YEAR_MINUTES, 3
     )
 
 

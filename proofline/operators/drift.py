@@ -9,9 +9,10 @@ from proofline.constants import FAIL, PSI_EPSILON, STD_FLOOR
 from proofline.functions.features import lengthen
 from proofline.functions.scalars import first_present, ratio
 from proofline.operators.bins import feature_psi, reference_bins
-from proofline.operators.latest import top_per_key
+from proofline.operators.latest import resolved_predictions, top_per_key
 from proofline.operators.scale import attach, small_table
 from proofline.operators.stats import feature_stats, percentile_columns
+from proofline.session import pinned
 
 GROUP = ("model_run_id", "threshold")
 OUTPUT = ("prediction_count", "predicted_fail_ratio", "fail_probability_avg", "fail_probability_p50", "fail_probability_p95")
@@ -19,26 +20,47 @@ INPUT = ("missing_count_avg", "missing_count_p95", "missing_count_max")
 NAMES = ("model_name", "model_version", "model_alias")
 
 
-def anchors(resolved: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
-    """Newest prediction per group; a small table, reduced on the map side."""
-    return small_table(resolved.groupBy(*keys).agg(F.max("predicted_at").alias("current_end")))
-
-
-def _since(resolved: DataFrame, ends: DataFrame, seconds: float) -> DataFrame:
-    """Drop what is older than every group's window; a constant bound reaches the file scan."""
-    oldest = ends.agg(F.min("current_end")).first()[0]
-    return resolved if oldest is None else resolved.where(F.col("predicted_at") > F.lit(oldest - seconds))
-
+def newest_rows(
+    predictions: DataFrame, snapshots: DataFrame | None, keys: Sequence[str], seconds: float, spare: float,
+) -> DataFrame:
+    """Resolved predictions of the last ``seconds`` before each group's newest one, with ``current_end``.
 
-def with_sides(resolved: DataFrame, window_seconds: float) -> DataFrame:
-    """Keep the two windows ``(end-2w, end-w]`` and ``(end-w, end]`` and say which one a row is in."""
-    ends = anchors(resolved)
-    anchored = attach(_since(resolved, ends, 2.0 * window_seconds), ends, GROUP, "inner")
-    age = F.col("current_end") - F.lit(float(window_seconds))
-    older = F.col("current_end") - F.lit(2.0 * window_seconds)
+    Only resolved predictions count as newest, but resolving all history to find them would join everything. So the newest
+    predictions are found first and resolved with ``spare`` seconds of older ones; only groups where
+    that does not reach a full window are resolved completely. The rows are evaluated once: several aggregates follow.
+    """
+    tops = small_table(predictions.groupBy(*keys).agg(F.max("predicted_at").alias("_top")))
+    oldest = tops.agg(F.min("_top")).first()[0]
     at = F.col("predicted_at")
-    side = F.when((at > age) & (at <= F.col("current_end")), "current").when((at > older) & (at <= age), "baseline")
-    return anchored.withColumn("side", side).where(F.col("side").isNotNull())
+    near = predictions if oldest is None else predictions.where(at > F.lit(oldest - seconds - spare))
+    near = attach(near, tops, keys, "inner").where(at > F.col("_top") - (seconds + spare)).drop("_top")
+    rows = pinned(near if snapshots is None else resolved_predictions(near, snapshots))
+
+    def newest(df):
+        return df.groupBy(*keys).agg(F.max("predicted_at").alias("current_end"))
+
+    ends = small_table(newest(rows))
+    covered = attach(tops, ends, keys)
+    short = covered.where(F.col("current_end").isNull() | (F.col("current_end") < F.col("_top") - spare)).select(*keys)
+    if snapshots is not None and not short.isEmpty():
+        again = resolved_predictions(attach(predictions, small_table(short), keys, "left_semi"), snapshots)
+        again_ends = small_table(newest(again))
+        kept = attach(rows, small_table(short), keys, "left_anti")
+        kept_ends = attach(ends, small_table(short), keys, "left_anti")
+        ends = small_table(kept_ends.unionByName(again_ends))
+        rows = kept.unionByName(again)
+    found = attach(rows, ends, keys, "inner")
+    return found.where((at > F.col("current_end") - seconds) & (at <= F.col("current_end")))
+
+
+def with_sides(
+    predictions: DataFrame, window_seconds: float, snapshots: DataFrame | None = None, spare: float | None = None,
+) -> DataFrame:
+    """The windows ``(end-2w, end-w]`` and ``(end-w, end]`` of each (model, threshold), marked by side."""
+    seconds = 2.0 * window_seconds
+    rows = newest_rows(predictions, snapshots, GROUP, seconds, seconds if spare is None else spare)
+    current = F.col("predicted_at") > F.col("current_end") - F.lit(float(window_seconds))
+    return rows.withColumn("side", F.when(current, "current").otherwise("baseline"))
 
 
 def window_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,15 +143,15 @@ def recent_feature_scores(sided: DataFrame, top: int, min_non_null: int, min_sam
 
 
 def recent_drift(
-    resolved: DataFrame, window_minutes: float = 5, top_n_features: int = 30, min_feature_non_null: int = 30,
+    predictions: DataFrame, snapshots: DataFrame | None = None, window_minutes: float = 5, top_n_features: int = 30, min_feature_non_null: int = 30,
     min_feature_samples: int = 30, evaluation_id: str | None = None, computed_at: float | None = None,
 ) -> DataFrame:
     """All drift metrics per (model, threshold), the newest window against the one before it.
 
-    An empty previous window gives null baselines, except a prediction count of 0.
+    Without ``snapshots`` the predictions must already be resolved and carry ``features``. An empty previous window gives null baselines, except a prediction count of 0.
     """
     seconds = float(window_minutes) * 60.0
-    sided = with_sides(resolved, seconds)
+    sided = with_sides(predictions, seconds, snapshots)
     summary = window_summary(sided, [*GROUP, "side"])
     both = _pivot(summary, GROUP, ["rows", *OUTPUT, *INPUT]).withColumns({
         "b_rows": F.coalesce("b_rows", F.lit(0).cast("bigint")),
@@ -217,7 +239,8 @@ def reference_stats(
 
 
 def fixed_drift(
-    resolved: DataFrame, baselines: DataFrame, stats: DataFrame, window_minutes: float = 3, top_n_features: int = 30,
+    predictions: DataFrame, baselines: DataFrame, stats: DataFrame, snapshots: DataFrame | None = None,
+    window_minutes: float = 3, top_n_features: int = 30,
     min_feature_non_null: int = 30, min_feature_samples: int = 30, min_psi_non_null: int = 30,
     epsilon: float = PSI_EPSILON, bins: int = 10, evaluation_id: str | None = None, computed_at: float | None = None,
 ) -> DataFrame:
@@ -228,10 +251,7 @@ def fixed_drift(
     seconds = float(window_minutes) * 60.0
     key = ["baseline_id"]
     known = small_table(baselines.select("baseline_id", *GROUP, "source_start", "source_end"))
-    rows = attach(resolved, known, GROUP, "inner")
-    ends = anchors(rows, key)
-    rows = attach(_since(rows, ends, seconds), ends, key, "inner")
-    rows = rows.where((F.col("predicted_at") > F.col("current_end") - seconds) & (F.col("predicted_at") <= F.col("current_end")))
+    rows = newest_rows(attach(predictions, known, GROUP, "inner"), snapshots, key, seconds, seconds)
     stored = small_table(stats, 200_000)
 
     current = window_summary(rows, key)

@@ -18,6 +18,8 @@ from proofline.session import pinned
 
 PIECE_ROWS = 5_000_000
 PIECES = 1024
+# The builtin exact percentile holds every distinct value of a group in memory.
+BUILTIN_ROWS = 1_000_000
 STRIDE = 32
 SKETCH_ACCURACY = 10_000
 SMALL_TABLE_BYTES = 32 * 1024 * 1024
@@ -121,7 +123,7 @@ def exact_quantiles(
     brackets each position from both sides, rows outside the brackets are only counted, and
     the exact element is found by running counts over the few distinct values left inside.
     """
-    limit = PIECE_ROWS if small_rows is None else small_rows
+    limit = min(BUILTIN_ROWS, PIECE_ROWS) if small_rows is None else small_rows
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
     if largest <= limit and not lower:

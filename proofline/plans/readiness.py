@@ -101,8 +101,9 @@ def training_summary(cohort: DataFrame, selected: DataFrame) -> DataFrame:
         F.avg("serving_missing_count").alias("serving_missing_count_avg"),
         F.max("serving_missing_count").alias("serving_missing_count_max"), *ends,
     )
-    # Both sides are single aggregate rows.
-    return whole.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # Two single rows with different columns: stacked, each column has one value.
+    both = whole.unionByName(part, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def training_gate(summary: DataFrame, min_samples: int, min_coverage: float, min_fail: int, min_pass: int) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from proofline.constants import FAIL, PASS
 from proofline.functions.scalars import class_name
+from proofline.operators.scale import small_table
 from proofline.schemas import RAW_EVENT_DDL
 
 
@@ -62,10 +63,10 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def first_rows(df: DataFrame, count: int, place: str = "place") -> DataFrame:
     """The first ``count`` rows in source order; fails if there are fewer."""
-    taken = df.orderBy(place).limit(count)
-    held = taken.agg(F.count(F.lit(1)).alias("n")).scalar()
-    short = F.raise_error(F.lit(f"source has fewer than {count} rows")).cast("boolean")
-    return taken.where(F.when(held >= count, True).otherwise(short))
+    taken = small_table(df.orderBy(place).limit(count), count)
+    if taken.count() < count:
+        raise ValueError(f"source has fewer than {count} rows")
+    return taken
 
 
 def evidence(spark: SparkSession, path: str, schema=None) -> DataFrame:

@@ -89,7 +89,7 @@ def predictions(spark, times, value=3.0):
 
 
 def test_empty_baseline_side(spark):
-    found = drift.recent_drift(predictions(spark, [1000.0, 1001.0]), 5, 3, 1, 1).collect()
+    found = drift.recent_drift(predictions(spark, [1000.0, 1001.0]), None, 5, 3, 1, 1).collect()
     by_name = {r.metric_name: r for r in found}
     assert (by_name["prediction_count"].baseline_value, by_name["prediction_count"].current_value) == (0.0, 2.0)
     assert by_name["fail_probability_avg"].baseline_value is None
@@ -98,14 +98,24 @@ def test_empty_baseline_side(spark):
 
 
 def test_drift_windows_are_open_below_and_closed_above(spark):
-    found = drift.recent_drift(predictions(spark, [400.0, 700.0, 701.0, 1000.0]), 5, 3, 1, 1)
+    found = drift.recent_drift(predictions(spark, [400.0, 700.0, 701.0, 1000.0]), None, 5, 3, 1, 1)
     row = found.where("metric_name = 'prediction_count'").first()
     assert (row.baseline_value, row.current_value) == (1.0, 2.0)
     assert (row.baseline_start, row.current_start, row.current_end) == (400.0, 700.0, 1000.0)
 
 
+def test_newest_window_counts_resolved_predictions_only(spark):
+    rows = predictions(spark, [100.0, 400.0, 450.0, 90000.0, 90001.0]).drop("features")
+    ids = F.struct("prediction_id")["prediction_id"]
+    rows = rows.withColumns({"serving_snapshot_id": ids, "sample_id": F.lit("s"), "snapshot_version": F.lit(1), "feature_hash": F.lit("h")})
+    held = rows.where("predicted_at < 1000").select("serving_snapshot_id", "sample_id", "snapshot_version", "feature_hash").withColumn(
+        "features", F.create_map(F.lit("f000"), F.lit(1.0)))
+    row = drift.recent_drift(rows, held, 5, 3, 1, 1).where("metric_name = 'prediction_count'").first()
+    assert (row.current_end, row.baseline_value, row.current_value) == (450.0, 1.0, 2.0)
+
+
 def test_constant_features_have_a_floor_and_all_null_features_do_not_fail(spark):
-    found = drift.recent_drift(predictions(spark, [600.0, 650.0, 900.0, 1000.0]), 5, 3, 1, 1).where("metric_family = 'feature'").collect()
+    found = drift.recent_drift(predictions(spark, [600.0, 650.0, 900.0, 1000.0]), None, 5, 3, 1, 1).where("metric_family = 'feature'").collect()
     scores = {(r.metric_name, r.feature_name): r.metric_value for r in found}
     assert scores[("feature_mean_standardized_delta", "f000")] == 0.0
     assert ("feature_mean_standardized_delta", "f001") not in scores
