@@ -7,6 +7,7 @@ from proofline.constants import feature_keys
 from proofline.functions.scalars import class_name, decide, epoch_seconds
 from proofline.operators.assemble import assemble_replay
 from proofline.operators.scale import running_sums
+from proofline.session import spread
 
 WIDTH = 5
 KEYS = feature_keys(WIDTH)
@@ -112,7 +113,7 @@ def prediction_volume(spark: SparkSession, sf: str) -> DataFrame:
     parts = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     threshold = F.when(F.col("l_linestatus") == "F", 0.5).otherwise(0.6)
     score = F.col("l_discount") * 10.0
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.concat_ws("-", *[F.col(p).cast("string") for p in parts]).alias("prediction_id"),
         F.col("l_orderkey").cast("string").alias("sample_id"), F.col("l_returnflag").alias("model_run_id"),
         threshold.alias("threshold"), epoch_seconds(F.col("l_shipdate")).alias("predicted_at"),

@@ -89,7 +89,7 @@ FEATURE_RULES = [
 @query("val_feature_rules", "with raw as (select event_id, " + duck(EVENT_KEY) + " as key, " + duck(FEATURE_TEXT) + " as value from (select *, "
        + duck(FEATURE_HEAD) + " as h from events))" + PARSED + " select event_id, " + oracle_reasons(FEATURE_RULES) + " from t")
 def val_features(spark, sf):
-    rows = fx.table(spark, sf, "events").withColumn("h", spark_text(FEATURE_HEAD))
+    rows = fx.spread(fx.table(spark, sf, "events")).withColumn("h", spark_text(FEATURE_HEAD))
     raw = rows.select("event_id", spark_text(EVENT_KEY).alias("key"), spark_text(FEATURE_TEXT).alias("value"))
     contract = validate.feature_event_contract(SAMPLE, fx.EVENT_TYPES, len(KEYS), 0.0)
     checked = validate.check(raw.withColumnRenamed("event_id", "place"), contract)
@@ -150,7 +150,7 @@ PREDICTION_RULES = [
 @query("val_prediction_rules", "with raw as (select event_id, " + duck(PREDICTION_TEXT) + " as value from events)" + PARSED
        + " select event_id, coalesce(nullif(j->>'$.runtime_slot', ''), 'unknown') as runtime_slot, " + oracle_reasons(PREDICTION_RULES) + " from t")
 def val_predictions(spark, sf):
-    raw = fx.table(spark, sf, "events").select(
+    raw = fx.spread(fx.table(spark, sf, "events")).select(
         "event_id", F.concat(F.lit("s-"), F.col("user_id").cast("string")).alias("key"), spark_text(PREDICTION_TEXT).alias("value")
     )
     checked = validate.check(raw, validate.prediction_contract(SAMPLE, HASH_PATTERN, len(KEYS)))
@@ -182,7 +182,7 @@ SNAPSHOT_RULES = [
 @query("val_snapshot_rules", "with raw as (select event_id, " + duck(SNAPSHOT_TEXT) + " as value from events)" + PARSED
        + " select event_id, " + oracle_reasons(SNAPSHOT_RULES) + " from t")
 def val_snapshots(spark, sf):
-    raw = fx.table(spark, sf, "events").select(
+    raw = fx.spread(fx.table(spark, sf, "events")).select(
         "event_id", F.concat(F.lit("s-"), F.col("user_id").cast("string")).alias("key"), spark_text(SNAPSHOT_TEXT).alias("value")
     )
     checked = validate.check(raw, validate.snapshot_contract(SAMPLE, HASH_PATTERN, len(KEYS)))
@@ -194,7 +194,7 @@ def val_snapshots(spark, sf):
 select reason, count(*) as rows_ from (select unnest(string_split(reasons, ',')) as reason from r where reasons <> '') group by 1
 union all select 'valid', count(*) from r where reasons = ''""")
 def quarantine(spark, sf):
-    rows = fx.table(spark, sf, "events").withColumn("h", spark_text(FEATURE_HEAD))
+    rows = fx.spread(fx.table(spark, sf, "events")).withColumn("h", spark_text(FEATURE_HEAD))
     raw = rows.select(spark_text(EVENT_KEY).alias("key"), spark_text(FEATURE_TEXT).alias("value"))
     contract = validate.feature_event_contract(SAMPLE, fx.EVENT_TYPES, len(KEYS), 0.0)
     valid, rejected = validate.validate(raw, contract)

@@ -18,8 +18,6 @@ from proofline.session import pinned
 
 PIECE_ROWS = 5_000_000
 PIECES = 1024
-# The builtin exact percentile holds every distinct value of a group in memory.
-BUILTIN_ROWS = 1_000_000
 STRIDE = 32
 SKETCH_ACCURACY = 10_000
 SMALL_TABLE_BYTES = 32 * 1024 * 1024
@@ -119,21 +117,46 @@ def exact_quantiles(
     """One row per group: ``_n`` and ``_q``, the exact quantiles of the non-null values.
 
     Linear interpolation at position (n-1)q, or with ``lower`` the element at floor((n-1)q).
-    Groups of a checked size use the builtin percentile. Beyond it, an approximate quantile
+    Groups of a checked size are sorted. Beyond it, an approximate quantile
     brackets each position from both sides, rows outside the brackets are only counted, and
     the exact element is found by running counts over the few distinct values left inside.
     """
-    limit = min(BUILTIN_ROWS, PIECE_ROWS) if small_rows is None else small_rows
+    limit = PIECE_ROWS if small_rows is None else small_rows
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
-    if largest <= limit and not lower:
-        wanted = F.array(*[F.lit(float(q)) for q in probs])
-        return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile("_v", wanted).alias("_q"),
-        )
+    if largest <= limit:
+        return _sorted_quantiles(rows, keys, probs, lower)
     return _bracketed_quantiles(rows, keys, probs, lower)
 
 
+def _pick(positions: Sequence[Column], lower: bool, element) -> tuple[list[Column], Column]:
+    """Aggregates finding the neighbours of each position, and the array of values computed from them."""
+    picks, values = [], []
+    for i, at in enumerate(positions):
+        picks += [element(i, F.floor(at)).alias(f"_lo{i}"), element(i, F.ceil(at)).alias(f"_hi{i}")]
+        low = F.coalesce(f"_lo{i}", F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
+        weight = at - F.floor(at)
+        between = F.when(weight == 0, low).otherwise(low * (1 - weight) + F.col(f"_hi{i}") * weight)
+        values.append(low if lower else between)
+    return picks, F.array(*values)
+
+
+def _sorted_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], lower: bool) -> DataFrame:
+    """Running counts over the distinct values of each group; sorts spill, so memory is no limit."""
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
+    group = W.partitionBy(*keys)
+    ranked = counts.select(
+        "*", F.sum("_rows").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)).alias("_upto"),
+        F.sum("_rows").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_n"),
+    )
+
+    def element(_, index):
+        return F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_rows") <= index), F.col("_v")))
+
+    picks, values = _pick([(F.col("_n") - 1) * F.lit(float(q)) for q in probs], lower, element)
+    return ranked.groupBy(*keys, "_n").agg(*picks).select(*keys, "_n", values.alias("_q"))
+
+
 def _bracketed_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], lower: bool) -> DataFrame:
     margin = 3.0 / SKETCH_ACCURACY
     points = sorted({min(1.0, max(0.0, q + side * margin)) for q in probs for side in (-1, 1)})
@@ -173,20 +196,8 @@ def _bracketed_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[f
         place = index - F.get("_below", bracket)
         return F.max(F.when(own & (F.col("_upto") > place) & (F.col("_upto") - F.col("_rows") <= place), F.col("_v")))
 
-    position = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
-    picks = []
-    for i, at in enumerate(position):
-        picks += [element(i, F.floor(at)).alias(f"_lo{i}"), element(i, F.ceil(at)).alias(f"_hi{i}")]
-    picked = ranked.groupBy(*keys, "_n").agg(*picks)
-
-    def value(i, at):
-        low = F.coalesce(f"_lo{i}", F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
-        if lower:
-            return low
-        weight = at - F.floor(at)
-        return F.when(weight == 0, low).otherwise(low * (1 - weight) + F.col(f"_hi{i}") * weight)
-
-    return picked.select(*keys, "_n", F.array(*[value(i, at) for i, at in enumerate(position)]).alias("_q"))
+    picks, values = _pick([(F.col("_n") - 1) * F.lit(float(q)) for q in probs], lower, element)
+    return ranked.groupBy(*keys, "_n").agg(*picks).select(*keys, "_n", values.alias("_q"))
 
 
 def smallest_by_order(df: DataFrame, keys: Sequence[str], order: str, tie: str, wanted: Column) -> DataFrame:

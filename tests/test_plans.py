@@ -43,10 +43,12 @@ def test_no_python_and_no_all_pairs_join(spark, name):
 def test_cohort_shuffles_each_table_once_and_prunes_features(spark, tables):
     config = cohorts.CohortConfig(fx.START, fx.CUTOFF, fx.MATURITY)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     try:
         text = plan(cohorts.training_cohort(tables["snapshots"], tables["labels"], config))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert len(re.findall("Exchange hashpartitioning", text)) == 2
     assert text.count("row_number(), 1, Partial") == 2
     assert "features" not in text
