@@ -135,8 +135,9 @@ def _pick(positions: Sequence[Column], lower: bool, element) -> tuple[list[Colum
     for i, at in enumerate(positions):
         picks += [element(i, F.floor(at)).alias(f"_lo{i}"), element(i, F.ceil(at)).alias(f"_hi{i}")]
         low = F.coalesce(f"_lo{i}", F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
-        weight = at - F.floor(at)
-        between = F.when(weight == 0, low).otherwise(low * (1 - weight) + F.col(f"_hi{i}") * weight)
+        high, weight = F.col(f"_hi{i}"), at - F.floor(at)
+        # Equal neighbours need no arithmetic; it would move the value by a rounding error.
+        between = F.when((weight == 0) | (low == high), low).otherwise(low * (1 - weight) + high * weight)
         values.append(low if lower else between)
     return picks, F.array(*values)
 
