@@ -1,6 +1,7 @@
 """Streams against their batch twins, under small micro-batches, replays and conflicts."""
 
 import json
+import os
 import random
 
 import pytest
@@ -29,7 +30,9 @@ def write_batches(folder, messages, size):
     folder.mkdir(exist_ok=True)
     for n, begin in enumerate(range(0, len(messages), size)):
         lines = [json.dumps(m) for m in messages[begin:begin + size]]
-        (folder / f"part-{n:05d}.json").write_text("\n".join(lines))
+        path = folder / f"part-{n:05d}.json"
+        path.write_text("\n".join(lines))
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))  # files are read in the order of their times
 
 
 def events(count, seed=3):
