@@ -9,6 +9,7 @@ from proofline.llm.common import public_tokenizer, saved, table
 from proofline.llm.packing import pack
 from proofline.llm.tokenfile import read_token_files, write_token_files
 from proofline.llm.warc import assemble, read_warc, write_warc
+from proofline.llm.simhash import near_duplicates
 from proofline.session import scratch
 
 
@@ -36,7 +37,12 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_simhash_tiles": op4_simhash_tiles,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
     "op9_warc_transactions": op9_warc_transactions,
