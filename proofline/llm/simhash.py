@@ -104,7 +104,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
 
 
 def forest(n: int, blocks) -> np.ndarray:
-    """Label of each of n nodes, the smallest node of its component; links come in blocks, none is kept."""
+    """Label of each of n nodes, the smallest node of its component; links come in blocks."""
     label = np.arange(n)
     for i, j in blocks:
         while len(i):
@@ -155,17 +155,25 @@ def linked(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS
 
     def compare(batches):
         for batch in batches:
-            for a, b, same in zip(batch.column("a"), batch.column("b"), batch.column("same").to_pylist(), strict=True):
-                a, b = (x.values.to_numpy().view(np.uint64) for x in (a, b))
-                if same:
-                    nodes, label = a, forest(len(a), close_pairs(a, a, radius, True))
-                else:
-                    n = len(a)
-                    nodes = np.concatenate([a, b])
-                    label = forest(len(nodes), ((i, j + n) for i, j in close_pairs(a, b, radius, False)))
+            sides = [batch.column(c) for c in ("a", "b")]
+            fps = [x.flatten().to_numpy().view(np.uint64) for x in sides]
+            ends = [np.cumsum(x.value_lengths().to_numpy()).tolist() for x in sides]
+            low, high, at_a, at_b = [], [], 0, 0
+            for end_a, end_b, same in zip(*ends, batch.column("same").to_pylist(), strict=True):
+                a, b = fps[0][at_a:end_a], fps[1][at_b:end_b]
+                at_a, at_b = end_a, end_b
+                links = [x for x in close_pairs(a, b, radius, same) if len(x[0])]
+                if not links:
+                    continue
+                nodes = a if same else np.concatenate([a, b])
+                label = forest(len(nodes), links if same else ((i, j + len(a)) for i, j in links))
                 moved = np.flatnonzero(label != np.arange(len(label)))
                 x, y = nodes[moved].view(np.int64), nodes[label[moved]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                low.append(np.minimum(x, y))
+                high.append(np.maximum(x, y))
+            if low:
+                arrays = [pa.array(np.concatenate(low)), pa.array(np.concatenate(high))]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
 
     return pairs.mapInArrow(compare, "a long, b long")
 
