@@ -10,6 +10,7 @@ from proofline.llm.packing import pack
 from proofline.llm.tokenfile import read_token_files, write_token_files
 from proofline.llm.warc import assemble, read_warc, write_warc
 from proofline.llm.simhash import near_duplicates
+from proofline.llm.decontaminate import contaminated
 from proofline.session import scratch
 
 
@@ -41,10 +42,15 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op4_simhash_tiles": op4_simhash_tiles,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
     "op9_warc_transactions": op9_warc_transactions,
+    "op10_pigeonhole_matches": op10_pigeonhole_matches,
 }
 ORACLES: dict[str, str] = {}
