@@ -11,6 +11,7 @@ from proofline.llm.tokenfile import read_token_files, write_token_files
 from proofline.llm.warc import assemble, read_warc, write_warc
 from proofline.llm.simhash import near_duplicates
 from proofline.llm.decontaminate import contaminated
+from proofline.llm.quality import quality_verdicts
 from proofline.session import scratch
 
 
@@ -46,10 +47,17 @@ def op10_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "loss"
+    )
+
+
 QUERIES = {
     "op4_simhash_tiles": op4_simhash_tiles,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
+    "op8_perplexity_bands": op8_perplexity_bands,
     "op9_warc_transactions": op9_warc_transactions,
     "op10_pigeonhole_matches": op10_pigeonhole_matches,
 }
