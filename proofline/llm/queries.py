@@ -12,6 +12,7 @@ from proofline.llm.warc import assemble, read_warc, write_warc
 from proofline.llm.simhash import near_duplicates
 from proofline.llm.decontaminate import contaminated
 from proofline.llm.quality import quality_verdicts
+from proofline.llm.crossentropy import cross_entropy_difference
 from proofline.session import scratch
 
 
@@ -53,7 +54,14 @@ def op8_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 QUERIES = {
+    "op3_cross_entropy_difference": op3_cross_entropy_difference,
     "op4_simhash_tiles": op4_simhash_tiles,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
