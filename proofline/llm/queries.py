@@ -13,6 +13,7 @@ from proofline.llm.simhash import near_duplicates
 from proofline.llm.decontaminate import contaminated
 from proofline.llm.quality import quality_verdicts
 from proofline.llm.crossentropy import cross_entropy_difference
+from proofline.llm.lines import line_report
 from proofline.session import scratch
 
 
@@ -60,9 +61,14 @@ def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
 
 
+def op5_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_cross_entropy_difference": op3_cross_entropy_difference,
     "op4_simhash_tiles": op4_simhash_tiles,
+    "op5_line_similarity_join": op5_line_similarity_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
     "op8_perplexity_bands": op8_perplexity_bands,
