@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proofline.llm.common import narrow, saved
+from proofline.llm.common import saved
 from proofline.llm.ngrams import LEAST_SHARE, Model, by_group, characters, count_grams, kneser_ney
 
 ORDER = 5
@@ -22,14 +23,15 @@ MOST_REPEATED = 50  # percent of the words
 BAND = 12.0  # spreads above and below a language's median loss
 LEAST_SPREAD = 0.02  # of the median
 WINDOW = 3
+MOST_BROADCAST = 10_000  # languages whose limits may be broadcast
 MOST_SYMBOLS = 1 / 50  # of the characters of a text that the model is trained on
 MOST_CAPITALS = 1 / 4
 
 # Characters that count as symbols. Fixed value.
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
-BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-NAMES = tuple(x.split()[0] for x in BASE.split(", "))
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*NAMES, "loss")
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -65,26 +67,22 @@ def prose(data: bytes) -> bool:
     return n > 0 and symbols <= MOST_SYMBOLS * n and capitals <= MOST_CAPITALS * n
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with their base counts, number of characters and mean loss a character (null without characters)."""
+def scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``docs``, with column grp, all columns kept; adds the base counts and the mean loss a character (null without any)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's least share
 
     def score(batches):
         for batch in batches:
-            n, loss = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for group, rows, texts in by_group(batch):
+            n, loss, text = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), batch.column(text_col)
+            for group, rows, texts in by_group(pa.RecordBatch.from_arrays([batch.column("grp"), text], ["grp", "text"])):
                 size, tokens = characters(texts)
                 n[rows], loss[rows] = size, shared.value.losses(size, tokens, group)
-            counts = np.array([base_counts(t.as_py()) for t in batch.column("text")], np.int64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("doc_id", "grp")), *(pa.array(counts[:, k]) for k in range(len(NAMES))),
-                    pa.array(n), pa.array(loss / np.maximum(n, 1), mask=n == 0),
-                ],
-                ["doc_id", "grp", *NAMES, "n_tokens", "loss"],
-            )
+            counts = np.array([base_counts(t.as_py()) for t in text], np.int64).reshape(-1, len(NAMES))
+            columns = [*(pa.array(counts[:, k]) for k in range(len(NAMES))), pa.array(loss / np.maximum(n, 1), mask=n == 0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *ADDED])
 
-    return docs.mapInArrow(score, f"doc_id long, grp string, {BASE}, n_tokens long, loss double")
+    added = T.StructType([T.StructField(c, T.LongType() if c in NAMES else T.DoubleType()) for c in ADDED])
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def bands(rows: DataFrame, band: float = BAND) -> DataFrame:
@@ -103,6 +101,25 @@ def bands(rows: DataFrame, band: float = BAND) -> DataFrame:
     return spread.select("grp", (F.col("middle") - F.col("width")).alias("lower"), (F.col("middle") + F.col("width")).alias("upper"))
 
 
+def _judged(docs: DataFrame, text_col: str, lang_col: str, order: int, band: float, least_share: float, carry: list[str]) -> DataFrame:
+    """The carried columns in a struct ``doc``, the added ones and kept; written once before the bands are known."""
+    grp = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
+    text = F.col(f"`{text_col}`")
+    grams = count_grams(docs.select(grp.alias("grp"), text.alias("text")), order, characters, prose)
+    model = kneser_ney(grams, order, least_share)
+    # The carried columns travel as c0, c1, ..., so their names cannot clash with the added ones.
+    moved = docs.select(grp.alias("grp"), text.alias("own_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
+    judged = scored(moved, model, "own_text").drop("own_text").withColumn(
+        "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    )
+    judged = saved(judged, "scored")
+    limits = saved(bands(judged, band), "bands")
+    if limits.count() <= MOST_BROADCAST:
+        limits = F.broadcast(limits)
+    inside = F.coalesce(F.col("loss").between(F.col("lower"), F.col("upper")), F.lit(True))
+    return judged.join(limits, "grp", "left").withColumn("kept", ~F.col("base_failed") & inside)
+
+
 def quality_verdicts(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
     band: float = BAND, least_share: float = LEAST_SHARE,
@@ -113,16 +130,17 @@ def quality_verdicts(
     have no words and fail; a null language is one of its own; rows of equal ids are judged each by itself; a language without
     any document that passes the base rules has no band.
     """
-    rows = narrow(docs, doc_id=id_col, text=text_col, grp=lang_col).withColumn("grp", F.coalesce(F.col("grp").cast("string"), F.lit("")))
-    model = kneser_ney(count_grams(rows, order, characters, prose), order, least_share)
-    judged = saved(
-        scored(rows, model).withColumn(
-            "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-        ),
-        "scored",
-    )
-    inside = F.coalesce(F.col("loss").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return judged.join(bands(judged, band), "grp", "left").select(
-        "doc_id", *NAMES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.col("grp").alias("language"), "loss",
+    judged = _judged(docs, text_col, lang_col, order, band, least_share, [id_col])
+    return judged.select(
+        F.col("c0").alias("doc_id"), *NAMES, "base_failed", "kept", F.col("grp").alias("language"), "loss",
         F.exp("loss").alias("perplexity"), "lower", "upper",
     )
+
+
+def kept_documents(
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, band: float = BAND,
+    least_share: float = LEAST_SHARE,
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, with their columns; no join on ids, which may repeat or be null."""
+    judged = _judged(docs, text_col, lang_col, order, band, least_share, docs.columns)
+    return judged.where("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
