@@ -14,6 +14,8 @@ from proofline.llm.decontaminate import contaminated
 from proofline.llm.quality import quality_verdicts
 from proofline.llm.crossentropy import cross_entropy_difference
 from proofline.llm.lines import line_report
+from proofline.llm.wordpiece import Automaton, token_counts, word_end_vocabulary
+from proofline.llm.quoting import format_threads, linked_messages
 from proofline.session import scratch
 
 
@@ -65,7 +67,18 @@ def op5_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automaton = Automaton(word_end_vocabulary(public_tokenizer("word_bpe_49k.json")))
+    return token_counts(table(spark, sf_dir, "documents"), automaton)
+
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_threads(linked_messages(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_quotation_linking": op2_quotation_linking,
     "op3_cross_entropy_difference": op3_cross_entropy_difference,
     "op4_simhash_tiles": op4_simhash_tiles,
     "op5_line_similarity_join": op5_line_similarity_join,
