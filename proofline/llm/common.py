@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from proofline.session import scratch
 
-# What separates words in every operator: blank and the six ASCII control spaces. Fixed value.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+# What separates words in every operator: blank and the ASCII control spaces. Fixed value.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -19,10 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write go when it is done; nothing can need them any more.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tokenizer_definition(path: str) -> str:

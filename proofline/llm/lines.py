@@ -41,9 +41,9 @@ def _byte(table: bytes, place: Column) -> Column:
 
 
 def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each line's document, number, length, set key (s1, s2) and distinct word hashes; lines without words are left out.
+    """Each line's own number (uid), document, place, length, set key (s1, s2) and distinct word hashes.
 
-    A document is its id and a hash of its text, so rows of equal id and equal text count as one document.
+    Lines without words are left out. A document is its id and a hash of its text, so rows of equal id and equal text count as one document.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     each = rows.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -52,7 +52,7 @@ def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         "doc_id", "doc_hash", "line_no", F.length("line").alias("chars"), F.sort_array(F.array_distinct(hashed)).alias("words")
     ).where(F.size("words") > 0)
     return saved(
-        sets.select("doc_id", "doc_hash", "line_no", "chars", F.xxhash64("words").alias("s1"), F.hash("words").alias("s2"), "words"),
+        sets.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "doc_hash", "line_no", "chars", F.xxhash64("words").alias("s1"), F.hash("words").alias("s2"), "words"),
         "line-sets", "zstd",
     )
 
@@ -67,89 +67,90 @@ def _rarity(lines: DataFrame) -> bytes:
 
 
 def _prefixes(lines: DataFrame, table: bytes) -> DataFrame:
-    """Each distinct set once, at its first line, with a row for each word of its prefix that is in another line too."""
+    """Each distinct set once, as its first line, with a row for each word of its prefix that is in another line too."""
     p, q = SIMILARITY
-    n = F.size("words").cast("long")
+    n = F.size("words")
     key = lambda w: F.shiftleft(_byte(table, _bucket(w)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(w, 7))
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     first = F.slice(F.sort_array(F.transform("words", key)), F.lit(1), (n - F.floor((n * p + (q - 1)) / F.lit(q)) + 1).cast("int"))
     each = lines.select(
-        "s1", "s2", F.struct("doc_id", "line_no", "doc_hash").alias("place"), n.alias("n"),
+        "s1", "s2", F.struct("doc_id", "line_no", "uid").alias("place"), n.alias("n"),
         F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(bit(w))).alias("signature"), first.alias("prefix"),
     )
     distinct = each.groupBy("s1", "s2").agg(
         F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "signature", "prefix")]
     )
-    return distinct.select(
-        "s1", "s2", "place", "n", "signature", F.posexplode("prefix").alias("i", "word")
-    ).where(F.shiftrightunsigned("word", 57) > 0)
+    return distinct.select("place.*", "n", "signature", F.posexplode("prefix").alias("i", "word")).where(
+        F.shiftrightunsigned("word", 57) > 0
+    )
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
-    """(b1, b2, a1, a2, distance): sets b that may match a set a at an earlier place."""
+    """(b, a, distance): first lines b and a of sets that may match, a before b, with the distance of their signatures."""
     a, b = (
-        prefixes.select(
-            "word", *[F.col(c).alias(side + k) for c, k in (("s1", "1"), ("s2", "2"), ("n", "_n"), ("i", "_i"), ("signature", "_bits"))],
-            *[F.col(f"place.{c}").alias(f"{side}_{c}") for c in ("doc_id", "line_no", "doc_hash")],
-        )
+        prefixes.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "line_no", "uid", "n", "i", "signature")])
         for side in "ab"
     )
     p, q = SIMILARITY
     m, n = F.col("a_n"), F.col("b_n")
     shared = _least_shared(m, n)
-    names = ("doc_id", "line_no", "doc_hash", "1", "2")
-    before = F.struct(*[F.col(f"a_{c}" if len(c) > 1 else f"a{c}").alias(c) for c in names]) < F.struct(
-        *[F.col(f"b_{c}" if len(c) > 1 else f"b{c}").alias(c) for c in names]
+    before = F.struct(F.col("a_doc_id").alias("x"), F.col("a_line_no").alias("y"), F.col("a_uid").alias("z")) < F.struct(
+        F.col("b_doc_id").alias("x"), F.col("b_line_no").alias("y"), F.col("b_uid").alias("z")
     )
-    distance = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    distance = F.bit_count(F.col("a_signature").bitwiseXOR(F.col("b_signature")))
     pairs = a.join(
         b,
-        (a["word"] == b["word"]) & (m * q >= n * p) & (n * q >= m * p)
-        & (F.col("a_i") <= m - shared) & (F.col("b_i") <= n - shared) & (distance <= m + n - shared * 2) & before,
-    )
-    return pairs.select("b1", "b2", "a1", "a2", distance.alias("distance")).groupBy("b1", "b2", "a1", "a2").agg(
-        F.first("distance").alias("distance")
+        (a["word"] == b["word"]) & (m * q >= n * p) & (n * q >= m * p) & (distance <= m + n - shared * 2)
+        & (F.col("a_i") <= m - shared) & (F.col("b_i") <= n - shared) & before,
     )
+    return pairs.select(F.col("b_uid").alias("b"), F.col("a_uid").alias("a"), distance.alias("distance")).distinct()
+
 
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines b that match their a on the words.
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The sets b that match their a on the words."""
+    A bitmap of fixed size by hash of the line leaves most other lines unread by the joins; where there are so many pairs that
+    it is full, all lines go in.
+    """
+    marks = bytearray(1 << BUCKET_BITS)
+    hashed = lambda c: _bucket(F.xxhash64(c))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).select(hashed("uid").cast("int").alias("bucket")).distinct()
+    for (bucket,) in asked.collect():
+        marks[bucket] = 1
+    words = lines.where(_byte(bytes(marks), hashed("uid")) == 1).select("uid", "words")
+    with_a = pairs.select("a", "b").join(words.select(F.col("uid").alias("a"), F.col("words").alias("wa")), "a")
+    with_b = with_a.join(words.select(F.col("uid").alias("b"), F.col("words").alias("wb")), "b")
     p, q = SIMILARITY
-    with_a = pairs.join(words.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("words").alias("wa")), ["a1", "a2"])
-    with_b = with_a.join(words.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("words").alias("wb")), ["b1", "b2"])
     both = F.size(F.array_intersect("wa", "wb"))
-    return with_b.where(both * q >= (F.size("wa") + F.size("wb") - both) * p).select("b1", "b2").distinct()
+    return saved(with_b.where(both * q >= (F.size("wa") + F.size("wb") - both) * p).select("b").distinct(), "line-matches")
 
 
 def _repeated_sets(lines: DataFrame) -> DataFrame:
-    """Keys (b1, b2) of the sets that match a set at an earlier place.
+    """First lines b whose set matches a set at an earlier place.
 
     One earlier match is enough, so each set is first verified against its most likely one; only sets that fail there are
     verified against all their candidates.
     """
     pairs = saved(_candidates(_prefixes(lines, _rarity(lines))), "line-pairs")
-    marks = bytearray(1 << BUCKET_BITS)  # which sets occur in pairs, by hash bucket
-    keys = pairs.select(F.explode(F.array("a1", "b1")).alias("s1")).select(_bucket(F.col("s1")).alias("bucket")).distinct()
-    for (bucket,) in keys.collect():
-        marks[bucket] = 1
-    asked = lines.where(_byte(bytes(marks), _bucket(F.col("s1"))) == 1)
-    words = saved(asked.groupBy("s1", "s2").agg(F.first("words").alias("words")), "line-words", "zstd")
-    best = pairs.groupBy("b1", "b2").agg(F.min(F.struct("distance", "a1", "a2")).alias("best"))
-    sure = saved(_verified(best.select("b1", "b2", "best.a1", "best.a2"), words), "line-matches")
-    rest = pairs.join(sure, ["b1", "b2"], "left_anti")
-    return sure.unionByName(_verified(rest, words))
+    best = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best"))
+    sure = _verified(best.select("b", "best.a"), lines)
+    rest = saved(pairs.join(sure, "b", "left_anti"), "line-pairs-left")
+    return sure.unionByName(_verified(rest, lines))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """doc_id, doc_hash, line_no, chars of every line that matches an earlier one."""
     lines = word_sets(docs, id_col, text_col) if lines is None else lines
-    sets = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "doc_hash")).alias("first"))
-    matched = _repeated_sets(lines).select(F.col("b1").alias("s1"), F.col("b2").alias("s2"), F.lit(True).alias("matched"))
-    sets = saved(sets.join(matched, ["s1", "s2"], "left"), "line-firsts")
-    place = F.struct("doc_id", "line_no", "doc_hash")
+    sets = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "uid", "doc_hash")).alias("place"))
+    sets = sets.select("s1", "s2", "place", F.col("place.uid").alias("first"))
+    matched = _repeated_sets(lines).select(F.col("b").alias("first"), F.lit(True).alias("matched"))
+    sets = saved(sets.join(matched, "first", "left"), "line-firsts")
+    same = F.col("place.doc_id").eqNullSafe(F.col("doc_id"))
+    for column in ("line_no", "doc_hash"):  # rows of equal id and text share their lines' places
+        same = same & (F.col(f"place.{column}") == F.col(column))
     return (
         lines.select("doc_id", "doc_hash", "line_no", "chars", "s1", "s2").join(sets, ["s1", "s2"])
-        .where(F.col("matched").isNotNull() | (place != F.col("first")))
+        .where(F.col("matched").isNotNull() | ~same)
         .select("doc_id", "doc_hash", "line_no", "chars")
     )
 
