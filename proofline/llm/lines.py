@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import BLANKS, saved
+from proofline.llm.common import saved
 
 SIMILARITY = (4, 5)  # as a fraction, so that all limits are whole numbers
 BUCKET_BITS = 18
@@ -47,7 +47,11 @@ def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     each = rows.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hashed = F.transform(F.filter(F.split("line", BLANKS), lambda w: w != ""), lambda w: F.xxhash64(w))
+    # One blank between words, so that the split needs no pattern; empty pieces drop out by their hash.
+    line = F.col("line")
+    for other in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(other), F.lit(" "))
+    hashed = F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
     sets = each.select(
         "doc_id", "doc_hash", "line_no", F.length("line").alias("chars"), F.sort_array(F.array_distinct(hashed)).alias("words")
     ).where(F.size("words") > 0)
@@ -80,7 +84,8 @@ def _prefixes(lines: DataFrame, table: bytes) -> DataFrame:
     distinct = each.groupBy("s1", "s2").agg(
         F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "signature", "prefix")]
     )
-    return distinct.select("place.*", "n", "signature", F.posexplode("prefix").alias("i", "word")).where(
+    distinct = saved(distinct.select("place.*", "n", "signature", "prefix"), "line-prefixes", "zstd")
+    return distinct.select("doc_id", "line_no", "uid", "n", "signature", F.posexplode("prefix").alias("i", "word")).where(
         F.shiftrightunsigned("word", 57) > 0
     )
 
@@ -88,11 +93,15 @@ def _prefixes(lines: DataFrame, table: bytes) -> DataFrame:
 def _candidates(prefixes: DataFrame) -> DataFrame:
     """(b, a, distance): first lines b and a of sets that may match, a before b, with the distance of their signatures."""
     a, b = (
-        prefixes.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "line_no", "uid", "n", "i", "signature")])
+        prefixes.select(
+            F.col("word").alias(f"{side}_word"), *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "uid", "signature")],
+            F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias(f"{side}_sizes"),
+            F.col("line_no").alias(f"{side}_line_no"),
+        )
         for side in "ab"
     )
     p, q = SIMILARITY
-    m, n = F.col("a_n"), F.col("b_n")
+    (m, i), (n, j) = ((F.shiftright(f"{s}_sizes", 32), F.col(f"{s}_sizes").bitwiseAND(F.lit(0xFFFFFFFF))) for s in "ab")
     shared = _least_shared(m, n)
     before = F.struct(F.col("a_doc_id").alias("x"), F.col("a_line_no").alias("y"), F.col("a_uid").alias("z")) < F.struct(
         F.col("b_doc_id").alias("x"), F.col("b_line_no").alias("y"), F.col("b_uid").alias("z")
@@ -100,8 +109,8 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     distance = F.bit_count(F.col("a_signature").bitwiseXOR(F.col("b_signature")))
     pairs = a.join(
         b,
-        (a["word"] == b["word"]) & (m * q >= n * p) & (n * q >= m * p) & (distance <= m + n - shared * 2)
-        & (F.col("a_i") <= m - shared) & (F.col("b_i") <= n - shared) & before,
+        (F.col("a_word") == F.col("b_word")) & (m * q >= n * p) & (n * q >= m * p) & (distance <= m + n - shared * 2)
+        & (i <= m - shared) & (j <= n - shared) & before,
     )
     return pairs.select(F.col("b_uid").alias("b"), F.col("a_uid").alias("a"), distance.alias("distance")).distinct()
 
