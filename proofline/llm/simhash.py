@@ -148,7 +148,7 @@ def linked(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS
     left = tiles.select(F.col("class"), F.col("part").alias("part_a"), F.col("fps").alias("a"))
     right = tiles.select(F.col("class").alias("other"), F.col("part").alias("part_b"), F.col("fps").alias("b"))
     pairs = (
-        left.join(F.broadcast(near), "class").join(right, "other")
+        left.join(near, "class").join(right, "other")
         .where("class != other or part_a <= part_b")
         .select("a", "b", F.expr("class = other and part_a = part_b").alias("same"))
     )
