@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 CACHE_ENTRIES = 3_000_000
 
 # Any white space before a space: there a cut could change the ids of a tokenizer that keeps spaces.

@@ -22,6 +22,7 @@ from proofline.llm.common import saved
 from proofline.llm.encoding import chunks, plain
 
 START = 2
+CHUNK_BYTES = 3 << 20  # of text at once: the arrays of a chunk take about forty times as much
 LEAST_SHARE = 2.0**-20
 WORD_BASE = 0x10000
 WORD_SHARE = 2.0**-17
@@ -122,7 +123,7 @@ def by_group(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]
     for group in pc.unique(groups).to_pylist():
         rows = np.flatnonzero(pc.equal(groups, group).to_numpy(zero_copy_only=False))
         texts = batch.column("text").take(pa.array(rows))
-        for at, part in chunks(texts):
+        for at, part in chunks(texts, CHUNK_BYTES):
             yield group, rows[at : at + len(part)], part
 
 
