@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.common import public_tokenizer, saved, table
+from proofline.llm.common import begin_stage, public_tokenizer, saved, table
 from proofline.llm.decontaminate import without_contaminated
 from proofline.llm.lines import dedup_lines
 from proofline.llm.packing import pack
@@ -20,18 +20,21 @@ from proofline.session import configure
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that fail a base rule or leave their language's perplexity band go."""
     configure(spark)
+    begin_stage(spark, "quality_rules")
     return kept_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that match an earlier line go; the documents stay, with their length brought up to date."""
     configure(spark)
+    begin_stage(spark, "line_dedup", after="quality_rules")
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of each group of near-duplicates the document of the smallest id stays; one row an id."""
     configure(spark)
+    begin_stage(spark, "near_dedup", after="line_dedup")
     first = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
@@ -40,12 +43,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that contain a benchmark item go."""
     configure(spark)
+    begin_stage(spark, "decontamination", after="near_dedup")
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the places of the documents' tokens in sequences of 2048."""
     configure(spark)
+    begin_stage(spark, "packing", after="decontamination")
     return pack(docs, public_tokenizer("word_bpe_49k.json"))
 
 
@@ -64,7 +69,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        rows = saved(stage(spark, rows, sf_dir), name)
+        kept = stage(spark, rows, sf_dir)
+        begin_stage(spark, "kept")
+        rows = saved(kept, name)
     return STAGES[-1][1](spark, rows, sf_dir)
 
 

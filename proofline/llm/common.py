@@ -16,6 +16,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
+# Paths of written tables by the stage of a pipeline that wrote them.
+LEFT: dict[str, list[str]] = {}
+STAGE = [""]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,9 +37,27 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
+    LEFT.setdefault(STAGE[0], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def last_saved() -> str:
+    return LEFT[STAGE[0]][-1]
+
+
+def begin_stage(spark: SparkSession, name: str, after: str | None = None) -> None:
+    """Name what is written from now on; delete what the stage ``after`` left, whose result has been written by now."""
+    STAGE[0] = name
+    for path in LEFT.pop(after, []) if after else []:
+        forget(spark, path)
+
+
 def tokenizer_definition(path: str) -> str:
     """The text of a public tokenizer file; it travels to the tasks with the job, a few MB."""
     return Path(path).read_text(encoding="utf-8")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import saved
+from proofline.llm.common import forget, last_saved, saved
 
 SIMILARITY = (4, 5)  # as a fraction, so that all limits are whole numbers
 BUCKET_BITS = 18
@@ -140,7 +140,10 @@ def _repeated_sets(lines: DataFrame) -> DataFrame:
     One earlier match is enough, so each set is first verified against its most likely one; only sets that fail there are
     verified against all their candidates.
     """
-    pairs = saved(_candidates(_prefixes(lines, _rarity(lines))), "line-pairs")
+    prefixes = _prefixes(lines, _rarity(lines))
+    used = last_saved()
+    pairs = saved(_candidates(prefixes), "line-pairs")
+    forget(lines.sparkSession, used)
     best = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best"))
     sure = _verified(best.select("b", "best.a"), lines)
     rest = saved(pairs.join(sure, "b", "left_anti"), "line-pairs-left")
