@@ -62,7 +62,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# Tokenization and the trained language model cannot be expressed in SQL; tests/llm/test_pipeline.py has the plain version.
+# Tokenization and the trained language model cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
