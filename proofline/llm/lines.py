@@ -4,8 +4,8 @@ A line is the set of its words. Two lines match at Jaccard similarity 0.8 or mor
 (by document id, then line number) matches it. Method: words are ordered by rarity; if two sets of sizes m and n match, they
 share at least a = ceil(t / (1 + t) * (m + n)) words, so the first word they share is, in both, among the first
 size - a + 1. Only those prefixes are joined, under the length filter, the positional filter, and a filter on 64-bit
-signatures (each word sets one bit, so the differing bits are at most the differing words). What is left is verified on the
-words.
+signatures (each word turns one bit over, so the differing bits are at most the differing words, however long the lines are).
+What is left is verified on the words.
 
 Words are represented by 64-bit hashes: the logarithm of the word's frequency in the six high bits, so that plain numeric
 order is the order by rarity, and 57 bits of hash. Frequencies are those of 2^18 hash buckets, counted over all lines;
@@ -21,8 +21,7 @@ from proofline.llm.common import forget, last_saved, saved
 
 SIMILARITY = (4, 5)  # as a fraction, so that all limits are whole numbers
 BUCKET_BITS = 18
-
-
+MARKS = 7 << BUCKET_BITS  # lines are marked in a bitmap of this fixed size, seven to a byte
 
 
 def _least_shared(m: Column, n: Column) -> Column:
@@ -35,9 +34,13 @@ def _bucket(word: Column) -> Column:
     return F.shiftrightunsigned(word, 64 - BUCKET_BITS)
 
 
-def _byte(table: bytes, place: Column) -> Column:
-    """The byte, under 128, of a fixed table."""
-    return F.ascii(F.substring(F.lit(bytearray(table)), place.cast("int") + 1, 1).cast("string"))
+def _bit(word: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def _entry(table: bytes, place: Column) -> Column:
+    """The number, under 128, of a fixed table; the array is folded into one literal, so a look-up is one access."""
+    return F.get(F.split(F.lit(" ".join(map(str, table))), " ").cast("array<int>"), place.cast("int"))
 
 
 def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,12 +77,11 @@ def _prefixes(lines: DataFrame, table: bytes) -> DataFrame:
     """Each distinct set once, as its first line, with a row for each word of its prefix that is in another line too."""
     p, q = SIMILARITY
     n = F.size("words")
-    key = lambda w: F.shiftleft(_byte(table, _bucket(w)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(w, 7))
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    key = lambda w: F.shiftleft(_entry(table, _bucket(w)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(w, 7))
     first = F.slice(F.sort_array(F.transform("words", key)), F.lit(1), (n - F.floor((n * p + (q - 1)) / F.lit(q)) + 1).cast("int"))
     each = lines.select(
         "s1", "s2", F.struct("doc_id", "line_no", "uid").alias("place"), n.alias("n"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(bit(w))).alias("signature"), first.alias("prefix"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(_bit(w))).alias("signature"), first.alias("prefix"),
     )
     distinct = each.groupBy("s1", "s2").agg(
         F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "signature", "prefix")]
@@ -115,18 +117,43 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     return pairs.select(F.col("b_uid").alias("b"), F.col("a_uid").alias("a"), distance.alias("distance")).distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines b that match their a on the words.
+def _asked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines that ``pairs`` name, and few others.
 
-    A bitmap of fixed size by hash of the line leaves most other lines unread by the joins; where there are so many pairs that
-    it is full, all lines go in.
+    A bitmap of fixed size by hash of the line leaves most other lines unread by the joins that follow; where there are so many
+    pairs that it is full, all lines go in.
     """
+    mark = lambda uid: F.pmod(F.xxhash64(uid), F.lit(MARKS))
+    place, bit = F.floor(F.col("mark") / 7).cast("int"), F.expr("shiftleft(1, cast(mark % 7 as int))")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).select(mark("uid").alias("mark"))
     marks = bytearray(1 << BUCKET_BITS)
-    hashed = lambda c: _bucket(F.xxhash64(c))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).select(hashed("uid").cast("int").alias("bucket")).distinct()
-    for (bucket,) in asked.collect():
-        marks[bucket] = 1
-    words = lines.where(_byte(bytes(marks), hashed("uid")) == 1).select("uid", "words")
+    for i, bits in asked.groupBy(place.alias("i")).agg(F.bit_or(bit).alias("bits")).collect():
+        marks[i] = bits
+    marked = lines.select("uid", "words", mark("uid").alias("mark"))
+    return marked.where(_entry(bytes(marks), place).bitwiseAND(bit) != 0).select("uid", "words")
+
+
+def _close(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs that signatures of 256 bits allow, with that distance; long lines often pass the 64 bits of the join by chance."""
+
+    def part(i):
+        turned = lambda w: F.when(F.shiftright(w, 6).bitwiseAND(F.lit(3)) == i, _bit(w)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(turned(w)))
+
+    parts = [f"p{i}" for i in range(4)]
+    sketches = _asked(pairs, lines).select("uid", F.size("words").alias("n"), *[part(i).alias(c) for i, c in enumerate(parts)])
+    joined = pairs.select("a", "b")
+    for side in "ab":
+        joined = joined.join(sketches.select(F.col("uid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *parts)]), side)
+    m, n = F.col("a_n"), F.col("b_n")
+    distance = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parts), F.lit(0))
+    allowed = m + n - _least_shared(m, n) * 2
+    return joined.select("a", "b", distance.alias("distance"), allowed.alias("allowed")).where("distance <= allowed").drop("allowed")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines b that match their a on the words."""
+    words = _asked(pairs, lines)
     with_a = pairs.select("a", "b").join(words.select(F.col("uid").alias("a"), F.col("words").alias("wa")), "a")
     with_b = with_a.join(words.select(F.col("uid").alias("b"), F.col("words").alias("wb")), "b")
     p, q = SIMILARITY
@@ -144,6 +171,7 @@ def _repeated_sets(lines: DataFrame) -> DataFrame:
     used = last_saved()
     pairs = saved(_candidates(prefixes), "line-pairs")
     forget(lines.sparkSession, used)
+    pairs = saved(_close(pairs, lines), "line-pairs-close")
     best = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best"))
     sure = _verified(best.select("b", "best.a"), lines)
     rest = saved(pairs.join(sure, "b", "left_anti"), "line-pairs-left")
