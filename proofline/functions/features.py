@@ -60,7 +60,7 @@ def widen(df: DataFrame, keys: Sequence[str], features: str = "features") -> Dat
 def lengthen(df: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:
     """One row per feature: ``feature_index``, ``feature_name``, ``value``. The form all statistics use."""
     rows = df.select(*keep, F.explode(features).alias("feature_name", "value"))
-    index = F.right("feature_name", F.lit(3)).cast("int")
+    index = F.substring("feature_name", 2, 9).cast("int")
     return rows.select(*keep, index.alias("feature_index"), "feature_name", clean_feature(F.col("value")).alias("value"))
 
 

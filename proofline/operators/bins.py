@@ -40,20 +40,24 @@ def bin_edges(long: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame
     )
 
 
-def bucket_counts(long: DataFrame, edges: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+def bucket_counts(long: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Values per right-closed bucket, empty buckets included, as an array per group.
 
-    ``edges`` is a small table; counting is a conditional aggregate, so nothing but ``most`` counters
-    per group is shuffled.
+    The edges of a group say how many buckets it has, whatever that number is. Rows are counted per bucket before anything is
+    shuffled; an array holds one count per bucket.
     """
-    width = F.size("bin_edges") + 1
     placed = attach(
         long.where(F.col("value").isNotNull()), edges.select(*keys, "bin_edges"), keys, "inner"
-    ).withColumn("_bucket", bisect(F.col("bin_edges"), F.col("value")))
-    counters = [F.count_if(F.col("_bucket") == i).alias(f"_b{i}") for i in range(most)]
-    counted = placed.groupBy(*keys, "bin_edges").agg(*counters)
-    every = F.array(*[F.col(f"_b{i}") for i in range(most)])
-    return counted.select(*keys, F.slice(every, F.lit(1), width).alias("bin_counts"))
+    ).select(*keys, "bin_edges", bisect(F.col("bin_edges"), F.col("value")).cast("int").alias("_bucket"))
+    counted = placed.groupBy(*keys, "bin_edges", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    found = counted.groupBy(*keys, "bin_edges").agg(
+        F.map_from_entries(F.collect_list(F.struct("_bucket", "_rows"))).alias("_found")
+    )
+    every = F.transform(
+        F.sequence(F.lit(0), F.size("bin_edges")),
+        lambda i: F.coalesce(F.try_element_at("_found", i), F.lit(0).cast("bigint")),
+    )
+    return found.select(*keys, every.alias("bin_counts"))
 
 
 def shares(counts: Column) -> Column:
@@ -64,7 +68,7 @@ def shares(counts: Column) -> Column:
 def reference_bins(long: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
     """Edges, counts and ratios of the reference distribution per group."""
     edges = small_table(bin_edges(long, keys, bins), 200_000)
-    counts = bucket_counts(long, edges, keys, max(bins, 3))
+    counts = bucket_counts(long, edges, keys)
     return attach(edges, counts, keys).withColumn("bin_ratios", shares(F.col("bin_counts")))
 
 
@@ -82,13 +86,12 @@ def stability_index(expected: Column, actual: Column, epsilon: float = PSI_EPSIL
 
 def feature_psi(
     long: DataFrame, reference: DataFrame, keys: Sequence[str], min_rows: int = 1, epsilon: float = PSI_EPSILON,
-    bins: int = 10,
 ) -> DataFrame:
     """Stability index of the current long rows per group of ``reference`` (edges, counts, ratios)."""
     stored = reference.where(
         (F.col("non_null_count") >= min_rows) & (F.size("bin_ratios") == F.size("bin_edges") + 1)
     )
-    counts = bucket_counts(long, stored, keys, max(bins, 3))
+    counts = bucket_counts(long, stored, keys)
     total = F.aggregate("bin_counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     current = counts.withColumn("current_non_null", total).where(F.col("current_non_null") >= min_rows)
     joined = attach(current, stored.select(*keys, "bin_ratios", "non_null_count"), keys, "inner")

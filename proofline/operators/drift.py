@@ -242,7 +242,7 @@ def fixed_drift(
     predictions: DataFrame, baselines: DataFrame, stats: DataFrame, snapshots: DataFrame | None = None,
     window_minutes: float = 3, top_n_features: int = 30,
     min_feature_non_null: int = 30, min_feature_samples: int = 30, min_psi_non_null: int = 30,
-    epsilon: float = PSI_EPSILON, bins: int = 10, evaluation_id: str | None = None, computed_at: float | None = None,
+    epsilon: float = PSI_EPSILON, evaluation_id: str | None = None, computed_at: float | None = None,
 ) -> DataFrame:
     """Newest window of every baseline's model against the stored reference statistics.
 
@@ -289,8 +289,8 @@ def fixed_drift(
     reference = stored.where(F.col("metric_name") == "feature_distribution_bins").select(
         *key, "feature_name", "non_null_count", "bin_edges", "bin_ratios"
     )
-    psi = feature_psi(long, reference, [*key, "feature_name"], min_psi_non_null, epsilon, bins)
-    index = F.right("feature_name", F.lit(3)).cast("int")
+    psi = feature_psi(long, reference, [*key, "feature_name"], min_psi_non_null, epsilon)
+    index = F.substring("feature_name", 2, 9).cast("int")
     psi_lines = psi.select(
         *key, index.alias("feature_index"), "feature_name", F.lit("feature_psi").alias("metric_name"),
         F.col("psi").alias("metric_value"), F.lit(0.0).alias("baseline_value"), F.col("psi").alias("current_value"),

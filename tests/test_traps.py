@@ -150,13 +150,13 @@ def test_constant_reference_has_three_buckets(spark):
     row = reference.first()
     assert row.bin_edges == [math.nextafter(3.0, -math.inf), 3.0]
     assert (row.binning, row.bin_counts) == ("constant_baseline_anchor", [0, 5, 0])
-    now = bins.bucket_counts(long(spark, [2.9, 3.0, 3.1]), reference, ["feature_name"], 10).first()
+    now = bins.bucket_counts(long(spark, [2.9, 3.0, 3.1]), reference, ["feature_name"]).first()
     assert now.bin_counts == [1, 1, 1]
 
 
 def test_value_on_an_edge_falls_below_it(spark):
     edges = spark.createDataFrame([("f000", [1.0, 2.0])], "feature_name string, bin_edges array<double>")
-    assert bins.bucket_counts(long(spark, [1.0, 2.0, 2.5]), edges, ["feature_name"], 10).first().bin_counts == [1, 1, 1]
+    assert bins.bucket_counts(long(spark, [1.0, 2.0, 2.5]), edges, ["feature_name"]).first().bin_counts == [1, 1, 1]
 
 
 def test_stability_index_by_hand(spark):
@@ -250,3 +250,13 @@ def test_labels_as_of_uses_each_rows_cutoff(spark):
 def test_long_form_indexes(spark):
     df = spark.createDataFrame([({"f007": 1.0, "f589": None},)], "features map<string,double>")
     assert sorted((r.feature_index, r.value) for r in lengthen(df, []).collect()) == [(7, 1.0), (589, None)]
+
+
+def test_stability_index_takes_its_buckets_from_the_stored_edges(spark):
+    values = [float(i) for i in range(200)]
+    for n in (5, 10, 20):
+        reference = bins.reference_bins(long(spark, values), ["feature_name"], n)
+        row = bins.feature_psi(long(spark, [v / 2 for v in values]), reference, ["feature_name"]).first()
+        assert row is not None and row.current_non_null == 200 and row.psi > 0
+        same = bins.feature_psi(long(spark, values), reference, ["feature_name"]).first()
+        assert abs(same.psi) < 1e-12
