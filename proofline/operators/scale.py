@@ -114,7 +114,7 @@ def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], lower: bool = False,
     small_rows: int | None = None,
 ) -> DataFrame:
-    """One row per group: ``_n`` and ``_q``, the exact quantiles of the non-null values.
+    """One row per group: ``_n`` and ``_q``, the exact quantiles of the values that are neither null nor NaN.
 
     Linear interpolation at position (n-1)q, or with ``lower`` the element at floor((n-1)q).
     Groups of a checked size are sorted. Beyond it, an approximate quantile
@@ -122,7 +122,7 @@ def exact_quantiles(
     the exact element is found by running counts over the few distinct values left inside.
     """
     limit = PIECE_ROWS if small_rows is None else small_rows
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).where(~F.isnan("_v"))
     largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
     if largest <= limit:
         return _sorted_quantiles(rows, keys, probs, lower)

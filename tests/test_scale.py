@@ -110,3 +110,13 @@ def test_registered_queries_with_every_group_hot(spark, monkeypatch, name):
     monkeypatch.setattr(scale, "SKETCH_ACCURACY", 200)
     small = "/root/testdata/sf0.001"
     assert compare(registry.queries()[name](spark, small), registry.oracle_sql()[name], small) == []
+
+
+def test_quantiles_leave_nan_out_at_every_size(spark):
+    values = [1.0, 2.0, 2.0, 3.0, float("inf"), float("nan"), None, float("-inf")] * 40
+    rows = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    small, large = (
+        exact_quantiles(rows, ["g"], "v", [0.0, 0.25, 0.5, 1.0], small_rows=limit).first() for limit in (10_000, 10)
+    )
+    assert small == large
+    assert small["_n"] == 240 and small["_q"] == [float("-inf"), 1.0, 2.0, float("inf")]
