@@ -76,12 +76,24 @@ class Table:
     partition_by: tuple[str, ...] = ()
 
     def exists(self, spark: SparkSession) -> bool:
-        jvm = spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        return system.exists(folder) and any(
-            s.getPath().getName() == "_SUCCESS" for s in system.listStatus(folder)
-        )
+        self._recover(spark)
+        return self._complete(spark, self.path)
+
+    def _complete(self, spark: SparkSession, path: str) -> bool:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder.suffix("/_SUCCESS"))
+
+    def _recover(self, spark: SparkSession) -> None:
+        """Finish a ``replace`` that stopped between its two renames: the new copy is complete then, the old one still there."""
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        system = path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path(self.path)):
+            return
+        for copy in (f"{self.path}__new", f"{self.path}__old"):
+            if self._complete(spark, copy):
+                if not system.rename(path(copy), path(self.path)):
+                    raise RuntimeError(f"cannot bring {copy} back")
+                return
 
     def read(self, spark: SparkSession) -> DataFrame | None:
         return spark.read.parquet(self.path) if self.exists(spark) else None
@@ -102,6 +114,7 @@ class Table:
         jvm = spark._jvm
         path = jvm.org.apache.hadoop.fs.Path
         system = path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._recover(spark)
         fresh, old = f"{self.path}__new", f"{self.path}__old"
         writer = rows.write.mode("overwrite")
         if self.partition_by:

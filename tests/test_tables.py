@@ -158,3 +158,13 @@ def test_training_finds_a_separating_feature(spark):
     assert scored.where((F.col("predicted_value") == 1) != (F.col("predicted_label") == "fail")).count() == 0
     weights = {r.actual_value: r._weight for r in training.with_class_weight(rows).select("actual_value", "_weight").distinct().collect()}
     assert weights == {1: pytest.approx(2.0), -1: pytest.approx(200 / 300)}
+
+
+def test_stopped_replace_keeps_the_table(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "id string, n int")
+    for name, copies, expected in (("new", ("__new", "__old"), ["a", "b", "c"]), ("old", ("__old",), ["a", "b"])):
+        table = Table(str(tmp_path / name), ("id",))
+        for copy in copies:
+            rows(*("abc" if copy == "__new" else "ab")).write.parquet(table.path + copy)
+        table.upsert(rows("d"), "n")
+        assert sorted(r.id for r in table.read(spark).collect()) == [*expected, "d"]
