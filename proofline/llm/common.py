@@ -47,6 +47,15 @@ def forget(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def of_ids(rows: DataFrame, found: DataFrame, key: str, most: int = 2_000_000) -> DataFrame:
+    """The rows whose key is in ``found``, without moving their texts if there are at most ``most`` ids (8 bytes each) to send.
+
+    More ids are joined by shuffle; the result is the same.
+    """
+    found = saved(found.select(key).distinct(), "ids")
+    return rows.join(F.broadcast(found) if found.count() <= most else found, key, "left_semi")
+
+
 def last_saved() -> str:
     return LEFT[STAGE[0]][-1]
 

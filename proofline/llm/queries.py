@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.common import public_tokenizer, saved, table
+from proofline.llm.common import of_ids, public_tokenizer, saved, table
 from proofline.llm.packing import pack
 from proofline.llm.tokenfile import read_token_files, write_token_files
 from proofline.llm.warc import assemble, read_warc, write_warc
@@ -59,8 +59,8 @@ def op8_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy_difference(docs, of_ids(docs, good, "doc_id"))
 
 
 def op5_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
