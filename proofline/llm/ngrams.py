@@ -256,7 +256,7 @@ def kneser_ney(grams: DataFrame, order: int, least_share: float = LEAST_SHARE) -
             F.sum("c").alias("total"), *kinds[:2], F.sum((F.col("c") >= 3).cast("long")).alias("n3")
         ).where(F.col("total") >= least)
         kept = {n: d.toArrow() for n, d in (("grams", table.where(F.col("c") >= least)), ("contexts", contexts))}
-        discounts = np.array([_discounts([getattr(stats[k][g], f"n{j}") for j in (1, 2, 3, 4)]) for g in groups])
+        discounts = np.array([_discounts([getattr(stats[k][g], f"n{j}") for j in (1, 2, 3, 4)]) for g in groups]).reshape(-1, 3)
         group = np.array([place[g] for g in kept["contexts"]["grp"].to_pylist()], np.int64)
         rows = _rows(kept["contexts"]["context"].to_pylist(), k - 1)
         number = [kept["contexts"][c].to_numpy().astype(np.float64) for c in ("total", "n1", "n2", "n3")]
