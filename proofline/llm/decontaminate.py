@@ -2,10 +2,11 @@
 
 A test item with error budget k is split into k + 1 pieces: wherever the item occurs with at most k edits, one piece occurs
 exactly. Pieces of all items are found in one pass over each text by an Aho-Corasick automaton. A hit is verified with
-Myers' bit-parallel distance, from the inside out: the pieces are the leaves of a binary tree whose nodes have half the
-budget of their parent, so a chance hit is given up after comparing two or four pieces.
+Myers' bit-parallel distance, from the inside out: the pieces are the leaves of a binary tree in which a node of m leaves has a
+budget of m - 1, so a chance hit is given up after comparing two or three pieces. Where a node is within its budget, one of its
+two children is.
 
-The budget is the largest 2^h - 1 up to ``error_rate`` of the item's length, so that the pieces are the leaves of a full tree.
+The budget k is all of ``error_rate`` of the item's length, rounded down; the tree is uneven where k + 1 is no power of two.
 """
 
 from __future__ import annotations
@@ -36,7 +37,26 @@ def normalised(text: str | None) -> str:
     return f" {words} " if words else ""
 
 
+def edits(length: int, error_rate: float) -> int:
+    """The error budget: the rate of the length, rounded down."""
+    return int(error_rate * length + 1e-9)
+
+
+def tree_paths(leaves: int) -> list[list[tuple[int, int]]]:
+    """Of each leaf the nodes above it, as (first leaf, end), from its parent to the root. A node's halves differ by one leaf at most."""
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(leaves)]
+    nodes = [(0, leaves)]
+    for first, end in nodes:  # grows: parents come before their children
+        if end - first > 1:
+            for leaf in range(first, end):
+                paths[leaf].insert(0, (first, end))
+            middle = (first + end) // 2
+            nodes += [(first, middle), (middle, end)]
+    return paths
+
+
 def budget(length: int, error_rate: float) -> int:
+    """The largest 2^h - 1 within the rate. Not the budget of an item, which is ``edits``."""
     k = 0
     while 2 * k + 1 <= error_rate * length:
         k = 2 * k + 1
@@ -44,15 +64,16 @@ def budget(length: int, error_rate: float) -> int:
 
 
 class Pattern:
-    """An item: its tree of halves, and the bit masks of each node's text."""
+    """An item: its pieces, the tree over them, and the bit masks of each node's text."""
 
     def __init__(self, item_id: int, text: str, error_rate: float) -> None:
         self.item_id = item_id
         # A short item must be whole words, a longer one need not begin or end at one.
         self.text = text if len(text) - 2 < LEAST_CHARS else text[1:-1]
-        self.k = 0 if len(text) - 2 < LEAST_CHARS else budget(len(self.text), error_rate)
+        self.k = 0 if len(text) - 2 < LEAST_CHARS else edits(len(self.text), error_rate)
         n, size = self.k + 1, len(self.text)
         self.cuts = [size * i // n for i in range(n + 1)]
+        self.paths = tree_paths(n)
         self.masks: dict[tuple[int, int], dict[str, int]] = {}
 
     def pieces(self) -> list[str]:
@@ -86,10 +107,10 @@ class Pattern:
             minus = up & both & full
         return best, end
 
-    def _near(self, text: str, piece: int, begin: int) -> bool:
-        """Is the piece's sibling beside the hit with at most one edit? A budget of one leaves one half exact, so this is exact."""
+    def _near(self, text: str, piece: int, begin: int, after: bool) -> bool:
+        """Is the piece's sibling, before or after it, beside the hit with at most one edit? A budget of one leaves one half exact, so this is exact."""
         end = begin + self.cuts[piece + 1] - self.cuts[piece]
-        if piece % 2:  # the sibling is before: compare both reversed
+        if not after:  # the sibling is before: compare both reversed
             want = self.text[self.cuts[piece - 1] : self.cuts[piece]][::-1]
             have = text[max(0, begin - len(want) - 1) : begin][::-1]
         else:
@@ -107,20 +128,18 @@ class Pattern:
         """(distance, end) of the item around its piece found at ``begin``, or None if it is not there."""
         if self.k == 0:
             return 0, begin + len(self.text)
-        if not self._near(text, piece, begin):
+        path, offset = self.paths[piece], self.cuts[piece]
+        first, end = path[0]
+        if end - first == 2 and not self._near(text, piece, begin, piece == first):
             return None
-        span, offset = 2 if self.k > 1 else 1, self.cuts[piece]
-        while True:
-            span *= 2
-            inner = span - 1
-            first = piece // span * span
-            a, b = self.cuts[first], self.cuts[first + span]
+        for first, end in path[1:] if end - first == 2 and len(path) > 1 else path:
+            inner = end - first - 1
+            a, b = self.cuts[first], self.cuts[end]
             left = max(0, begin - (offset - a) - inner)
-            distance, end = self._distance(a, b, text[left : begin + (b - offset) + inner])
+            distance, last = self._distance(a, b, text[left : begin + (b - offset) + inner])
             if distance > inner:
                 return None
-            if span > self.k:
-                return distance, left + end
+        return distance, left + last
 
 
 class Matcher:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from proofline.llm.decontaminate import Matcher, budget, contaminated, normalised, without_contaminated
+from proofline.llm.decontaminate import Matcher, budget, contaminated, edits, normalised, tree_paths, without_contaminated
 
 
 def plain_distance(pattern, text):
@@ -57,6 +57,30 @@ def test_budget_leaves_a_full_tree():
     assert [budget(n, 0.1) for n in (5, 10, 29, 30, 75, 150, 309, 310)] == [0, 1, 1, 3, 7, 15, 15, 31]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_whole_budget_against_dynamic_program(seed):
+    """Items with up to a little more than all edits of the unrounded rate."""
+    rng = random.Random(1000 + seed)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
+    items = [(i, normalised(" ".join(word() for _ in range(rng.choice((5, 8, 13, 30, 45)))))) for i in range(5)]
+    text = " ".join(word() for _ in range(20))
+    for _, item in items:
+        text += " " + edited(item.strip(), len(item) // 10 + rng.randrange(-4, 2), rng) + " " + word()
+    text, expected = normalised(text), {}
+    for i, item in items:
+        whole_word = len(item) - 2 < 16
+        d = plain_distance(item if whole_word else item[1:-1], text)
+        if d <= (0 if whole_word else (len(item) - 2) // 10):
+            expected[i] = d
+    matcher = Matcher(items, 0.1)
+    assert {matcher.patterns[p].item_id: v[0] for p, v in matcher.matches(text).items()} == expected
+
+
+def test_budget_is_the_whole_rate():
+    assert [edits(n, 0.1) for n in (9, 10, 29, 30, 149, 309, 310)] == [0, 1, 2, 3, 14, 30, 31]
+    assert tree_paths(1) == [[]] and tree_paths(3) == [[(0, 3)], [(1, 3), (0, 3)], [(1, 3), (0, 3)]]
+
+
 def test_normalised():
     assert normalised("  Éa,B’c_d\n\n«X» ") == " éa b c d x "
     assert normalised(None) == "" and normalised(" ?! ") == ""
