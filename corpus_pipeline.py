@@ -32,12 +32,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of near-duplicates the document of the smallest id stays; one row an id."""
+    """Operator 4: of each group of near-duplicates one document stays, that of the smallest id (a null one last).
+
+    Rows are told apart by a number of their own, so rows of equal or null ids are dropped only as near-duplicates. Of equal ids
+    the smallest text hash stays, then the smallest number.
+    """
     configure(spark)
     begin_stage(spark, "near_dedup", after="line_dedup")
-    first = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    groups = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = (
+        groups.join(rows.select("_row", rank.alias("rank")), "_row").groupBy("component_id").agg(F.min("rank").alias("first"))
+        .select(F.col("first._row").alias("_row"))
+    )
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
