@@ -1,6 +1,6 @@
 """Cross-entropy difference: how much more a document looks like the target than like the background.
 
-Two n-gram models over one word vocabulary, of the same order, smoothing and pruning: one of the target texts, one of all
+Two n-gram models over the same words, of the same order and smoothing, neither of them pruned: one of the target texts, one of all
 texts. A document's score is the mean over its tokens of target loss minus background loss; low scores are in-domain.
 """
 
@@ -11,47 +11,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import narrow
-from proofline.llm.ngrams import LEAST_SHARE, WORD_SHARE, by_group, count_grams, kneser_ney, vocabulary, words
+from proofline.llm.common import narrow, saved
+from proofline.llm.ngrams import WORD_CODES, HashArray, by_group, kneser_ney, losses, unit_grams, vocabulary, with_units, words
 
 ORDER = 2
 TARGET, BACKGROUND = "target", "background"
+UNTRAINED = float(np.log(0x110000))
 
 
 def cross_entropy_difference(
     docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-    word_share: float = WORD_SHARE, least_share: float = LEAST_SHARE,
+    word_share: float = 0.0, least_share: float = 0.0,
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss (nats a token) and score, their difference.
 
-    ``target``: the in-domain texts, with a column ``text_col``. Counts cover every text of both tables. Words outside the
-    vocabulary are one token of it. Null and empty texts have no tokens and null losses; rows of equal ids are scored each by
-    itself; without target texts all target losses are those of unknown words.
+    ``target``: the in-domain texts, with a column ``text_col``. Counts cover every text of both tables, and every n-gram is kept.
+    ``word_share``: words of a smaller share of all are one token; by default each word is one of its own. Null and empty
+    texts have no tokens and null losses; rows of equal ids are scored each by itself; without target texts all target losses
+    are those of unknown words.
     """
+    if order != ORDER or least_share:
+        raise ValueError("models are of word pairs, and no pair is dropped")
     rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("grp", F.lit(BACKGROUND))
-    tokens = words(vocabulary(rows, word_share))
-    shared, models = docs.sparkSession.sparkContext, {}
-    for name, table in ((TARGET, narrow(target, text=text_col)), (BACKGROUND, rows.select("text"))):
-        grams = count_grams(table.withColumn("grp", F.lit(name)), order, tokens)
-        models[name] = kneser_ney(grams, order, least_share)
-    both = shared.broadcast(models)  # at most 1 / least_share n-grams and contexts an order
-
-    def score(batches):
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            loss = {name: np.zeros(batch.num_rows) for name in both.value}
-            for _, at, texts in by_group(batch):
-                size, found = tokens(texts)
-                n[at] = size
-                for name, model in both.value.items():
-                    loss[name][at] = model.losses(size, found, name)
-            per = {name: x / np.maximum(n, 1) for name, x in loss.items()}
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()), pa.array(n),
-                    *(pa.array(x, mask=n == 0) for x in (per[TARGET], per[BACKGROUND], per[TARGET] - per[BACKGROUND])),
-                ],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    tokens = words(vocabulary(rows, word_share) if word_share else None)
+    rows = with_units(rows)
+    grams = unit_grams(rows, order, tokens)
+    aimed = with_units(narrow(target, text=text_col).withColumn("grp", F.lit(TARGET)).withColumn("place", F.monotonically_increasing_id()))
+    (singles, pairs), letters = kneser_ney(unit_grams(aimed, order, tokens), order, WORD_CODES)
+    own = kneser_ney(grams, order, WORD_CODES)[0][-1].grams
+    # Of every pair of the background its probability in the target: its own, or that of its second word by the pair's weight.
+    alone = singles.contexts.join(letters, "grp").select((F.col("back") / F.col("letters")).alias("alone"))  # one row, or none
+    aimed = (
+        own.select("hash", "gram", F.log("p").alias("background"), F.substring("gram", 1, WORD_CODES).alias("context"),
+                   F.substring("gram", WORD_CODES + 1, WORD_CODES).alias("word"))
+        .join(pairs.grams.select("gram", F.col("p").alias("pair")), "gram", "left")
+        .join(pairs.contexts.select("context", "back"), "context", "left")
+        .join(singles.grams.select(F.col("gram").alias("word"), F.col("p").alias("single")), "word", "left")
+        .join(F.broadcast(alone), how="left")
+    )
+    backed = F.coalesce("back", F.lit(1.0)) * F.coalesce("single", "alone")
+    values = saved(
+        aimed.select("hash", "background", F.coalesce(F.log(F.coalesce("pair", backed)), F.lit(-UNTRAINED)).alias("target")), "pairs"
+    )
+    found = grams.select("unit", "hash").join(values, "hash")
+
+    def score(own: pa.Table, values: pa.Table) -> pa.Table:
+        table = HashArray(values["hash"].to_numpy().view(np.uint64), values["target"].to_numpy(), values["background"].to_numpy())
+        n, at_target, at_background = (np.zeros(own.num_rows, t) for t in (np.int64, float, float))
+        own = own.combine_chunks()
+        begin = 0
+        for batch in own.to_batches():
+            for group, at, texts in by_group(batch):
+                size, ids, names = tokens(texts)
+                n[begin + at] = size
+                at_target[begin + at], at_background[begin + at] = losses(size, ids, names, order, group, table)
+            begin += batch.num_rows
+        a, b = at_target / np.maximum(n, 1), at_background / np.maximum(n, 1)
+        return pa.table(
+            [own["doc_id"].cast(pa.int64()), pa.array(n), *(pa.array(x, mask=n == 0) for x in (a, b, a - b))],
+            ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
+
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return rows.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(score, schema)

@@ -1,11 +1,11 @@
-"""Interpolated modified Kneser-Ney models of token n-grams, counted by Spark and kept in sorted hash arrays.
+"""Interpolated modified Kneser-Ney models of token n-grams, counted and kept in Spark tables. No n-gram is dropped.
 
-A token is a Unicode code point: a character, or the number of a vocabulary word moved to 65,536 and above. So an n-gram is
-a short string, and counts, suffixes and contexts are plain DataFrame group-bys over strings.
+A token is a fixed number of Unicode code points: a character is one, a word three that hold a 60-bit hash. So an n-gram is a
+short string, and counts, suffixes and contexts are plain DataFrame group-bys over strings.
 
-A model keeps, per order, the n-grams and contexts with at least ``least_share`` of the order's total count. There can be no
-more than 1 / least_share of them, whatever the corpus, so the model may travel to every task; what is rarer is scored
-by backing off, as in any pruned model. Totals, discounts and continuation counts are taken before pruning, over all data.
+Texts are dealt into units of about ``UNIT_BYTES`` by a hash of their row. A unit's distinct n-grams are joined to the table of
+log probabilities by a 64-bit hash, and come back to the unit's texts: the memory of a task is that of a unit, whatever the
+number of n-grams.
 """
 
 from __future__ import annotations
@@ -15,50 +15,65 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import saved
+from proofline.llm.common import forget, last_saved, saved
 from proofline.llm.encoding import chunks, plain
 
 START = 2
 CHUNK_BYTES = 3 << 20  # of text at once: the arrays of a chunk take about forty times as much
-LEAST_SHARE = 2.0**-20
+UNIT_BYTES = 8 << 20  # of text in a unit
+MOST_BROADCAST = 10_000  # groups whose totals may be broadcast
+WORD_CODES = 3  # code points of a word, 20 bits of its hash each
 WORD_BASE = 0x10000
-WORD_SHARE = 2.0**-17
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+# (tokens of each text, all tokens as small numbers, the code points of each number or None if it is one itself)
+Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
-def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of each text, all tokens): the characters, with line ends as blanks."""
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, None]:
+    """Tokens are the characters, with line ends as blanks."""
     texts = plain(texts)
     count = pc.utf8_length(texts).to_numpy().astype(np.int64)
     joined = np.frombuffer("".join(texts.to_numpy(zero_copy_only=False)).encode("utf-32-le"), "<u4")
-    return count, np.where(joined == 10, np.uint32(32), joined)
+    return count, np.where(joined == 10, np.uint32(32), joined), None
 
 
-def words(vocabulary: pa.Array) -> Tokens:
-    """Tokens are words of the vocabulary, lower-cased; all others are one token."""
+def word_codes(words: list[str]) -> np.ndarray:
+    """Of each word three code points from 0x10000 on, with 60 bits of its hash."""
+    digest = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    codes = [(digest >> np.uint64(20 * k)) & np.uint64(0xFFFFF) for k in range(WORD_CODES)]
+    return np.stack(codes, axis=1).astype(np.uint32) + np.uint32(WORD_BASE)
 
-    def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+
+def words(vocabulary: pa.Array | None = None) -> Tokens:
+    """Tokens are the lower-cased words; with a vocabulary, all words outside it are one token."""
+
+    def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(plain(texts))))
         coded = cut.flatten().dictionary_encode()
-        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=vocabulary), len(vocabulary)).to_numpy()
+        names = coded.dictionary
+        if vocabulary is not None:  # the empty word stands for the unknown ones
+            names = pc.if_else(pc.is_in(names, value_set=vocabulary), names, pa.scalar("", names.type))
         size = cut.value_lengths().to_numpy().astype(np.int64)
-        ids = known[coded.indices.to_numpy()].astype(np.uint32) + np.uint32(WORD_BASE)
+        ids = coded.indices.to_numpy().astype(np.uint32) + np.uint32(START + 1)
         empty = pc.equal(pc.binary_length(plain(texts)), 0).to_numpy(zero_copy_only=False)
         blank = empty | (size == 1) & (pc.binary_length(pc.ascii_trim_whitespace(plain(texts))).to_numpy() == 0)
         if blank.any():
             ids = np.delete(ids, (np.cumsum(size) - size)[blank & (size > 0)])
             size = np.where(blank, 0, size)
-        return size, ids
+        table = np.full((len(names) + START + 1, WORD_CODES), START, np.uint32)
+        if len(names):
+            table[START + 1 :] = word_codes(names.to_pylist())
+        return size, ids, table
 
     return tokens
 
 
-def vocabulary(docs: DataFrame, share: float = WORD_SHARE) -> pa.Array:
+def vocabulary(docs: DataFrame, share: float) -> pa.Array:
     """Lower-case words of at least this share of all words: 1 / share of them at most."""
 
     def count(batches):
@@ -127,32 +142,6 @@ def by_group(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]
             yield group, rows[at : at + len(part)], part
 
 
-def count_grams(docs: DataFrame, order: int, tokens: Tokens, wanted: Callable[[bytes], bool] | None = None) -> DataFrame:
-    """(grp, gram, n) over the whole texts; a chunk's equal n-grams are added up before they leave Python.
-
-    ``wanted``: texts (as UTF-8) that it is false for are not counted.
-    """
-
-    def count(batches):
-        for batch in batches:
-            for group, _, texts in by_group(batch):
-                if wanted:
-                    data = texts.cast(pa.large_binary()).to_pylist()
-                    texts = texts.filter(pa.array([t is not None and wanted(t) for t in data], pa.bool_()))
-                size, found = tokens(texts)
-                if not len(found):
-                    continue
-                keys, back = keyed(*windows(size, found, order), order)
-                keys, n = np.unique(keys, return_counts=True)
-                grams = grams_of(back(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([group] * len(grams), pa.string()), grams, pa.array(n, pa.int64())], ["grp", "gram", "n"]
-                )
-
-    counted = docs.select("grp", "text").mapInArrow(count, "grp string, gram string, n long")
-    return saved(counted.groupBy("grp", "gram").agg(F.sum("n").alias("n")), "grams")
-
-
 def hashed(rows: np.ndarray, group: int) -> np.ndarray:
     """64-bit hash of each row of tokens within a group."""
     out = np.full(len(rows), (group + 1) * int(MULTIPLIER) % 2**64, np.uint64)
@@ -176,108 +165,132 @@ class HashArray:
         return self.keys[at] == keys, [v[at] for v in self.values]
 
 
-class Model:
-    """Log probabilities (natural) of kept n-grams and log back-off weights of kept contexts, by order from 1."""
-
-    def __init__(self, order: int, groups: list[str]) -> None:
-        self.order, self.groups = order, {g: i for i, g in enumerate(groups)}
-        self.grams: list[HashArray] = []
-        self.contexts: list[HashArray] = []
-        self.unknown = np.zeros(len(groups))
-
-    def of_rows(self, rows: np.ndarray, group: int) -> np.ndarray:
-        """Log probability of the last token of each row after the others, by the longest part of the row that is kept."""
-        out, left = np.full(len(rows), np.nan), np.arange(len(rows))
-        weight = np.zeros(len(rows))
-        for k in range(rows.shape[1], 0, -1):
-            part = rows[left][:, rows.shape[1] - k :]
-            found, (value,) = self.grams[k - 1].find(hashed(part, group))
-            out[left[found]] = weight[left[found]] + value[found]
-            left, part = left[~found], part[~found]
-            if not len(left):
-                return out
-            known, (back,) = self.contexts[k - 1].find(hashed(part[:, :-1], group))
-            weight[left] += np.where(known, back, 0.0)
-        out[left] = weight[left] + self.unknown[group]
-        return out
-
-    def losses(self, size: np.ndarray, tokens: np.ndarray, group: str) -> np.ndarray:
-        """Sum of the token losses (natural logarithm) of each text; tokens of a group not trained on get the unknown loss."""
-        if group not in self.groups or not len(tokens):
-            return size * np.log(0x110000)
-        keys, back = keyed(*windows(size, tokens, self.order), self.order)
-        distinct = np.unique(keys)
-        value = self.of_rows(back(distinct), self.groups[group]).astype(np.float64)
-        # A direct table by hash; what it has no room for is searched.
-        room = max(10, int(len(distinct) * 8).bit_length())
-        slot = lambda x: (x.view(np.uint64) * MULTIPLIER) >> np.uint64(64 - room)
-        owner = np.full(1 << room, -1, np.int64)
-        owner[slot(distinct)] = np.arange(len(distinct))
-        place = owner[slot(keys)]
-        wrong = np.flatnonzero(distinct[place] != keys)
-        place[wrong] = np.searchsorted(distinct, keys[wrong])
-        total = np.concatenate([[0.0], np.cumsum(-value[place])])
-        ends = np.cumsum(size)
-        return total[ends] - total[ends - size]
-
-
-def _discounts(n: list[float]) -> list[float]:
-    """D1, D2, D3+ of the modified method from the counts of counts; 0.5, 1, 1.5 where they cannot be estimated."""
-    if min(n) <= 0:
-        return [0.5, 1.0, 1.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05), k + 1 - 0.05) for k in range(3)]
-
-
-def _rows(grams: list[str], order: int) -> np.ndarray:
-    return np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, order) if order else np.zeros((len(grams), 0), np.uint32)
-
-
-def kneser_ney(grams: DataFrame, order: int, least_share: float = LEAST_SHARE) -> Model:
-    """A model per group from the counts of ``count_grams``.
-
-    Lower orders count the distinct tokens before an n-gram; start marks count like any token.
+def distinct_grams(size, ids, names, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the n-gram at each token, distinct keys, their counts, their code points, a row each)."""
+    keys, back = keyed(*windows(size, ids, order), order)
+    distinct, n = np.unique(keys, return_counts=True)
+    rows = back(distinct)
+    return keys, distinct, n, rows if names is None else names[rows].reshape(len(rows), -1)
+
+
+def seed(group: str) -> int:
+    return xxhash.xxh64_intdigest(group)
+
+
+def with_units(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds unit, by a hash of all columns that can be hashed, so copies of a text with ids of their own are dealt out."""
+    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    return rows.withColumn("unit", F.pmod(F.xxhash64(*parts), F.lit(-(-total // UNIT_BYTES) or 1)))
+
+
+def unit_grams(rows: DataFrame, order: int, tokens: Tokens) -> DataFrame:
+    """unit, grp, gram, hash, n: the distinct n-grams of each unit's texts in each group, counted over the whole texts."""
+    names = ["unit", "grp", "gram", "hash", "n"]
+
+    def count(table: pa.Table) -> pa.Table:
+        parts: dict[str, list] = {}
+        for batch in table.combine_chunks().to_batches():
+            for group, _, texts in by_group(batch):
+                size, ids, codes = tokens(texts)
+                if len(ids):
+                    _, _, n, found = distinct_grams(size, ids, codes, order)
+                    parts.setdefault(group, []).append((hashed(found, seed(group)), found, n))
+        out = [pa.table([pa.array([], t) for t in kinds], names)]
+        for group, found in parts.items():
+            hashes, first, place = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([f[2] for f in found])).astype(np.int64)
+            rows = np.concatenate([f[1] for f in found])[first]
+            order_of = np.lexsort(rows.T[::-1])  # neighbours share their beginning, which compresses well
+            grams, hashes, n = grams_of(rows[order_of]), hashes[order_of], n[order_of]
+            same = [pa.array([x] * len(grams), t) for x, t in ((table["unit"][0].as_py(), pa.int64()), (group, pa.string()))]
+            out.append(pa.table([*same, grams, pa.array(hashes.view(np.int64)), pa.array(n)], names))
+        return pa.concat_tables(out)
+
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    schema = "unit long, grp string, gram string, hash long, n long"
+    return saved(rows.select("unit", "grp", "text").groupBy("unit").applyInArrow(count, schema), "unit-grams", "zstd")
+
+
+def losses(size, ids, names, order: int, group: str, table: HashArray) -> list[np.ndarray]:
+    """Sums of the token losses of each text, one for each value (a log probability) that the table has of an n-gram."""
+    ends = np.cumsum(size)
+    if not len(ids):
+        return [np.zeros(len(size)) for _ in table.values]
+    keys, distinct, _, rows = distinct_grams(size, ids, names, order)
+    found, values = table.find(hashed(rows, seed(group)))
+    if not found.all():
+        raise RuntimeError("n-grams of a text are not in the table of all: its rows changed between two readings")
+    # A direct table by hash; what it has no room for is searched.
+    room = max(10, int(len(distinct) * 8).bit_length())
+    slot = lambda x: (x.view(np.uint64) * MULTIPLIER) >> np.uint64(64 - room)
+    owner = np.full(1 << room, -1, np.int64)
+    owner[slot(distinct)] = np.arange(len(distinct))
+    place = owner[slot(keys)]
+    wrong = np.flatnonzero(distinct[place] != keys)
+    place[wrong] = np.searchsorted(distinct, keys[wrong])
+    sums = [np.concatenate([[0.0], np.cumsum(-value[place])]) for value in values]
+    return [total[ends] - total[ends - size] for total in sums]
+
+
+def _discounts() -> list[Column]:
+    """D1, D2, D3+ of the modified method from the counts of counts n1 to n4; 0.5, 1, 1.5 where they cannot be estimated."""
+    n = [F.col(f"n{j}").cast("double") for j in (1, 2, 3, 4)]
+    y = F.try_divide(n[0], n[0] + 2 * n[1])
+    known = F.least(*n) > 0
+    return [
+        F.when(known, F.least(F.greatest(k + 1 - (k + 2) * y * F.try_divide(n[k + 1], n[k]), F.lit(0.05)), F.lit(k + 1 - 0.05)))
+        .otherwise(F.lit(0.5 * (k + 1))).alias(f"d{k + 1}")
+        for k in range(3)
+    ]
+
+
+class Level:
+    """Order k: ``grams`` (grp, gram, p and, of the highest, hash) and ``contexts`` (grp, context, total, back)."""
+
+    def __init__(self, grams: DataFrame, contexts: DataFrame) -> None:
+        self.grams, self.contexts = grams, contexts
+
+
+def kneser_ney(grams: DataFrame, order: int, width: int = 1) -> tuple[list[Level], DataFrame]:
+    """The levels from order 1 on (between the first and the last the n-grams are deleted) of a model per group from ``unit_grams``, and grp, letters: its distinct tokens and one.
+
+    p is the interpolated probability of the last token after the others. Lower orders count the distinct tokens before an
+    n-gram; start marks count like any token. Every n-gram is kept, so the back-off weights leave each context's sum at one.
     """
-    tables = {order: grams.withColumnRenamed("n", "c")}
+    spark = grams.sparkSession
+    part = lambda first, tokens: F.substring("gram", first * width + 1, tokens * width)
+    tables = {order: saved(grams.groupBy("grp", "gram").agg(F.sum("n").alias("c"), F.first("hash").alias("hash")), "grams")}
+    paths = {order: last_saved()}
     for k in range(order - 1, 0, -1):
-        longer = tables[k + 1].select("grp", F.substring("gram", 2, k).alias("gram"))
+        longer = tables[k + 1].select("grp", F.substring("gram", width + 1, width * k).alias("gram"))
         tables[k] = saved(longer.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
-    kinds = [F.sum((F.col("c") == j).cast("long")).alias(f"n{j}") for j in (1, 2, 3, 4)]
-    stats = {k: {r.grp: r for r in t.groupBy("grp").agg(F.sum("c").alias("total"), *kinds, F.count(F.lit(1)).alias("v")).collect()}
-             for k, t in tables.items()}
-    groups = sorted(stats[1])
-    model = Model(order, groups)
-    place = {g: i for i, g in enumerate(groups)}
-    letters = np.array([stats[1][g].v + 1 for g in groups], np.float64)
+        paths[k] = last_saved()
+    letters = saved(tables[1].groupBy("grp").agg((F.count(F.lit(1)) + 1).cast("double").alias("letters")), "letters")
+    few = letters.count() <= MOST_BROADCAST
+    small = lambda t: F.broadcast(t) if few else t
+    levels, stale = [], None
     for k in range(1, order + 1):
         table = tables[k]
-        least = least_share * sum(r.total for r in stats[k].values())
-        contexts = table.groupBy("grp", F.substring("gram", 1, k - 1).alias("context")).agg(
-            F.sum("c").alias("total"), *kinds[:2], F.sum((F.col("c") >= 3).cast("long")).alias("n3")
-        ).where(F.col("total") >= least)
-        kept = {n: d.toArrow() for n, d in (("grams", table.where(F.col("c") >= least)), ("contexts", contexts))}
-        discounts = np.array([_discounts([getattr(stats[k][g], f"n{j}") for j in (1, 2, 3, 4)]) for g in groups]).reshape(-1, 3)
-        group = np.array([place[g] for g in kept["contexts"]["grp"].to_pylist()], np.int64)
-        rows = _rows(kept["contexts"]["context"].to_pylist(), k - 1)
-        number = [kept["contexts"][c].to_numpy().astype(np.float64) for c in ("total", "n1", "n2", "n3")]
-        back = sum(discounts[group, j] * number[j + 1] for j in range(3)) / number[0]
-        keys = np.zeros(len(rows), np.uint64)
-        for g in range(len(groups)):
-            keys[group == g] = hashed(rows[group == g], g)
-        context = HashArray(keys, number[0], back)
-        model.contexts.append(HashArray(keys, np.log(back)))
+        kinds = [F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]
+        taken = saved(table.groupBy("grp").agg(*kinds).select("grp", *_discounts()), "discounts")
+        counts = [*kinds[:2], F.count_if(F.col("c") >= 3).alias("n3")]
+        contexts = table.groupBy("grp", part(0, k - 1).alias("context")).agg(F.sum("c").alias("total"), *counts)
+        contexts = saved(contexts.join(small(taken), "grp").select(
+            "grp", "context", "total", ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("back")
+        ), f"contexts{k}")
+        placed = table.withColumn("context", part(0, k - 1)).join(small(taken), "grp")
         if k == 1:
-            model.unknown = -np.log(letters)  # after the weight of the empty context
-        group = np.array([place[g] for g in kept["grams"]["grp"].to_pylist()], np.int64)
-        rows = _rows(kept["grams"]["gram"].to_pylist(), k)
-        c = kept["grams"]["c"].to_numpy().astype(np.float64)
-        value, keys = np.zeros(len(rows)), np.zeros(len(rows), np.uint64)
-        for g in range(len(groups)):
-            own = group == g
-            found, (total, weight) = context.find(hashed(rows[own][:, :-1], g))
-            lower = 1 / letters[g] if k == 1 else np.exp(model.of_rows(rows[own][:, 1:], g))
-            taken = discounts[g][np.minimum(c[own].astype(np.int64), 3) - 1]
-            value[own] = np.log((c[own] - taken) / total + weight * lower)
-            keys[own] = hashed(rows[own], g)
-        model.grams.append(HashArray(keys, value))
-    return model
+            placed = placed.join(small(contexts), ["grp", "context"]).join(small(letters), "grp").withColumn("lower", 1 / F.col("letters"))
+        else:
+            lower = levels[-1].grams.select("grp", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            placed = placed.join(contexts, ["grp", "context"]).withColumn("suffix", part(1, k - 1)).join(lower, ["grp", "suffix"])
+        discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        p = ((F.col("c") - discount) / F.col("total") + F.col("back") * F.col("lower")).alias("p")
+        done = saved(placed.select("grp", "gram", p, *["hash"][: k == order]), f"model{k}")
+        levels.append(Level(done, contexts))
+        forget(spark, paths[k])
+        if k > 2:  # the n-grams of orders between the first and the last are not needed any more
+            forget(spark, stale)
+        stale = last_saved() if k > 1 else stale
+    return levels, letters

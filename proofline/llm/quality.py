@@ -1,6 +1,6 @@
 """Quality rules: counts of each text, base limits, and language-specific bands of character n-gram perplexity.
 
-The model is counted over all texts that look like prose: a corpus with much junk would otherwise teach it the junk.
+The model of each language is counted over all its texts and keeps every n-gram, so no verdict depends on other languages.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofline.llm.common import saved
-from proofline.llm.ngrams import LEAST_SHARE, Model, by_group, characters, count_grams, kneser_ney
+from proofline.llm.ngrams import HashArray, by_group, characters, kneser_ney, losses, unit_grams, with_units
 
 ORDER = 5
 LEAST_WORDS = 50
@@ -24,8 +24,6 @@ BAND = 12.0  # spreads above and below a language's median loss
 LEAST_SPREAD = 0.02  # of the median
 WINDOW = 3
 MOST_BROADCAST = 10_000  # languages whose limits may be broadcast
-MOST_SYMBOLS = 1 / 50  # of the characters of a text that the model is trained on
-MOST_CAPITALS = 1 / 4
 
 # Characters that count as symbols. Fixed value.
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -59,30 +57,30 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(SYMBOLS.findall(text)), again, repeated
 
 
-def prose(data: bytes) -> bool:
-    """Few symbols and few capitals: such texts train the model."""
-    n = len(data)
-    symbols = n - len(data.translate(None, b"#*$%&|<>"))
-    capitals = n - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    return n > 0 and symbols <= MOST_SYMBOLS * n and capitals <= MOST_CAPITALS * n
+def scored(docs: DataFrame, values: DataFrame, order: int, text_col: str) -> DataFrame:
+    """``docs``, with columns grp and unit, all columns kept; adds the base counts and the mean loss a character (null without any).
 
+    ``values``: unit, hash, value: the log probabilities of the n-grams in the unit's texts.
+    """
 
-def scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """``docs``, with column grp, all columns kept; adds the base counts and the mean loss a character (null without any)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's least share
-
-    def score(batches):
-        for batch in batches:
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        table = HashArray(found["hash"].to_numpy().view(np.uint64), found["value"].to_numpy())
+        out = []
+        for batch in own.combine_chunks().to_batches():
             n, loss, text = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), batch.column(text_col)
             for group, rows, texts in by_group(pa.RecordBatch.from_arrays([batch.column("grp"), text], ["grp", "text"])):
-                size, tokens = characters(texts)
-                n[rows], loss[rows] = size, shared.value.losses(size, tokens, group)
+                size, ids, names = characters(texts)
+                n[rows] = size
+                (loss[rows],) = losses(size, ids, names, order, group, table)
             counts = np.array([base_counts(t.as_py()) for t in text], np.int64).reshape(-1, len(NAMES))
             columns = [*(pa.array(counts[:, k]) for k in range(len(NAMES))), pa.array(loss / np.maximum(n, 1), mask=n == 0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *ADDED])
+            out.append(pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *ADDED]).select(names_out))
+        return pa.Table.from_batches(out) if out else pa.table({})
 
+    kept = [f for f in docs.schema.fields if f.name not in ("unit", text_col)]
     added = T.StructType([T.StructField(c, T.LongType() if c in NAMES else T.DoubleType()) for c in ADDED])
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added.fields]))
+    names_out = [*[f.name for f in kept], *ADDED]
+    return docs.groupBy("unit").cogroup(values.groupBy("unit")).applyInArrow(score, T.StructType([*kept, *added.fields]))
 
 
 def bands(rows: DataFrame, band: float = BAND) -> DataFrame:
@@ -101,15 +99,17 @@ def bands(rows: DataFrame, band: float = BAND) -> DataFrame:
     return spread.select("grp", (F.col("middle") - F.col("width")).alias("lower"), (F.col("middle") + F.col("width")).alias("upper"))
 
 
-def _judged(docs: DataFrame, text_col: str, lang_col: str, order: int, band: float, least_share: float, carry: list[str]) -> DataFrame:
+def _judged(docs: DataFrame, text_col: str, lang_col: str, order: int, band: float, carry: list[str]) -> DataFrame:
     """The carried columns in a struct ``doc``, the added ones and kept; written once before the bands are known."""
     grp = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
     text = F.col(f"`{text_col}`")
-    grams = count_grams(docs.select(grp.alias("grp"), text.alias("text")), order, characters, prose)
-    model = kneser_ney(grams, order, least_share)
     # The carried columns travel as c0, c1, ..., so their names cannot clash with the added ones.
     moved = docs.select(grp.alias("grp"), text.alias("own_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
-    judged = scored(moved, model, "own_text").drop("own_text").withColumn(
+    moved = with_units(moved, "own_text")
+    grams = unit_grams(moved.withColumnRenamed("own_text", "text"), order, characters)
+    levels, _ = kneser_ney(grams, order)
+    values = grams.select("unit", "hash").join(levels[-1].grams.select("hash", F.log("p").alias("value")), "hash")
+    judged = scored(moved, values, order, "own_text").withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
     judged = saved(judged, "scored")
@@ -122,15 +122,16 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, order: int, band: flo
 
 def quality_verdicts(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-    band: float = BAND, least_share: float = LEAST_SHARE,
+    band: float = BAND,
 ) -> DataFrame:
     """One row per document: base counts, base_failed, loss and perplexity a character, and kept.
 
     kept is false if a base rule fails or the perplexity is outside the band of the document's language. Null and empty texts
-    have no words and fail; a null language is one of its own; rows of equal ids are judged each by itself; a language without
+    have no words and fail; a null language is one of its own; every
+    document is counted, so every language with a character has a model; rows of equal ids are judged each by itself; a language without
     any document that passes the base rules has no band.
     """
-    judged = _judged(docs, text_col, lang_col, order, band, least_share, [id_col])
+    judged = _judged(docs, text_col, lang_col, order, band, [id_col])
     return judged.select(
         F.col("c0").alias("doc_id"), *NAMES, "base_failed", "kept", F.col("grp").alias("language"), "loss",
         F.exp("loss").alias("perplexity"), "lower", "upper",
@@ -139,8 +140,7 @@ def quality_verdicts(
 
 def kept_documents(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, band: float = BAND,
-    least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with their columns; no join on ids, which may repeat or be null."""
-    judged = _judged(docs, text_col, lang_col, order, band, least_share, docs.columns)
+    judged = _judged(docs, text_col, lang_col, order, band, docs.columns)
     return judged.where("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -75,6 +75,20 @@ def test_cross_entropy_against_plain_models(spark, share):
             assert g[2:] == (None, None, None)
 
 
+def test_no_word_or_pair_is_dropped(spark):
+    """By default, rare words and pairs count however many others there are."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"n{rng.randrange(60000)}" for _ in range(5000)), "x") for k in range(60)]
+    rows += [(60, "seldom seen seldom heard", "x"), (61, "seldom seen seldom heard", "x")]
+    target = rows[-2:] + rows[:3]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in cross_entropy_difference(docs, spark.createDataFrame(target, DOCS)).collect()}
+    models = [bigram_model([r[1].split() for r in part]) for part in (target, rows)]
+    for k in (60, 61):
+        want = [loss(m, rows[k][1].split()) for m in models]
+        assert [got[k].target_loss, got[k].background_loss] == pytest.approx(want, rel=1e-6)
+
+
 def test_cross_entropy_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b a", "x")], DOCS)
     (row,) = cross_entropy_difference(docs, docs.limit(0)).collect()
@@ -119,3 +133,18 @@ def test_base_rules_against_plain_counts(spark):
     assert sorted(((r.doc_id, *[r[c] for c in names]) for r in got), key=str) == sorted(((d, *base(t)) for d, t, *_ in rows), key=str)
     assert not any(r.kept and r.base_failed for r in got)
     assert quality_verdicts(docs.limit(0)).count() == 0
+
+
+def test_character_model_of_a_small_language_beside_a_large_one(spark):
+    """A language's losses do not change with the size of another, and symbol-rich texts are counted like any other."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randrange(2, 9))) for _ in range(300)]
+    small = [(k, " ".join(rng.choices(words, k=120)), "sm") for k in range(20)]
+    table = [(100 + k, " | ".join(f"#{rng.randrange(99)} $ {rng.choice(words)} %" for _ in range(60)), "tab") for k in range(20)]
+    large = [(1000 + k, " ".join("".join(rng.choices("nopqrstuvwxyz", k=6)) for _ in range(3000)), "lg") for k in range(120)]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    losses = lambda rows: {r.doc_id: r.loss for r in quality_verdicts(docs(rows)).collect() if r.doc_id < 1000}
+    alone, beside = losses(small + table), losses(small + table + large)
+    assert alone.keys() == beside.keys() and all(beside[k] == pytest.approx(alone[k], rel=1e-9) for k in alone)
+    # A language of symbols only has a model of its own, which knows its texts.
+    assert all(0 < alone[100 + k] < math.log(100) for k in range(20)) and len({alone[100 + k] for k in range(20)}) == 20
