@@ -1,12 +1,15 @@
 """Chat formatting with quotation linking.
 
 Messages that quote others by leading ">" marks, nested or not, are linked to the messages they quote: each quoted line and
-passage is normalised and hashed, and joined to the earliest message that says it itself, in the same conversation if there
-is one. Conversations whose messages quote one another become one thread. The thread is written out without its quotes,
+passage is normalised and hashed, and joined to the earliest message that says it itself: one before it in the same conversation
+if there is one, else the one of the smallest number in any other conversation, whether that number is smaller or greater, since
+conversation numbers are no times. Short passages are looked for in the same conversation only. Conversations whose messages quote one another become one thread. The thread is written out without its quotes,
 every message after the one it replies to.
 
-Messages are numbered once, in order of conversation and turn, by a range sort; all links go from a number to a smaller one,
-so no conversation, however long, is ordered or collected in one task.
+Messages are numbered once, in order of conversation and turn, by a range sort. A thread is in order of the greatest number among a
+message and all that it replies to, directly or not, then of its depth: without links to greater numbers that is the order
+of the numbers. Where replies go in a circle, the message of the smallest number in it replies to nothing. No conversation,
+however long, is ordered or collected in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from proofline.llm.common import saved
 from proofline.llm.components import components
 
 MARKS = re.compile(r"\s{0,3}((?:>\s?)+)")
-LEAST_CHARS = 12  # shorter lines are said by too many to tell who is quoted
+LEAST_CHARS = 12  # shorter passages are said by too many to tell who is quoted, outside their conversation
 BLOCK_MESSAGES = 500
 
 # Line before a quote that names its author, in the languages at hand. Fixed values.
@@ -57,10 +60,13 @@ def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def passage_keys(text: str) -> list[int]:
-    """Hashes of the normalised lines, paragraphs and whole of a text: how a quote is wrapped does not matter for the last two."""
+    """Hashes of the normalised lines, paragraphs and whole of a text: how a quote is wrapped does not matter for the last two.
+
+    The lowest bit is set for those under ``LEAST_CHARS``. What has no word is taken as it is.
+    """
     parts = {text, *text.split("\n"), *re.split(r"\n\s*\n", text)}
-    plain = {" ".join(re.findall(r"\w+", p.lower())) for p in parts}
-    return sorted(xxhash.xxh64_intdigest(p) - (1 << 63) for p in plain if len(p) >= LEAST_CHARS)
+    plain = {" ".join(re.findall(r"\w+", p.lower()) or p.split()) for p in parts}
+    return sorted((xxhash.xxh64_intdigest(p) - (1 << 63)) & ~1 | (len(p) < LEAST_CHARS) for p in plain if p)
 
 
 def numbered(rows: DataFrame, name: str, *keys: str | Column) -> DataFrame:
@@ -98,6 +104,47 @@ def _parse(messages: DataFrame) -> DataFrame:
     return messages.select("number", "text").mapInArrow(parse, PARSED)
 
 
+def _upward(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(message, top, depth) of the messages whose replies end, and (message, up, least) of the others, which lead into a circle.
+
+    ``rows``: number, reply_to. Every step doubles the way looked at. top is the greatest number on a message's way, least the
+    smallest; for the others the way is at least as long as they are many, so ``up`` is in a circle and least, there, its smallest.
+    """
+    total = rows.count()
+    state = rows.select(
+        F.col("number").alias("message"), F.col("reply_to").alias("up"), F.col("number").alias("top"), F.col("number").alias("least"),
+        F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+    )
+    state, reach = saved(state, "upward"), 1
+    while True:
+        left = state.where("up is not null").count()
+        if not left or reach > total:
+            break
+        above = state.select(
+            F.col("message").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("least").alias("_least"),
+            F.col("depth").alias("_depth"),
+        )
+        going = state.where("up is not null").join(above, "up", "left").select(  # what is outside the rows is an end
+            "message", F.col("_up").alias("up"), F.greatest("top", "_top").alias("top"), F.least("least", "_least").alias("least"),
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+        )
+        state, reach = saved(state.where("up is null").unionByName(going), "upward"), 2 * reach
+    return state.where("up is null").select("message", "top", "depth"), state.where("up is not null").select("message", "up", "least")
+
+
+def _placing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(message, top, depth) for messages number, reply_to, and the messages (number, cut) that stop replying to break a circle."""
+    ended, circling = _upward(rows)
+    circle = circling.select(F.col("up").alias("message")).distinct()
+    cut = saved(
+        circling.join(circle, "message", "left_semi").where("message = least").select(F.col("message").alias("number"), F.lit(True).alias("cut")),
+        "circles",
+    )
+    if cut.count():
+        ended, _ = _upward(rows.join(cut, "number", "left").select("number", F.when(F.col("cut").isNull(), F.col("reply_to")).alias("reply_to")))
+    return ended, cut
+
+
 def linked_messages(messages: DataFrame) -> DataFrame:
     """Every message with number, thread_id, position in the thread, reply_to (a number), n_quotes, n_linked, and its body.
 
@@ -112,17 +159,26 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     conv = heads.select("number", "conv_id")
     said = parsed.select("number", F.explode("own").alias("passage")).join(conv, "number")
     in_conv = said.groupBy("conv_id", "passage").agg(F.min("number").alias("near"))
-    anywhere = said.groupBy("passage").agg(F.min("number").alias("far"))
+    long = F.col("passage").bitwiseAND(F.lit(1)) == 0
+    anywhere = said.where(long).groupBy("passage").agg(F.min(F.struct("number", "conv_id")).alias("far"))
     asked = parsed.where(F.size("quoted") > 0).select("number", F.explode("quoted").alias("q")).select("number", "q.level", "q.passage")
-    found = (
+    # Messages of a null conversation are each one of their own.
+    other = ~F.coalesce(F.col("conv_id") == F.col("far.conv_id"), F.col("number") == F.col("far.number"))
+    seen = saved(
         asked.join(conv, "number").join(in_conv, ["conv_id", "passage"], "left").join(anywhere, "passage", "left")
-        .withColumn("parent", F.when(F.col("near") < F.col("number"), F.col("near")).when(F.col("far") < F.col("number"), F.col("far")))
-        .where("parent is not null")
+        .withColumn("parent", F.when(F.col("near") < F.col("number"), F.col("near")).when(other, F.col("far.number")))
+        .where("parent is not null or far is not null"), "quotes",
     )
-    votes = found.groupBy("number", "level", "parent").agg(F.count(F.lit(1)).alias("n"))
-    # The innermost level that is found at all wins, then the most passages, then the latest message.
+    # Said first in the quoting conversation itself, but later: the earliest of another conversation.
+    stuck = seen.where("parent is null").select("passage", "far").distinct()
+    second = said.join(stuck, "passage").where(other).groupBy("passage").agg(F.min("number").alias("second"))
+    found = (
+        seen.join(second, "passage", "left").withColumn("parent", F.coalesce("parent", "second")).where("parent is not null")
+    )
+    votes = found.groupBy("number", "level", "parent").agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("n_long"))
+    # The innermost level that is found at all wins, then the most passages, long ones first, then the latest message.
     links = saved(
-        votes.groupBy("number").agg(F.min(F.struct("level", -F.col("n"), -F.col("parent"), "parent")).alias("best"), F.sum("n").alias("n_linked"))
+        votes.groupBy("number").agg(F.min(F.struct("level", -F.col("n_long"), -F.col("n"), -F.col("parent"), "parent")).alias("best"), F.sum("n").alias("n_linked"))
         .select("number", F.col("best.parent").alias("parent"), "n_linked"), "quote-links",
     )
     across = (
@@ -135,14 +191,25 @@ def linked_messages(messages: DataFrame) -> DataFrame:
         heads.join(parsed.select("number", "body", F.size("quoted").alias("n_quotes")), "number")
         .join(links, "number", "left").join(before, "number", "left").join(merged, "conv_id", "left")
         .select(
-            F.col("number"), F.coalesce("thread", "conv_id").alias("thread_id"), "conv_id", "turn", "role", "body", "n_quotes",
+            F.col("number"), F.col("thread").isNotNull().alias("merged"), F.coalesce("thread", "conv_id").alias("thread_id"), "conv_id", "turn", "role", "body", "n_quotes",
             F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
             F.coalesce("parent", F.when(F.col("previous") == F.col("conv_id"), F.col("number") - 1)).alias("reply_to"),
         )
     )
+    whole = saved(whole, "replies")
+    ahead = whole.where("reply_to > number").select(F.col("thread_id").alias("_thread")).distinct()
+    turned = saved(
+        whole.where("merged").join(ahead, F.col("thread_id") == F.col("_thread"), "left_semi").select("number", "reply_to"), "turned"
+    )
+    placing, cut = _placing(turned)
+    whole = (
+        whole.join(placing.withColumnRenamed("message", "number"), "number", "left").join(cut, "number", "left")
+        .withColumn("reply_to", F.when(F.col("cut").isNull(), F.col("reply_to")))
+        .withColumn("top", F.coalesce("top", "number")).withColumn("depth", F.coalesce("depth", F.lit(0))).drop("cut", "merged")
+    )
     placed = saved(
-        numbered(whole.withColumnRenamed("number", "message"), "threads", "thread_id", "message").withColumnRenamed("number", "place"),
-        "placed-messages",
+        numbered(whole.withColumnRenamed("number", "message"), "threads", "thread_id", "top", "depth", "message")
+        .withColumnRenamed("number", "place"), "placed-messages",
     )
     first = placed.groupBy(F.col("thread_id").alias("_thread")).agg(F.min("place").alias("first"))
     return placed.join(first, F.col("thread_id") == F.col("_thread"), "left").select(

@@ -47,3 +47,30 @@ def test_ties_nulls_and_empty(spark):
     assert {r.thread_id for r in rows} == {1, None}
     assert sum(r.n_messages for r in format_threads(linked_messages(messages)).collect()) == 4
     assert linked_messages(messages.limit(0)).count() == 0
+
+
+def test_links_to_later_conversations_short_passages_and_circles(spark):
+    messages = _rows(spark, [
+        (5, 0, "user", f"> {OTHER}\nIs it still there?"), (5, 1, "assistant", "I shall go and look for it."),
+        (9, 0, "user", "Where is it?"), (9, 1, "assistant", OTHER), (9, 2, "user", "ok"), (9, 3, "assistant", "Anything else?"),
+        (9, 4, "user", "> ok\nNot really."), (11, 0, "user", "> ok\nWho said so?"),
+        # The second quotes what its own conversation says only later, and another one too.
+        (20, 0, "user", f"> {FIRST}\nNo idea."), (20, 1, "user", FIRST), (30, 0, "user", FIRST),
+        # Two conversations that quote each other.
+        (40, 0, "user", "> The second text in a circle of two.\nThe first text in a circle of two."),
+        (41, 0, "user", "> The first text in a circle of two.\nThe second text in a circle of two."),
+    ])
+    rows = {(r.conv_id, r.turn): r for r in linked_messages(messages).collect()}
+    number = {k: r.number for k, r in rows.items()}
+    assert rows[5, 0].reply_to == number[9, 1] and rows[5, 0].n_linked > 0
+    assert {rows[c, 0].thread_id for c in (5, 9)} == {5}
+    assert rows[9, 4].reply_to == number[9, 2]  # a whole short message of the same conversation
+    assert rows[11, 0].reply_to is None and rows[11, 0].thread_id == 11  # not of another one
+    assert rows[20, 0].reply_to == number[30, 0] and rows[20, 1].thread_id == rows[30, 0].thread_id
+    assert rows[40, 0].thread_id == rows[41, 0].thread_id == 40
+    assert rows[40, 0].reply_to is None and rows[41, 0].reply_to == number[40, 0]
+    place = {r.number: (r.thread_id, r.position) for r in rows.values()}
+    for r in rows.values():
+        if r.reply_to is not None:
+            assert place[r.reply_to][0] == r.thread_id and place[r.reply_to][1] < r.position
+    assert len(set(place.values())) == len(rows)
