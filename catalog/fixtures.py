@@ -140,6 +140,12 @@ def label_volume(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def listed(df: DataFrame) -> DataFrame:
+    """``reasons`` as one text, by code, for comparison with the SQL twins."""
+    line = lambda r: F.format_string("%s %.6f %.6f", r["code"], r["required"], r["actual"])
+    return df.withColumn("reasons", F.array_join(F.array_sort(F.transform("reasons", line)), "; "))
+
+
 # The same tables as common table expressions for the oracle engine.
 _SLOTS = ",\n".join(
     f"""max(case when feature_index = {i} then 1 else 0 end) over w as s{i},

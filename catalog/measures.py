@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from catalog.fixtures import CUTOFF, DAY, oracle
+from catalog.fixtures import CUTOFF, DAY, listed, oracle
 from catalog.ranking import LIVE_SQL, live_members
 from proofline.constants import FAIL
 from proofline.functions.features import lengthen
@@ -211,16 +211,15 @@ c as (select model_run_id, count(*) filter (where actual_value = -1 and predicte
 m as (select model_run_id, coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) as f1, coalesce(tp::double / nullif(tp + fn, 0), 0) as rec,
   coalesce(tp::double / nullif(tp + fp, 0), 0) as prec from c),
 d as (select a.f1 - r.f1 as df, a.rec - r.rec as dr, a.prec - r.prec as dp from m a, m r where a.model_run_id = 'A' and r.model_run_id = 'R'),
-w as (select *, concat_ws('; ', case when df < 0.0 then concat('fail_f1 delta below gate: delta=', printf('%.6f', df), ' required>=0.000000') end,
-  case when dr < -0.02 then concat('fail_recall regression too large: delta=', printf('%.6f', dr), ' required>=-0.020000') end,
-  case when dp < -0.05 then concat('fail_precision regression too large: delta=', printf('%.6f', dp), ' required>=-0.050000') end) as reasons from d)
-select case when reasons = '' then 'passed' else 'failed' end as gate_status, reasons, round(df, 6) as primary_delta, round(dr, 6) as recall_delta,
-  round(dp, 6) as precision_delta from w""")
+w as (select d.*, (select string_agg(printf('%s %.6f %.6f', c, need, got), '; ' order by c) from (values ('fail_f1', 0.0, df),
+    ('fail_recall', -0.02, dr), ('fail_precision', -0.05, dp)) g(c, need, got) where got < need) as missed from d)
+select if(missed is null, 'passed', 'failed') as gate_status, coalesce(missed, '') as reasons, round(df, 6) as primary_delta,
+  round(dr, 6) as recall_delta, round(dp, 6) as precision_delta from w""")
 def gate_compare(spark, sf):
     scored = scored_volume(spark, sf)
     sides = [quality.quality(scored.where(F.col("model_run_id") == run), ["model_run_id"]) for run in ("A", "R")]
     found = quality.compare_gate(quality.metric_deltas(*sides))
-    return rounded(found.withColumn("reasons", F.array_join("reasons", "; ")), "primary_delta", "recall_delta", "precision_delta")
+    return rounded(listed(found), "primary_delta", "recall_delta", "precision_delta")
 
 
 @query("latest_labeled", LIVE_SQL + """

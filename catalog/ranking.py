@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from catalog.fixtures import CUTOFF, DAY, KEYS, MATURITY, START, WINDOW, oracle
+from catalog.fixtures import CUTOFF, DAY, KEYS, MATURITY, START, WINDOW, listed, oracle
 from proofline.functions.features import lengthen
 from proofline.operators import latest
 from proofline.operators.assemble import assemble_replay, latest_snapshots, reconstruct
@@ -17,6 +17,10 @@ STRICT = cohorts.CohortConfig(
     cohort_start_time=START, cutoff_time=CUTOFF, label_maturity_seconds=MATURITY, min_labeled=10_000_000,
     min_label_coverage=0.99, min_fail_samples=20, min_pass_samples=10_000_000, min_decisions=10_000_000,
 )
+LENIENT = cohorts.CohortConfig(
+    cohort_start_time=START, cutoff_time=CUTOFF, label_maturity_seconds=MATURITY, min_labeled=5, min_label_coverage=0.1,
+    min_fail_samples=1, min_pass_samples=1, min_decisions=10,
+)
 SNAPSHOT = ["serving_snapshot_id", "sample_id", "snapshot_version", "feature_hash", "available_at", "missing_count"]
 LABEL = ["label_event_id", "label_revision", "label_measured_at", "label_available_at", "actual_value", "actual_label"]
 MEMBER = ["sample_id", "serving_snapshot_id", "snapshot_version", "feature_hash", "snapshot_available_at",
@@ -97,14 +101,14 @@ def label_at_cutoff(spark, sf):
 with ranked as (select p.*, row_number() over (partition by sample_id, snapshot_version order by predicted_at, prediction_id) as r,
     exists (select 1 from fx_predictions c where c.runtime_slot = 'release' and c.sample_id = p.sample_id
       and c.snapshot_version = p.snapshot_version
-      and (c.serving_snapshot_id <> p.serving_snapshot_id or c.feature_hash <> p.feature_hash)) as has_conflicting_snapshot_identity
+      and (c.serving_snapshot_id <> p.serving_snapshot_id or c.feature_hash <> p.feature_hash)) as identity_conflict
   from fx_predictions p where p.runtime_slot = 'release')
-select prediction_id, sample_id, snapshot_version, serving_snapshot_id, feature_hash, predicted_at, has_conflicting_snapshot_identity
+select prediction_id, sample_id, snapshot_version, serving_snapshot_id, feature_hash, predicted_at, identity_conflict
 from ranked where r = 1""")
 def release_decisions(spark, sf):
     return latest.first_release_decisions(fx.predictions(spark, sf)).select(
         "prediction_id", "sample_id", "snapshot_version", "serving_snapshot_id", "feature_hash", "predicted_at",
-        "has_conflicting_snapshot_identity",
+        "identity_conflict",
     )
 
 
@@ -143,16 +147,23 @@ def resolved(spark, sf):
     )
 
 
-COHORT_SQL = """
-with ranked as (select *, row_number() over (partition by sample_id order by available_at, snapshot_version, serving_snapshot_id) as r
-  from fx_snapshots where is_complete and snapshot_status = 'complete'),
-cohort as (select * from ranked where r = 1 and available_at >= {START} and available_at < {CUTOFF} - {MATURITY}),
-ranked_labels as (select le.*, row_number() over (partition by le.sample_id order by label_revision desc, le.available_at desc, label_event_id) as lr
-  from fx_labels le join cohort s on s.sample_id = le.sample_id where le.available_at <= {CUTOFF}),
-members as (select s.sample_id, s.serving_snapshot_id, s.snapshot_version, s.feature_hash, s.available_at as snapshot_available_at,
-    s.snapshot_time, s.window_start, s.window_end, s.feature_count, s.missing_count as serving_missing_count,
-    l.label_event_id, l.label_revision, l.measured_at as label_measured_at, l.available_at as label_available_at, l.actual_value, l.actual_label
-  from cohort s left join ranked_labels l on l.sample_id = s.sample_id and l.lr = 1)
+# What is known of a sample at the cutoff: among its visible labels the one of the greatest revision.
+KNOWN_SQL = """known as (
+  select sample_id, arg_max(label_event_id, label_revision) as label_event_id, max(label_revision) as label_revision,
+    arg_max(measured_at, label_revision) as label_measured_at, arg_max(available_at, label_revision) as label_available_at,
+    arg_max(actual_value, label_revision) as actual_value, arg_max(actual_label, label_revision) as actual_label
+  from fx_labels where available_at <= {CUTOFF} group by sample_id)"""
+# A sample's entry is the least (time, version, id) of its complete snapshots; it counts if its time lies in the cohort.
+COHORT_SQL = f"""
+with {KNOWN_SQL},
+entries as (
+  select min(row(available_at, snapshot_version, serving_snapshot_id)) as entry from fx_snapshots where is_complete group by sample_id),
+members as (
+  select s.* exclude (available_at, missing_count), s.available_at as snapshot_available_at, s.missing_count as serving_missing_count,
+    k.* exclude (sample_id)
+  from entries e join fx_snapshots s on (s.available_at, s.snapshot_version, s.serving_snapshot_id) = e.entry
+    left join known k using (sample_id)
+  where s.available_at between {{START}} and {{CUTOFF}} - {{MATURITY}} and s.available_at <> {{CUTOFF}} - {{MATURITY}})
 """
 
 
@@ -174,25 +185,27 @@ def training_wide(spark, sf):
     return widen(training_members(spark, sf, True).select("sample_id", "actual_value", "features"), KEYS)
 
 
+def missed_sql(**minimums):
+    """The figures below their minimum, as ``listed`` writes them."""
+    lines = ", ".join(f"('{name}', {least}::double, {name}::double)" for name, least in minimums.items())
+    return f"coalesce((select string_agg(printf('%s %.6f %.6f', c, need, got), '; ' order by c) from (values {lines}) g(c, need, got) where got < need), '')"
+
+
 def readiness_sql(labeled, coverage, fail, passed):
+    missed = missed_sql(labeled_sample_count=labeled, label_coverage=coverage, fail_count=fail, pass_count=passed)
     return COHORT_SQL + f"""
-, totals as (select count(*) as eligible_sample_count, count(label_event_id) as labeled_sample_count,
-    count(*) - count(label_event_id) as unlabeled_sample_count, count(*) filter (where actual_value = 1) as fail_count,
-    count(*) filter (where actual_value = -1) as pass_count, min(snapshot_time) as snapshot_time_min, max(snapshot_time) as snapshot_time_max,
-    min(snapshot_available_at) as snapshot_available_at_min, max(snapshot_available_at) as snapshot_available_at_max,
-    min(label_available_at) as label_available_at_min, max(label_available_at) as label_available_at_max from members),
-covered as (select *, case when eligible_sample_count = 0 then 0.0::double else labeled_sample_count::double / eligible_sample_count end as coverage from totals)
-select * exclude (coverage), round(coverage, 6) as label_coverage,
-  labeled_sample_count >= {labeled} and coverage >= {coverage} and fail_count >= {fail} and pass_count >= {passed} as ready,
-  concat_ws('; ', case when labeled_sample_count < {labeled} then concat('not enough labeled samples: required={labeled} actual=', labeled_sample_count) end,
-    case when coverage < {coverage} then concat('label coverage below minimum: required={coverage:.6f} actual=', printf('%.6f', coverage)) end,
-    case when fail_count < {fail} then concat('not enough fail samples: required={fail} actual=', fail_count) end,
-    case when pass_count < {passed} then concat('not enough pass samples: required={passed} actual=', pass_count) end) as reasons
-from covered"""
+, counts as (select count(*) as eligible_sample_count, count(label_event_id) as labeled_sample_count,
+    count_if(actual_value = 1) as fail_count, count_if(actual_value = -1) as pass_count, min(snapshot_time) as snapshot_time_min,
+    max(snapshot_time) as snapshot_time_max, min(snapshot_available_at) as snapshot_available_at_min,
+    max(snapshot_available_at) as snapshot_available_at_max, min(label_available_at) as label_available_at_min,
+    max(label_available_at) as label_available_at_max, coalesce(count(label_event_id)::double / nullif(count(*), 0), 0) as label_coverage from members),
+judged as (select *, {missed} as reasons from counts)
+select * exclude (label_coverage, fail_count, pass_count), fail_count::bigint as fail_count, pass_count::bigint as pass_count,
+  eligible_sample_count - labeled_sample_count as unlabeled_sample_count, round(label_coverage, 6) as label_coverage, reasons = '' as ready from judged"""
 
 
 def flat(df):
-    return df.withColumn("label_coverage", F.round("label_coverage", 6)).withColumn("reasons", F.array_join("reasons", "; "))
+    return listed(df).withColumn("label_coverage", F.round("label_coverage", 6))
 
 
 @query("readiness_training", readiness_sql(100, 0.5, 20, 20))
@@ -205,28 +218,25 @@ def refused(spark, sf):
     return flat(readiness.training_readiness(training_members(spark, sf), STRICT))
 
 
-GATE_SQL = """
-with ranked as (select p.*, row_number() over (partition by sample_id, snapshot_version order by predicted_at, prediction_id) as r,
-    exists (select 1 from fx_predictions c where c.runtime_slot = 'release' and c.sample_id = p.sample_id
-      and c.snapshot_version = p.snapshot_version
-      and (c.serving_snapshot_id <> p.serving_snapshot_id or c.feature_hash <> p.feature_hash)) as has_conflicting_snapshot_identity
-  from fx_predictions p where p.runtime_slot = 'release'),
-decisions as (select * from ranked where r = 1 and predicted_at >= {START} and predicted_at < {CUTOFF} - {MATURITY}),
-cohort_samples as (select distinct sample_id from decisions),
-ranked_labels as (select le.*, row_number() over (partition by le.sample_id order by label_revision desc, le.available_at desc, label_event_id) as lr
-  from fx_labels le join cohort_samples c on c.sample_id = le.sample_id where le.available_at <= {CUTOFF}),
-members as (select p.prediction_id, p.request_id, p.sample_id, p.serving_snapshot_id, p.snapshot_version, p.feature_hash,
-    p.model_run_id as source_model_run_id, p.runtime_slot, p.threshold as source_threshold, p.predicted_at, p.has_conflicting_snapshot_identity,
-    s.serving_snapshot_id as stored_serving_snapshot_id, s.feature_hash as snapshot_feature_hash, s.snapshot_status, s.is_complete,
-    s.feature_count, s.missing_count as serving_missing_count, s.available_at as snapshot_available_at,
-    l.label_event_id, l.label_revision, l.measured_at as label_measured_at, l.available_at as label_available_at, l.actual_value, l.actual_label
-  from decisions p left join fx_snapshots s on s.serving_snapshot_id = p.serving_snapshot_id and s.sample_id = p.sample_id
-    and s.snapshot_version = p.snapshot_version
-  left join ranked_labels l on l.sample_id = p.sample_id and l.lr = 1)
+# All release decisions on a snapshot version are one decision, the earliest; they conflict if they name several snapshots or hashes.
+GATE_SQL = f"""
+with {KNOWN_SQL},
+decided as (
+  select min(row(predicted_at, prediction_id)) as entry,
+    min(serving_snapshot_id) <> max(serving_snapshot_id) or min(feature_hash) <> max(feature_hash) as identity_conflict
+  from fx_predictions where runtime_slot = 'release' group by sample_id, snapshot_version),
+members as (
+  select p.* exclude (model_run_id, threshold, missing_count), p.model_run_id as source_model_run_id, p.threshold as source_threshold,
+    d.identity_conflict, s.serving_snapshot_id as found_snapshot_id, s.feature_hash as found_feature_hash, s.snapshot_status,
+    s.is_complete, s.feature_count, s.missing_count as serving_missing_count, s.available_at as snapshot_available_at, k.* exclude (sample_id)
+  from decided d join fx_predictions p on (p.predicted_at, p.prediction_id) = d.entry
+    left join fx_snapshots s using (serving_snapshot_id, sample_id, snapshot_version)
+    left join known k using (sample_id)
+  where p.predicted_at between {{START}} and {{CUTOFF}} - {{MATURITY}} and p.predicted_at <> {{CUTOFF}} - {{MATURITY}})
 """
 GATE_COLUMNS = ["prediction_id", "request_id", "sample_id", "serving_snapshot_id", "snapshot_version", "feature_hash",
                 "source_model_run_id", "runtime_slot", "source_threshold", "predicted_at",
-                "has_conflicting_snapshot_identity", "stored_serving_snapshot_id", "snapshot_feature_hash",
+                "identity_conflict", "found_snapshot_id", "found_feature_hash",
                 "snapshot_status", "is_complete", "feature_count", "serving_missing_count", "snapshot_available_at", *LABEL]
 
 
@@ -241,9 +251,9 @@ def gate(spark, sf):
 
 
 @query("val_gate_members", GATE_SQL + """
-select prediction_id, concat_ws(',', case when has_conflicting_snapshot_identity then 'conflicting_identity' end,
-  case when stored_serving_snapshot_id is null then 'snapshot_missing' end,
-  case when snapshot_feature_hash <> feature_hash then 'hash_mismatch' end,
+select prediction_id, concat_ws(',', case when identity_conflict then 'conflicting_identity' end,
+  case when found_snapshot_id is null then 'snapshot_missing' end,
+  case when found_feature_hash <> feature_hash then 'hash_mismatch' end,
   case when not (snapshot_status = 'complete' and is_complete) then 'not_complete' end,
   case when feature_count <> 5 then 'feature_count' end,
   case when snapshot_available_at > predicted_at then 'available_after_decision' end) as violations from members""")
@@ -252,39 +262,47 @@ def gate_rules(spark, sf):
     return checked.select("prediction_id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("readiness_gate", GATE_SQL + """
-, totals as (select count(*) as decision_count, count(label_event_id) as labeled_decision_count,
-    count(*) - count(label_event_id) as unlabeled_decision_count, count(distinct sample_id) as unique_sample_count,
-    count(*) filter (where actual_value = 1) as fail_count, count(*) filter (where actual_value = -1) as pass_count,
-    min(predicted_at) as decision_time_min, max(predicted_at) as decision_time_max,
-    string_agg(distinct source_model_run_id, ',' order by source_model_run_id) as source_model_run_ids from members)
-select decision_count, labeled_decision_count, unlabeled_decision_count, unique_sample_count, fail_count, pass_count,
-  decision_time_min, decision_time_max, source_model_run_ids, round(labeled_decision_count::double / decision_count, 6) as label_coverage,
-  false as ready, concat_ws('; ', concat('not enough release decisions: required=10000000 actual=', decision_count),
-    concat('not enough labeled release decisions: required=10000000 actual=', labeled_decision_count),
-    case when labeled_decision_count::double / decision_count < 0.99
-      then concat('label coverage below minimum: required=0.990000 actual=', printf('%.6f', labeled_decision_count::double / decision_count)) end,
-    case when fail_count < 20 then concat('not enough fail samples: required=20 actual=', fail_count) end,
-    concat('not enough pass samples: required=10000000 actual=', pass_count)) as reasons
-from totals""")
-def gate_ready(spark, sf):
-    result = flat(readiness.gate_readiness(gate_members(spark, sf), STRICT))
+def gate_readiness_sql(decisions, labeled, coverage, fail, passed):
+    missed = missed_sql(decision_count=decisions, labeled_decision_count=labeled, label_coverage=coverage, fail_count=fail, pass_count=passed)
+    return GATE_SQL + f"""
+, counts as (select count(*) as decision_count, count(label_event_id) as labeled_decision_count,
+    count(distinct sample_id) as unique_sample_count, count_if(actual_value = 1)::bigint as fail_count,
+    count_if(actual_value = -1)::bigint as pass_count, min(predicted_at) as decision_time_min, max(predicted_at) as decision_time_max,
+    array_to_string(list_sort(list_distinct(list(source_model_run_id))), ',') as source_model_run_ids,
+    count(label_event_id)::double / count(*) as label_coverage from members),
+judged as (select *, {missed} as reasons from counts)
+select * replace (round(label_coverage, 6) as label_coverage), decision_count - labeled_decision_count as unlabeled_decision_count,
+  reasons = '' as ready from judged"""
+
+
+def gate_ready(spark, sf, config):
+    result = flat(readiness.gate_readiness(gate_members(spark, sf), config))
     return result.withColumn("source_model_run_ids", F.array_join("source_model_run_ids", ",")).select(
         "decision_count", "labeled_decision_count", "unlabeled_decision_count", "unique_sample_count", "fail_count",
         "pass_count", "decision_time_min", "decision_time_max", "source_model_run_ids", "label_coverage", "ready", "reasons",
     )
 
 
-LIVE_SQL = """
-with cohort as (select * from fx_predictions p where p.predicted_at >= {CUTOFF} - {MATURITY} - {WINDOW} and p.predicted_at < {CUTOFF} - {MATURITY}
-  and not exists (select 1 from fx_predictions e where e.model_run_id = p.model_run_id and e.threshold = p.threshold
-    and e.sample_id = p.sample_id and e.serving_snapshot_id = p.serving_snapshot_id and e.snapshot_version = p.snapshot_version
-    and (e.predicted_at < p.predicted_at or (e.predicted_at = p.predicted_at and e.prediction_id < p.prediction_id)))),
-ranked_labels as (select le.*, row_number() over (partition by sample_id order by label_revision desc, available_at desc, label_event_id desc) as lr
-  from fx_labels le where sample_id in (select sample_id from cohort) and available_at <= {CUTOFF}),
-scored as (select p.prediction_id, p.sample_id, p.model_run_id, p.threshold, p.predicted_at, p.fail_probability, p.predicted_value,
-    l.label_event_id, l.label_revision, l.actual_value
-  from cohort p left join ranked_labels l on l.sample_id = p.sample_id and l.lr = 1)
+@query("readiness_gate", gate_readiness_sql(10_000_000, 10_000_000, 0.99, 20, 10_000_000))
+def gate_refused(spark, sf):
+    return gate_ready(spark, sf, STRICT)
+
+
+@query("readiness_gate_ready", gate_readiness_sql(10, 5, 0.1, 1, 1))
+def gate_accepted(spark, sf):
+    return gate_ready(spark, sf, LENIENT)
+
+
+# A decision is repeated if all its keys are; the earliest of the repeats counts, wherever in time it lies.
+LIVE_SQL = f"""
+with {KNOWN_SQL},
+decided as (select min(row(predicted_at, prediction_id)) as entry from fx_predictions
+  group by model_run_id, threshold, sample_id, serving_snapshot_id, snapshot_version),
+scored as (
+  select p.prediction_id, p.sample_id, p.model_run_id, p.threshold, p.predicted_at, p.fail_probability, p.predicted_value,
+    k.label_event_id, k.label_revision, k.actual_value
+  from decided d join fx_predictions p on (p.predicted_at, p.prediction_id) = d.entry left join known k using (sample_id)
+  where {{CUTOFF}} - p.predicted_at > {{MATURITY}} and {{CUTOFF}} - p.predicted_at <= {{MATURITY}} + {{WINDOW}})
 """
 
 

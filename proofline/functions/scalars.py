@@ -126,5 +126,10 @@ def reasons(checks: Sequence[tuple[Column, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(failed, text) for failed, text in checks]))
 
 
-def fixed6(value) -> str:
-    return f"{value:.6f}"
+def shortfalls(checks: Sequence[tuple[str, Column, float]]) -> Column:
+    """Array of ``(code, required, actual)`` for each figure below its minimum, in order; a missing figure counts as below."""
+    def entry(code: str, actual: Column, required: float) -> Column:
+        found = F.struct(F.lit(code).alias("code"), F.lit(float(required)).alias("required"), actual.cast("double").alias("actual"))
+        return F.when(actual.isNull() | (actual < required), found)
+
+    return F.array_compact(F.array(*[entry(code, actual, required) for code, actual, required in checks]))

@@ -73,9 +73,9 @@ def first_release_decisions(predictions: DataFrame) -> DataFrame:
         (
             (F.min("serving_snapshot_id") != F.max("serving_snapshot_id"))
             | (F.min("feature_hash") != F.max("feature_hash"))
-        ).alias("has_conflicting_snapshot_identity"),
+        ).alias("identity_conflict"),
     )
-    return firsts.select(*keys, "_first.*", "has_conflicting_snapshot_identity")
+    return firsts.select(*keys, "_first.*", "identity_conflict")
 
 
 def conflicting_identities(predictions: DataFrame) -> DataFrame:

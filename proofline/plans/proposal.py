@@ -68,7 +68,5 @@ def prediction_range(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def baseline_name(alias: str, start: Column, end: Column) -> Column:
-    def stamp(c):
-        return F.date_format(F.timestamp_seconds(c), "yyyyMMdd-HHmm")
-
-    return F.concat(F.lit(f"{alias}-online-stable-"), stamp(start), F.lit("-"), stamp(end))
+    """The alias and the interval in whole seconds."""
+    return F.concat(F.lit(f"{alias}["), F.floor(start).cast("string"), F.lit(","), F.floor(end).cast("string"), F.lit(")"))

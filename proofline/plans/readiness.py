@@ -1,10 +1,10 @@
-"""Readiness gates: one aggregate row with counts, coverage, a flag and the reasons."""
+"""Readiness gates: one aggregate row with counts, coverage, a flag and what falls short."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.constants import FAIL, PASS
-from proofline.functions.scalars import fixed6, ratio, reasons
+from proofline.functions.scalars import ratio, shortfalls
 from proofline.plans.cohorts import CohortConfig
 
 
@@ -21,19 +21,11 @@ def _labels():
     ]
 
 
-def _too_few(what: str, column: str, required: int) -> tuple[Column, Column]:
-    text = F.concat(F.lit(f"not enough {what}: required={required} actual="), F.col(column).cast("string"))
-    return F.col(column) < required, text
-
-
-def _coverage(required: float) -> tuple[Column, Column]:
-    text = F.format_string(f"label coverage below minimum: required={fixed6(required)} actual=%.6f", F.col("label_coverage"))
-    return F.col("label_coverage") < required, text
-
-
-def _gate(stats: DataFrame, checks) -> DataFrame:
-    why = reasons(checks)
-    return stats.withColumn("ready", F.size(why) == 0).withColumn("reasons", why)
+def _gate(stats: DataFrame, minimums: dict[str, float]) -> DataFrame:
+    """``ready`` if no figure is below its minimum; ``reasons`` has the figure's name, its minimum and its value."""
+    return stats.withColumn("reasons", shortfalls([(name, F.col(name), least) for name, least in minimums.items()])).withColumn(
+        "ready", F.size("reasons") == 0
+    )
 
 
 def training_readiness(cohort: DataFrame, config: CohortConfig) -> DataFrame:
@@ -44,11 +36,10 @@ def training_readiness(cohort: DataFrame, config: CohortConfig) -> DataFrame:
     stats = stats.withColumn(
         "label_coverage", F.coalesce(ratio(F.col("labeled_sample_count"), F.col("eligible_sample_count")), F.lit(0.0))
     )
-    return _gate(stats, [
-        _too_few("labeled samples", "labeled_sample_count", config.min_labeled), _coverage(config.min_label_coverage),
-        _too_few("fail samples", "fail_count", config.min_fail_samples),
-        _too_few("pass samples", "pass_count", config.min_pass_samples),
-    ])
+    return _gate(stats, {
+        "labeled_sample_count": config.min_labeled, "label_coverage": config.min_label_coverage,
+        "fail_count": config.min_fail_samples, "pass_count": config.min_pass_samples,
+    })
 
 
 def gate_readiness(cohort: DataFrame, config: CohortConfig) -> DataFrame:
@@ -62,13 +53,10 @@ def gate_readiness(cohort: DataFrame, config: CohortConfig) -> DataFrame:
     stats = stats.withColumn(
         "label_coverage", F.coalesce(ratio(F.col("labeled_decision_count"), F.col("decision_count")), F.lit(0.0))
     )
-    return _gate(stats, [
-        _too_few("release decisions", "decision_count", config.min_decisions),
-        _too_few("labeled release decisions", "labeled_decision_count", config.min_labeled),
-        _coverage(config.min_label_coverage),
-        _too_few("fail samples", "fail_count", config.min_fail_samples),
-        _too_few("pass samples", "pass_count", config.min_pass_samples),
-    ])
+    return _gate(stats, {
+        "decision_count": config.min_decisions, "labeled_decision_count": config.min_labeled,
+        "label_coverage": config.min_label_coverage, "fail_count": config.min_fail_samples, "pass_count": config.min_pass_samples,
+    })
 
 
 def training_summary(cohort: DataFrame, selected: DataFrame) -> DataFrame:
@@ -107,7 +95,6 @@ def training_summary(cohort: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def training_gate(summary: DataFrame, min_samples: int, min_coverage: float, min_fail: int, min_pass: int) -> DataFrame:
-    return _gate(summary, [
-        _coverage(min_coverage), _too_few("labeled samples", "sample_count", min_samples),
-        _too_few("fail samples", "fail_count", min_fail), _too_few("pass samples", "pass_count", min_pass),
-    ])
+    return _gate(summary, {
+        "sample_count": min_samples, "label_coverage": min_coverage, "fail_count": min_fail, "pass_count": min_pass,
+    })

@@ -235,9 +235,9 @@ def test_gate_reasons(spark):
 
     assert quality.compare_gate(deltas(fail_f1=0.0)).first().gate_status == "passed"
     missing = quality.compare_gate(deltas(fail_recall=0.5)).first()
-    assert missing.reasons == ["primary metric unavailable: fail_f1"]
+    assert [tuple(r) for r in missing.reasons] == [("fail_f1", 0.0, None)]
     regressed = quality.compare_gate(deltas(fail_f1=0.1, fail_recall=-0.03, fail_precision=-0.04)).first()
-    assert regressed.reasons == ["fail_recall regression too large: delta=-0.030000 required>=-0.020000"]
+    assert [(r.code, r.required, round(r.actual, 6)) for r in regressed.reasons] == [("fail_recall", -0.02, -0.03)]
 
 
 def test_labels_as_of_uses_each_rows_cutoff(spark):

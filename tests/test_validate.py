@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from proofline.operators import validate
 
-SID = "secom-0000001"
+SID = "secom-4081516"
 KEYS = [f"f{i:03d}" for i in range(590)]
-HASH = "sha256:v1:" + "a" * 64
+HASH = "sha256:v1:" + "07e9" * 16
 
-FEATURE = {"event_id": "evt-001", "sample_id": SID, "event_time": 12.5, "feature_group": "early", "features": {"f000": 1.2, "f589": None}}
-LABEL = {"label_event_id": "l1", "sample_id": SID, "label_revision": 1, "measured_at": 123.45, "actual_value": 1, "actual_label": "fail"}
+FEATURE = {"event_id": "patch/77", "sample_id": SID, "event_time": 930.25, "feature_group": "late", "features": {"f411": -8.75, "f402": None}}
+LABEL = {"label_event_id": "revision/9", "sample_id": SID, "label_revision": 6, "measured_at": 77000.5, "actual_value": 1, "actual_label": "fail"}
 PREDICTION = {
-    "prediction_id": "p1", "request_id": "r1", "sample_id": SID, "serving_snapshot_id": "s1", "snapshot_version": 3,
-    "feature_hash": HASH, "model_run_id": "run", "predicted_at": 1.0, "fail_probability": 0.2, "predicted_value": -1,
-    "predicted_label": "pass", "threshold": 0.5, "missing_count": 44, "latency_ms": 3.5,
+    "prediction_id": "decision/31", "request_id": "call/12", "sample_id": SID, "serving_snapshot_id": "kept/5", "snapshot_version": 8,
+    "feature_hash": HASH, "model_run_id": "forest/2", "predicted_at": 88100.0, "fail_probability": 0.41, "predicted_value": -1,
+    "predicted_label": "pass", "threshold": 0.62, "missing_count": 13, "latency_ms": 21.25,
 }
 SNAPSHOT = {
-    "serving_snapshot_id": "s1", "sample_id": SID, "source_event_count": 2, "snapshot_version": 2, "feature_hash": HASH,
-    "snapshot_time": 10.0, "window_start": 8.0, "window_end": 10.0, "snapshot_status": "complete", "feature_count": 590,
+    "serving_snapshot_id": "kept/5", "sample_id": SID, "source_event_count": 2, "snapshot_version": 2, "feature_hash": HASH,
+    "snapshot_time": 640.0, "window_start": 512.0, "window_end": 640.0, "snapshot_status": "complete", "feature_count": 590,
     "missing_count": 1, "is_complete": True, "features": {k: (None if k == "f003" else 1.5) for k in KEYS},
 }
 DROP = object()
@@ -37,12 +37,12 @@ CASES = {
         (None, SID, ["payload"]), ("nope", SID, ["payload"]), ("[1]", SID, ["payload"]), (" " + changed(FEATURE), SID, []),
         (changed(FEATURE, sample_id=5), SID, ["field:sample_id"]), (changed(FEATURE, event_id="  "), SID, ["field:event_id"]),
         (changed(FEATURE, event_time="12"), SID, ["field:event_time"]), (changed(FEATURE, event_time=DROP), SID, ["field:event_time"]),
-        (changed(FEATURE).replace("12.5", "1e400"), SID, ["field:event_time"]), (changed(FEATURE, event_time=-0.1), SID, ["range:event_time"]),
+        (changed(FEATURE).replace("930.25", "1e400"), SID, ["field:event_time"]), (changed(FEATURE, event_time=-0.1), SID, ["range:event_time"]),
         (changed(FEATURE, sample_id="secom-1"), None, ["pattern:sample_id"]), (changed(FEATURE, feature_group="other"), SID, ["enum:feature_group"]),
         (changed(FEATURE, features=[]), SID, ["field:features"]), (changed(FEATURE, features={}), SID, ["features_empty"]),
         (changed(FEATURE, features={"f590": 1}), SID, ["feature_key"]), (changed(FEATURE, features={"x": 1}), SID, ["feature_key"]),
         (changed(FEATURE, features={"f001": "1"}), SID, ["feature_value"]), (changed(FEATURE, features={"f001": True}), SID, ["feature_value"]),
-        (changed(FEATURE).replace("1.2", "1e400"), SID, ["feature_finite"]), (changed(FEATURE, simulation_run_id=3), SID, ["field:simulation_run_id"]),
+        (changed(FEATURE).replace("-8.75", "1e400"), SID, ["feature_finite"]), (changed(FEATURE, simulation_run_id=3), SID, ["field:simulation_run_id"]),
         (changed(FEATURE, drift_segment=""), SID, []), (changed(FEATURE, created_at="x"), SID, ["field:created_at"]),
     ]),
     "label": (validate.label_contract(), [
@@ -60,7 +60,7 @@ CASES = {
     ]),
     "snapshot": (validate.snapshot_contract(), [
         (changed(SNAPSHOT), SID, []), (changed(SNAPSHOT, missing_count=2), SID, ["missing_count"]),
-        (changed(SNAPSHOT, snapshot_version=3), SID, ["version_count"]), (changed(SNAPSHOT, window_end=7.0), SID, ["window_order"]),
+        (changed(SNAPSHOT, snapshot_version=3), SID, ["version_count"]), (changed(SNAPSHOT, window_end=511.0), SID, ["window_order"]),
         (changed(SNAPSHOT, snapshot_status="partial"), SID, ["status"]), (changed(SNAPSHOT, snapshot_status="timed_out"), SID, ["enum:snapshot_status", "status"]),
         (changed(SNAPSHOT, is_complete="true"), SID, ["field:is_complete"]), (changed(SNAPSHOT, feature_count=589), SID, ["completeness"]),
         (changed(SNAPSHOT, features={"f000": 1.0}), SID, ["features_canonical", "missing_count"]),
