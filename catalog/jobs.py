@@ -130,7 +130,7 @@ from members m join fx_snapshots s on s.serving_snapshot_id = m.serving_snapshot
 def dataset_roundtrip(spark, sf):
     """Write the training dataset with manifest and log, then load it through verification."""
     folder = scratch(spark, "dataset")
-    builds = Table(f"{folder}/builds", ("dataset_id",))
+    builds = Table(f"{folder}/builds", ("dataset_id",), 0)
     cohort = training_members(spark, sf, features=True)
     small = training_config(1)
     stats = readiness.training_readiness(cohort, small)

@@ -314,12 +314,12 @@ def conflicts(spark, sf):
 
 
 @query("upsert_last_wins", ARRIVALS_SQL + """
-, last_ as (select a.* from arriving a where a.arrival % 5 <> 0 and not exists (select 1 from arriving b where b.arrival % 5 <> 0 and b.id = a.id and b.arrival > a.arrival))
+, last_ as (select a.* from arriving a where not exists (select 1 from arriving b where b.id = a.id and b.arrival > a.arrival))
 select coalesce(l.id, s.id) as id, coalesce(l.arrival, s.arrival) as arrival, case when l.id is null then s.value else l.value end as value,
   case when s.id is null then l.user_id else s.user_id end as user_id from last_ l full join stored s on s.id = l.id""")
 def upsert(spark, sf):
     incoming, stored = arriving(spark, sf)
-    return sinks.merged(stored, incoming.where(F.col("arrival") % 5 != 0), ["id"], "arrival", keep=["user_id"])
+    return sinks.merged(stored, incoming, ["id"], "arrival", keep=["user_id"])
 
 
 @query("latest_store", """

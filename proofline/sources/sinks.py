@@ -41,100 +41,113 @@ def replay_conflicts(
 ) -> DataFrame:
     """Incoming rows whose id is known, from the table or earlier in the batch, with another payload.
 
-    The payload that counts is the stored one, else that of the first row in the batch.
+    The payload that counts is the stored one, else that of the first row in the batch. Repeats are reduced to one row per id
+    and payload before ids meet, so an id with many repeats costs its distinct payloads; the rows themselves are only joined
+    to the payloads found wrong.
     """
-    firsts = top_per_key(incoming, [key], order).select(key, F.struct(*payload).alias("_batch"))
-    compared = incoming.join(firsts, key)
-    agreed = F.col("_batch")
+    place = F.struct(*order)
+    variants = incoming.groupBy(key, F.struct(*payload).alias("_payload")).agg(F.min(place).alias("_first"))
+    agreed = variants.groupBy(key).agg(F.min_by("_payload", "_first").alias("_agreed"))
     if existing is not None:
-        compared = compared.join(existing.select(key, F.struct(*payload).alias("_known")), key, "left")
-        agreed = F.coalesce("_known", "_batch")
-    return compared.where(~F.struct(*payload).eqNullSafe(agreed)).select(*incoming.columns)
+        known = existing.select(key, F.struct(*payload).alias("_known"))
+        agreed = agreed.join(known, key, "left").withColumn("_agreed", F.coalesce("_known", "_agreed")).drop("_known")
+    wrong = variants.join(agreed, key).where(~F.col("_payload").eqNullSafe(F.col("_agreed"))).select(key, "_payload")
+    marked = incoming.withColumn("_mine", F.struct(*payload))
+    same = (marked[key] == wrong[key]) & marked["_mine"].eqNullSafe(wrong["_payload"])
+    return marked.join(wrong, same, "left_semi").select(*incoming.columns)
 
 
-def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Upsert: the incoming row with the highest ``order`` replaces the stored one.
+def merged(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str, keep: Sequence[str] = (),
+) -> DataFrame:
+    """Upsert: the incoming row with the highest ``order`` replaces the stored one, whatever the order of that one.
 
-    ``keep`` names columns (such as a surrogate id) whose stored value survives.
+    ``keep`` names columns (such as a surrogate id) whose stored value survives. One aggregate by key over the stored and the
+    incoming rows; null keys match each other.
     """
-    fresh = top_per_key(incoming, keys, [F.col(order).desc()]).select(*existing.columns)
-    if keep:
-        stored = existing.select(*keys, *[F.col(c).alias(f"_keep_{c}") for c in keep])
-        fresh = fresh.join(stored, list(keys), "left").select(
-            *[F.coalesce(f"_keep_{c}", c).alias(c) if c in keep else F.col(c) for c in existing.columns]
-        )
-    untouched = existing.join(incoming.select(*keys), list(keys), "left_anti")
-    return untouched.unionByName(fresh)
+    columns = existing.columns
+    both = existing.withColumn("_new", F.lit(False)).unionByName(incoming.select(*columns).withColumn("_new", F.lit(True)))
+    rest = [c for c in columns if c not in keys]
+    # The order column of a stored row does not count: it loses to any incoming one.
+    place = F.struct("_new", F.when(F.col("_new"), F.col(order)))
+    held = [F.max_by(c, ~F.col("_new")).alias(f"_keep_{c}") for c in keep]
+    stored = F.bool_or(~F.col("_new")).alias("_stored")
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_row"), stored, *held)
+    value = {c: F.col("_row")[c] for c in rest}
+    for c in keep:
+        value[c] = F.when(F.col("_stored"), F.coalesce(f"_keep_{c}", value[c])).otherwise(value[c])
+    return best.select(*[F.col(c) if c in keys else value[c].alias(c) for c in columns])
 
 
 @dataclass(frozen=True)
 class Table:
-    """A Parquet folder with a primary key. One writer per table."""
+    """A Parquet folder with a primary key, in ``buckets`` partitions by the hash of the key. One writer per table.
+
+    A batch of rows only concerns the partitions its keys fall into, so look-ups read those and nothing else (a partition
+    filter), and an upsert rewrites those and no other (dynamic partition overwrite). The number of partitions is part of the
+    partition column's name and belongs to the table; take many, so that a batch touches few. 0 keeps the rows together, for
+    small logs that are only appended to.
+
+    Inserts can be repeated at any point. An upsert swaps partition by partition when its job commits; if the driver is lost
+    in those moments, repeat it from the history the table is derived from.
+    """
 
     path: str
     keys: tuple[str, ...]
-    partition_by: tuple[str, ...] = ()
+    buckets: int = 64
+
+    @property
+    def bucket(self) -> str:
+        return f"key_hash_of_{self.buckets}"
 
     def exists(self, spark: SparkSession) -> bool:
-        self._recover(spark)
-        return self._complete(spark, self.path)
-
-    def _complete(self, spark: SparkSession, path: str) -> bool:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder.suffix("/_SUCCESS"))
-
-    def _recover(self, spark: SparkSession) -> None:
-        """Finish a ``replace`` that stopped between its two renames: the new copy is complete then, the old one still there."""
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        system = path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if system.exists(path(self.path)):
+        """Has a write committed anything? What a failed one leaves has names that begin with an underscore or a dot."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        return system.exists(folder) and any(s.getPath().getName()[0] not in "_." for s in system.listStatus(folder))
+
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(self.bucket, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")) if self.buckets else rows
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The partitions the keys of ``rows`` fall into: one small number each, ``buckets`` at most."""
+        return sorted(r[0] for r in self.bucketed(rows).select(self.bucket).distinct().collect()) if self.buckets else []
+
+    def read(self, spark: SparkSession, only: Sequence[int] | None = None) -> DataFrame | None:
+        """The stored rows, of the partitions ``only`` if given; None before the first write."""
+        if not self.exists(spark):
+            return None
+        stored = spark.read.parquet(self.path)
+        if not self.buckets:
+            return stored
+        return (stored if only is None else stored.where(F.col(self.bucket).isin(*only))).drop(self.bucket)
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        if not self.buckets:
+            rows.write.mode(mode).parquet(self.path)
             return
-        for copy in (f"{self.path}__new", f"{self.path}__old"):
-            if self._complete(spark, copy):
-                if not system.rename(path(copy), path(self.path)):
-                    raise RuntimeError(f"cannot bring {copy} back")
-                return
-
-    def read(self, spark: SparkSession) -> DataFrame | None:
-        return spark.read.parquet(self.path) if self.exists(spark) else None
+        placed = self.bucketed(rows).hint("rebalance", F.col(self.bucket))  # a file or few per partition, large ones split
+        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(self.bucket).parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
-        writer = rows.write.mode("append")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(self.path)
+        self._write(rows, "append")
 
-    def insert_ignore(self, rows: DataFrame, order: Sequence) -> None:
-        """Append the rows whose key is not stored; repeating the call changes nothing."""
-        self.append(new_rows(rows, self.read(rows.sparkSession), self.keys, order))
+    def insert_ignore(self, rows: DataFrame, order: Sequence, only: Sequence[int] | None = None) -> None:
+        """Append the rows whose key is not stored; repeating the call changes nothing. ``only``: ``touched(rows)`` if known."""
+        if not self.buckets:
+            raise ValueError("a table without partitions is only appended to")
+        stored = self.read(rows.sparkSession, self.touched(rows) if only is None else only)
+        self.append(new_rows(rows, stored, self.keys, order))
 
-    def replace(self, rows: DataFrame) -> None:
-        """Write next to the table, then swap the folders; the rows may be read from the table itself."""
+    def upsert(self, rows: DataFrame, order: str, keep: Sequence[str] = ()) -> None:
+        """Replace or add a row per key of ``rows``; partitions without such a key keep their files."""
+        if not self.buckets:
+            raise ValueError("a table without partitions is only appended to")
         spark = rows.sparkSession
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        system = path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._recover(spark)
-        fresh, old = f"{self.path}__new", f"{self.path}__old"
-        writer = rows.write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(fresh)
-        system.delete(path(old), True)
-        if system.exists(path(self.path)) and not system.rename(path(self.path), path(old)):
-            raise RuntimeError(f"cannot move {self.path} aside")
-        if not system.rename(path(fresh), path(self.path)):
-            raise RuntimeError(f"cannot move {fresh} into place")
-        system.delete(path(old), True)
+        stored = self.read(spark, self.touched(rows))
+        self._write(merged(rows.limit(0) if stored is None else stored, rows, self.keys, order, keep), "overwrite")
         spark.catalog.refreshByPath(self.path)
 
-    def upsert(self, rows: DataFrame, order: str, keep: Sequence[str] = ()) -> None:
-        stored = self.read(rows.sparkSession)
-        if stored is None:
-            self.append(top_per_key(rows, self.keys, [F.col(order).desc()]))
-        else:
-            self.replace(merged(stored, rows, self.keys, order, keep))
-
 
 def latest_table(history: DataFrame) -> DataFrame:
     """The newest snapshot per sample. The first recorded ``available_at`` of a snapshot is never replaced."""

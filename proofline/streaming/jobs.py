@@ -41,14 +41,15 @@ def archive_step(
             bad = checked.where(F.size("reasons") > 0).select("key", "value", "reasons")
             bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
             rows = checked.where(F.size("reasons") == 0).drop("key", "value", "reasons")
+            only = table.touched(rows)
             if payload is not None:
-                stored = table.read(batch.sparkSession)
+                stored = table.read(batch.sparkSession, only)
                 clash = replay_conflicts(rows, stored, table.keys[0], payload, [arrival]).first()
                 if clash is not None:
                     raise RuntimeError(f"payload conflict for {table.keys[0]}={clash[table.keys[0]]}")
             if stamp is not None:
                 rows = rows.withColumn(stamp, F.lit(float(clock())))
-            table.insert_ignore(rows, [arrival])
+            table.insert_ignore(rows, [arrival], only)
         finally:
             checked.unpersist()
 

@@ -1,6 +1,7 @@
 """Tables, datasets on disk, readers and training."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ CONFIG = cohorts.CohortConfig(0.0, 100.0, 10.0, min_labeled=1, min_label_coverag
 
 
 def build(spark, folder, rows):
-    builds = Table(f"{folder}/builds", ("dataset_id",))
+    builds = Table(f"{folder}/builds", ("dataset_id",), 0)
     stats = readiness.training_readiness(rows, CONFIG)
     identity = datasets.write_dataset(
         rows, stats, CONFIG, TRAINING_IDENTITY, datasets.TRAINING_MEMBERS, KEYS, str(folder), builds, 5.0
@@ -81,7 +82,7 @@ def test_manifest_must_match(spark, tmp_path):
 def test_failed_builds_are_logged(spark, tmp_path):
     with pytest.raises(Exception, match="missing_count"):
         build(spark, tmp_path, members(spark, missing=1))
-    builds = Table(f"{tmp_path}/builds", ("dataset_id",))
+    builds = Table(f"{tmp_path}/builds", ("dataset_id",), 0)
     assert {r.status for r in builds.read(spark).collect()} == {"BUILDING", "FAILED"}
     with pytest.raises(RuntimeError, match="no READY dataset"):
         datasets.verified_dataset(spark, str(tmp_path), builds, "training_x", TRAINING_IDENTITY, KEYS)
@@ -91,7 +92,7 @@ def test_refused_cohort_is_not_written(spark, tmp_path):
     stats = readiness.training_readiness(members(spark), cohorts.CohortConfig(0.0, 100.0, 10.0))
     with pytest.raises(ValueError, match=r"labeled_sample_count., 1000.0, 4.0"):
         datasets.write_dataset(members(spark), stats, CONFIG, TRAINING_IDENTITY, datasets.TRAINING_MEMBERS, KEYS,
-                               str(tmp_path), Table(f"{tmp_path}/b", ("dataset_id",)), 1.0)
+                               str(tmp_path), Table(f"{tmp_path}/b", ("dataset_id",), 0), 1.0)
 
 
 def test_empty_cohort_is_not_ready(spark):
@@ -160,11 +161,40 @@ def test_training_finds_a_separating_feature(spark):
     assert weights == {1: pytest.approx(2.0), -1: pytest.approx(200 / 300)}
 
 
-def test_stopped_replace_keeps_the_table(spark, tmp_path):
-    rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "id string, n int")
-    for name, copies, expected in (("new", ("__new", "__old"), ["a", "b", "c"]), ("old", ("__old",), ["a", "b"])):
-        table = Table(str(tmp_path / name), ("id",))
-        for copy in copies:
-            rows(*("abc" if copy == "__new" else "ab")).write.parquet(table.path + copy)
-        table.upsert(rows("d"), "n")
-        assert sorted(r.id for r in table.read(spark).collect()) == [*expected, "d"]
+def files_of(table):
+    return {str(f.relative_to(table.path)) for f in Path(table.path).rglob("*.parquet")}
+
+
+def test_upsert_rewrites_only_the_partitions_it_touches(spark, tmp_path):
+    table = Table(str(tmp_path / "t"), ("id",), 32)
+    rows = lambda ids, n: spark.createDataFrame([(f"k{i}", n, f"own{n}") for i in ids], "id string, n int, own string")
+    table.append(rows(range(200), 1))
+    before = files_of(table)
+    fresh = rows([3, 4, 900], 2).unionByName(rows([3], 5))
+    touched = table.touched(fresh)
+    assert 1 <= len(touched) <= 3
+    table.upsert(fresh, "n", keep=["own"])
+    after = files_of(table)
+    outside = lambda names: {f for f in names if int(f.split("/")[0].split("=")[1]) not in touched}
+    assert outside(before) == outside(after) and before - after and all(f not in before for f in after - outside(after))
+    stored = {r.id: (r.n, r.own) for r in table.read(spark).collect()}
+    assert len(stored) == 201 and stored["k3"] == (5, "own1") and stored["k4"] == (2, "own1") and stored["k900"] == (2, "own2") and stored["k5"] == (1, "own1")
+
+
+def test_lookups_read_only_the_touched_partitions(spark, tmp_path):
+    table = Table(str(tmp_path / "t"), ("id",), 32)
+    table.append(spark.range(500).selectExpr("concat('k', id) AS id", "id AS n"))
+    batch = spark.createDataFrame([("k7", 0)], "id string, n bigint")
+    plan = table.read(spark, table.touched(batch))._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(key_hash_of_32" in plan and "= " + str(table.touched(batch)[0]) in plan
+    table.insert_ignore(batch, ["n"])
+    assert table.read(spark).count() == 500
+    with pytest.raises(ValueError):
+        Table(str(tmp_path / "log"), ("id",), 0).upsert(batch, "n")
+
+
+def test_null_keys_and_null_orders_in_an_upsert(spark):
+    stored = spark.createDataFrame([(None, 9, "a"), ("x", 9, None)], "id string, n int, own string")
+    fresh = spark.createDataFrame([(None, None, "b"), (None, 1, "c"), ("x", None, "d"), ("y", None, "e")], "id string, n int, own string")
+    found = {tuple(r) for r in sinks.merged(stored, fresh, ["id"], "n").collect()}
+    assert found == {(None, 1, "c"), ("x", None, "d"), ("y", None, "e")}

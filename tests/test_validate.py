@@ -81,7 +81,7 @@ def test_defaults_and_typed_columns(spark):
     df = spark.createDataFrame([(SID, changed(FEATURE))], "key string, value string")
     valid, rejected = validate.validate(df, validate.feature_event_contract(created_at=5.0))
     row = valid.first()
-    assert (row.created_at, row.features) == (5.0, {"f000": 1.2, "f589": None})
+    assert (row.created_at, row.features) == (5.0, {"f411": -8.75, "f402": None})
     assert rejected.count() == 0
     slots = spark.createDataFrame([(SID, changed(PREDICTION))], "key string, value string")
     assert validate.validate(slots, validate.prediction_contract())[0].first().runtime_slot == "unknown"
