@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 from catalog import fixtures as fx
 from proofline.operators import latest, quality, validate
+from proofline.operators.keyfilter import with_wanted_keys
 from proofline.plans import cohorts, maturity
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,7 +46,7 @@ def test_cohort_shuffles_each_table_once_and_prunes_features(spark, tables):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     try:
-        text = plan(cohorts.training_cohort(tables["snapshots"], tables["labels"], config))
+        text = plan(cohorts.training_cohort(tables["snapshots"], tables["labels"], config, filter_bits=None))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.maxMetadataStringLength")
@@ -57,6 +58,36 @@ def test_cohort_shuffles_each_table_once_and_prunes_features(spark, tables):
     assert "EqualTo(snapshot_status,complete)" in text
 
 
+def test_labels_are_cut_to_the_cohort_before_their_shuffle(spark, tables):
+    config = cohorts.CohortConfig(fx.START, fx.CUTOFF, fx.MATURITY)
+    made = {
+        "training": lambda bits: cohorts.training_cohort(tables["snapshots"], tables["labels"], config, filter_bits=bits),
+        "gate": lambda bits: cohorts.gate_cohort(tables["predictions"], tables["snapshots"], tables["labels"], config, filter_bits=bits),
+        "live": lambda bits: cohorts.live_cohort(tables["predictions"], tables["labels"], fx.CUTOFF, fx.MATURITY, fx.WINDOW, filter_bits=bits),
+    }
+    for cohort in made.values():
+        whole = sorted(map(str, cohort(None).collect()))
+        assert whole == sorted(map(str, cohort(1 << 16).collect())) == sorted(map(str, cohort(64).collect()))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        lines = plan(made["training"](1 << 16)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "measured_at" in line)
+    exchange = max(i for i in range(scan) if "Exchange" in lines[i])
+    assert any("Filter" in line and "getbit" in line for line in lines[exchange:scan])
+
+
+def test_key_filter_cuts_most_other_keys_and_no_wanted_one(spark):
+    rows, wanted = spark.range(200_000).select(F.concat(F.lit("s"), "id").alias("k")), spark.range(0, 200_000, 20).select(F.concat(F.lit("s"), "id").alias("k"))
+    kept = with_wanted_keys(rows, wanted, "k", 1 << 17)
+    assert kept.join(wanted, "k", "left_semi").count() == 10_000
+    assert kept.count() < 13_000
+    assert with_wanted_keys(rows, wanted.limit(0), "k", 64).count() == 0
+    nulls = spark.createDataFrame([(None,), ("a",)], "k string")
+    assert with_wanted_keys(nulls, nulls, "k", 1 << 10).count() == 2
+
+
 def test_conflict_flag_shares_the_exchange_of_the_ranking(tables):
     text = plan(latest.first_release_decisions(tables["predictions"]))
     assert text.count("Exchange hashpartitioning") == 1
