@@ -7,10 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofline.functions.features import canonical, null_count
-from proofline.functions.scalars import offline_id, snapshot_id
+from proofline.functions.scalars import is_finite, offline_id, snapshot_id
 from proofline.operators.scale import attach, hot_cuts, small_table, with_piece
+from proofline.session import pinned
 
 CARRIED = ("feature_group", "event_id", "simulation_run_id", "drift_segment")
+# Beyond so many features the values are filled forward over change lists instead of by a window column each.
+NARROW = 64
+
+
+def checked_patch(features: Column, keys: Sequence[str]) -> Column:
+    """``features``, or an error where a key is unknown or a number infinite or NaN: batch and stream stop at the same patches."""
+    unknown = F.array_except(F.map_keys(features), F.array(*[F.lit(k) for k in keys]))
+    endless = F.exists(F.map_values(features), lambda v: v.isNotNull() & ~is_finite(v))
+    return (
+        F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unexpected feature key: "), F.array_join(unknown, ","))))
+        .when(endless, F.raise_error(F.lit("feature value is not a finite number")))
+        .otherwise(features)
+    )
 
 
 def assemble_replay(
@@ -20,8 +34,12 @@ def assemble_replay(
 
     A patched null overwrites an earlier number; an absent key does not. ``arrival`` is a number that
     is unique per sample. A sample above ``piece_rows`` patches is folded in pieces of its arrival
-    range, each starting from the last state of the pieces before it.
+    range, each starting from the last state of the pieces before it. An unknown key or a number that is not finite stops the job.
+    Beyond ``NARROW`` features ``assemble_wide`` does the same.
     """
+    if len(keys) > NARROW:
+        return assemble_wide(patches, keys, arrival, piece_rows)
+    patches = patches.withColumn("features", checked_patch(F.col("features"), keys))
     present = [c for c in CARRIED if c in patches.columns]
     slots = [f"_s{i}" for i in range(len(keys))]
 
@@ -88,13 +106,95 @@ def _carry_over(folded, spread, cuts, arrival, present, slots):
     )
 
 
+def assemble_wide(
+    patches: DataFrame, keys: Sequence[str], arrival: str = "arrival", piece_rows: int | None = None,
+) -> DataFrame:
+    """``assemble_replay`` for hundreds of features, with the vector as ``feature_values`` besides.
+
+    One exchange by sample (and piece, for hot samples). Counts, times and carried texts are windows over it; the vectors are
+    filled forward in the same order, a block of rows at a time, from the changes alone.
+    """
+    from proofline.operators.widefold import folded_batches
+
+    names = list(keys)
+    present = [c for c in CARRIED if c in patches.columns]
+    others = [c for c in patches.columns if c not in ("sample_id", "event_time", arrival, "features", *present)]
+    cuts = hot_cuts(patches, ["sample_id"], arrival, piece_rows)
+    rows = with_piece(patches, ["sample_id"], arrival, cuts)
+    rows = _with_earlier(rows, cuts, arrival, present)
+    so_far = W.partitionBy("sample_id", "_piece").orderBy(arrival).rowsBetween(W.unboundedPreceding, 0)
+    number = F.row_number().over(W.partitionBy("sample_id", "_piece").orderBy(arrival))
+    folded = rows.select(
+        "sample_id", "_piece", "event_time", arrival, *others, *present, "features",
+        F.when(number == 1, F.col("_before")).alias("_before"),
+        (number + F.coalesce("_n", F.lit(0))).cast("bigint").alias("snapshot_version"),
+        F.least(F.min("event_time").over(so_far), "_t0").alias("window_start"),
+        F.greatest(F.max("event_time").over(so_far), "_t1").alias("window_end"),
+        *[F.coalesce(F.last(c, True).over(so_far), f"_c{c}").alias(f"last_{c}") for c in present],
+    ).sortWithinPartitions("sample_id", "_piece", arrival)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in folded.schema if f.name not in ("features", "_before"))
+    filled = folded.mapInArrow(
+        lambda batches: folded_batches(batches, names, ("sample_id", "_piece"), "_before"),
+        f"{kept}, feature_values array<double>, feature_count int, missing_count int",
+    )
+    result = filled.select(
+        "sample_id", "event_time", arrival, *others, *present, "snapshot_version", "window_start", "window_end",
+        F.col("window_end").alias("snapshot_time"), F.col("snapshot_version").alias("source_event_count"), "feature_count",
+        F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.col("feature_values")).alias("features"),
+        *[f"last_{c}" for c in present], "feature_values", "missing_count",
+    )
+    return _described(result, len(keys))
+
+
+def _with_earlier(rows: DataFrame, cuts: DataFrame | None, arrival: str, present: Sequence[str]) -> DataFrame:
+    """Add what the earlier pieces of a hot sample left: ``_n``, ``_t0``, ``_t1``, the carried texts and the map ``_before``."""
+    kinds = {"_n": "bigint", "_t0": "double", "_t1": "double", **{f"_c{c}": "string" for c in present}, "_before": "map<string,double>"}
+    if cuts is None:
+        return rows.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()})
+    hot = attach(rows, cuts.select("sample_id").withColumn("_hot", F.lit(True)), ["sample_id"], "inner")
+    ends = hot.groupBy("sample_id", "_piece").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("event_time").alias("_t0"), F.max("event_time").alias("_t1"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in present],
+    )
+    before = W.partitionBy("sample_id").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    totals = ends.select(
+        "sample_id", "_piece", F.sum("_n").over(before).alias("_n"), F.min("_t0").over(before).alias("_t0"),
+        F.max("_t1").over(before).alias("_t1"), *[F.last(c, True).over(before).alias(f"_c{c}") for c in present],
+        F.max("_piece").over(W.partitionBy("sample_id")).alias("_last"),
+    )
+    # A feature's last value in a piece holds for the pieces after it, up to the next piece that sets the feature.
+    value = F.max_by(F.struct(F.col("_value").alias("v")), F.col(arrival)).alias("_set")
+    changes = hot.select("sample_id", "_piece", arrival, F.explode("features").alias("_key", "_value")).groupBy("sample_id", "_key", "_piece").agg(value)
+    spans = changes.withColumn("_next", F.lead("_piece").over(W.partitionBy("sample_id", "_key").orderBy("_piece")))
+    spans = attach(spans, totals.groupBy("sample_id").agg(F.max("_last").alias("_last")), ["sample_id"])
+    reach = F.coalesce("_next", "_last")
+    held = spans.where(reach > F.col("_piece")).select(
+        "sample_id", F.explode(F.sequence(F.col("_piece") + 1, reach)).alias("_piece"), "_key", F.col("_set.v").alias("_value")
+    ).groupBy("sample_id", "_piece").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_value"))).alias("_before"))
+    carried = attach(totals.drop("_last"), held, ["sample_id", "_piece"])
+    return attach(rows, pinned(carried), ["sample_id", "_piece"])
+
+
+def first_complete_versions(patches: DataFrame, keys: Sequence[str], arrival: str = "arrival") -> DataFrame:
+    """Per sample the arrival at which its last missing feature came: the first complete version, without folding any history.
+
+    A sample is complete once every feature has been sent, null included, so that is the greatest over the features of their first
+    arrivals. Two aggregates, both reduced before their shuffle; samples that never become complete give no row.
+    """
+    sent = patches.select("sample_id", arrival, F.explode(F.map_keys(checked_patch(F.col("features"), keys))).alias("_key"))
+    firsts = sent.groupBy("sample_id", "_key").agg(F.min(arrival).alias("_first"))
+    return firsts.groupBy("sample_id").agg(F.max("_first").alias("complete_at"), F.count(F.lit(1)).alias("_features")).where(
+        F.col("_features") == len(keys)
+    ).drop("_features")
+
+
 def _described(df: DataFrame, width: int) -> DataFrame:
     """Add the columns that follow from the folded state."""
     complete = F.col("feature_count") == width
     return df.select(
         snapshot_id(F.col("sample_id"), F.col("snapshot_time"), F.col("snapshot_version")).alias("serving_snapshot_id"),
         *df.columns,
-        null_count(F.col("features")).alias("missing_count"),
+        *([] if "missing_count" in df.columns else [null_count(F.col("features")).alias("missing_count")]),
         complete.alias("is_complete"),
         F.when(complete, "complete").otherwise("partial").alias("snapshot_status"),
     )

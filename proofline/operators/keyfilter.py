@@ -35,8 +35,8 @@ def with_wanted_keys(rows: DataFrame, wanted: DataFrame, key: str, bits: int | N
     if bits is None:
         return rows
     words = bloom_words(wanted, key, bits).scalar()
-    hit = [F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1 for at in _places(key, bits)]
-    found = hit[0]
-    for other in hit[1:]:
-        found = found & other
+    found = F.lit(True)  # the subquery is named once per hash and run once
+    for at in _places(key, bits):
+        word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
+        found = found & (F.getbit(word, (at % 64).cast("int")) == 1)
     return rows.where(found)
