@@ -1,25 +1,27 @@
 """Queries that run whole jobs: streams, datasets on disk, training and scoring."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.fixtures import CUTOFF, KEYS, oracle
 from catalog.ranking import COHORT_SQL, CONFIG, MEMBER, ORACLES as RANKING_ORACLES, training_members
 from catalog.records import (
-    EVENT_KEY, FEATURE_HEAD, FEATURE_RULES, FEATURE_TEXT, PARSED, SAMPLE, duck, oracle_reasons, spark_text,
+    EVENT_KEY, FEATURE_HEAD, FEATURE_RULES, FEATURE_TEXT, LABEL_RULES, LABEL_TEXT, PARSED, PREDICTION_RULES, PREDICTION_TEXT,
+    SAMPLE, duck, oracle_reasons, spark_text,
 )
-from proofline.constants import TRAINING_IDENTITY, model_columns
+from proofline.constants import HASH_PATTERN, TRAINING_IDENTITY, feature_keys, model_columns
 from proofline.functions.features import lengthen, widen, with_vector_hash
 from proofline.operators import quality, validate
+from proofline.operators.assemble import assemble_replay, first_complete_versions
 from proofline.operators.latest import first_complete, labels_at
 from proofline.plans import datasets, readiness, training
 from proofline.session import scratch
 from proofline.sources.sinks import Table
-from proofline.streaming import jobs
+from proofline.streaming import jobs, scoring
 from proofline.streaming.assembler import assemble_stream
 
 QUERIES, ORACLES = {}, {}
-EVENTS_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def query(name, sql=None):
@@ -31,9 +33,26 @@ def query(name, sql=None):
     return register
 
 
-def stream_of_events(spark, sf):
-    """The events table as a stream of files."""
-    return spark.readStream.schema(EVENTS_DDL).option("pathGlobFilter", "events*.parquet").parquet(sf)
+BATCHES = 4
+
+
+def stream_of(rows, order, key, folder, replayed=False):
+    """``rows`` as a stream of several micro-batches, by ``order``; a key's rows are in one file of each. ``replayed``: the first come twice.
+
+    The files are written one range after another, and the source takes them by their time, one a trigger.
+    """
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    cuts = [low + (high + 1 - low) * i // BATCHES for i in range(BATCHES + 1)] if low is not None else [0] * (BATCHES + 1)
+    parts = list(zip(cuts, cuts[1:]))
+    for begin, end in parts + parts[:1] * replayed:
+        part = rows.where((F.col(order) >= begin) & (F.col(order) < end))
+        part.repartition(key).write.mode("append").parquet(f"{folder}/arriving")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+
+
+def stream_of_events(spark, sf, folder, replayed=False):
+    return stream_of(fx.table(spark, sf, "events"), "event_id", "user_id", folder, replayed)
 
 
 def run_to_end(stream, step, folder, name):
@@ -50,7 +69,7 @@ def stateful(spark):
 def stream_assemble(spark, sf):
     stateful(spark)
     folder = scratch(spark, "assemble")
-    patches = fx.patches_of(stream_of_events(spark, sf)).select(
+    patches = fx.patches_of(stream_of_events(spark, sf, folder)).select(
         "sample_id", "event_id", F.col("event_id").alias("arrival"), "event_time", "feature_group", "features"
     )
     run_to_end(assemble_stream(patches, KEYS), jobs.batch_append(f"{folder}/out"), folder, "assemble")
@@ -68,22 +87,85 @@ ORACLES["stream_assemble"] = RANKING_ORACLES["assemble_replay"]
 select concat('e', event_id) as event_id, j->>'$.sample_id' as sample_id, (j->>'$.event_time')::double as event_time, j->>'$.feature_group' as feature_group,
   99.0::double as created_at, len(json_keys(j, '$.features')) ::int as keys from r where reasons = ''""")
 def stream_archive(spark, sf):
-    """Every event is delivered twice; the table holds each valid one once."""
+    """Some events are delivered again in a later micro-batch; the table holds each valid one once."""
     folder = scratch(spark, "archive")
-    table = Table(f"{folder}/table", ("event_id",))
     contract = validate.feature_event_contract(SAMPLE, fx.EVENT_TYPES, len(KEYS), 99.0)
-    rows = stream_of_events(spark, sf).withColumn("h", spark_text(FEATURE_HEAD))
-    raw = rows.select(
-        spark_text(EVENT_KEY).alias("key"), spark_text(FEATURE_TEXT).alias("value"),
-        F.explode(F.array(F.col("event_id") * 2, F.col("event_id") * 2 + 1)).alias("arrival"),
+    rows = stream_of_events(spark, sf, folder, True).withColumn("h", spark_text(FEATURE_HEAD))
+    raw = rows.select(spark_text(EVENT_KEY).alias("key"), spark_text(FEATURE_TEXT).alias("value"), F.col("event_id").alias("arrival"))
+    return archived(spark, raw, contract, "event_id", folder).select(
+        "event_id", "sample_id", "event_time", "feature_group", "created_at", F.size(F.map_keys("features")).alias("keys")
+    )
+
+
+def archived(spark, raw, contract, key, folder, **options):
+    table = Table(f"{folder}/table", (key,), 16)
+    run_to_end(raw, jobs.archive_step(contract, table, f"{folder}/bad", lambda: 99.0, **options), folder, f"archive {key}")
+    return table.read(spark)
+
+
+@query("stream_label_archive", "with raw as (select " + duck(LABEL_TEXT) + " as value from orders)" + PARSED + ", r as (select j, "
+       + oracle_reasons(LABEL_RULES) + """ from t)
+select j->>'$.label_event_id' as label_event_id, j->>'$.sample_id' as sample_id, (j->>'$.label_revision')::bigint as label_revision,
+  (j->>'$.measured_at')::double as measured_at, (j->>'$.actual_value')::int as actual_value, j->>'$.actual_label' as actual_label,
+  99.0::double as available_at from r where reasons = ''""")
+def stream_label_archive(spark, sf):
+    """Labels with the time they became known; a replayed label must say the same again."""
+    folder = scratch(spark, "labels")
+    raw = stream_of(fx.table(spark, sf, "orders"), "o_orderkey", "o_custkey", folder, True).select(
+        F.lit(None).cast("string").alias("key"), spark_text(LABEL_TEXT).alias("value"), F.col("o_orderkey").alias("arrival")
+    )
+    stored = archived(spark, raw, validate.label_contract(SAMPLE), "label_event_id", folder, stamp="available_at", payload=jobs.LABEL_PAYLOAD)
+    return stored.select("label_event_id", "sample_id", "label_revision", "measured_at", "actual_value", "actual_label", "available_at")
+
+
+@query("stream_prediction_archive", "with raw as (select event_id, " + duck(PREDICTION_TEXT) + " as value from events)" + PARSED + ", r as (select j, "
+       + oracle_reasons(PREDICTION_RULES) + """ from t)
+select j->>'$.prediction_id' as prediction_id, j->>'$.sample_id' as sample_id, (j->>'$.snapshot_version')::bigint as snapshot_version,
+  coalesce(nullif(j->>'$.runtime_slot', ''), 'unknown') as runtime_slot, (j->>'$.fail_probability')::double as fail_probability,
+  (j->>'$.predicted_value')::int as predicted_value from r where reasons = ''""")
+def stream_prediction_archive(spark, sf):
+    folder = scratch(spark, "predictions")
+    raw = stream_of_events(spark, sf, folder, True).select(
+        F.concat(F.lit("s-"), F.col("user_id").cast("string")).alias("key"), spark_text(PREDICTION_TEXT).alias("value"),
+        F.col("event_id").alias("arrival"),
     )
-    step = jobs.archive_step(contract, table, f"{folder}/bad", lambda: 99.0)
-    run_to_end(raw, step, folder, "archive")
+    contract = validate.prediction_contract(SAMPLE, HASH_PATTERN, len(KEYS))
+    return archived(spark, raw, contract, "prediction_id", folder).select(
+        "prediction_id", "sample_id", "snapshot_version", "runtime_slot", "fail_probability", "predicted_value"
+    )
+
+
+@query("stream_scoring", """
+with newest as (select * from fx_snapshots where is_complete),
+models as (select * from (values ('release', 0.2), ('shadow', 0.5)) m(runtime_slot, threshold))
+select concat(runtime_slot, ':', serving_snapshot_id) as prediction_id, sample_id, snapshot_version, runtime_slot, threshold::double as threshold,
+  case runtime_slot when 'release' then round(least(greatest(coalesce(f0, 0.0) / 500.0, 0.0), 1.0), 9) else round(missing_count / 5.0, 9) end as fail_probability,
+  case when case runtime_slot when 'release' then least(greatest(coalesce(f0, 0.0) / 500.0, 0.0), 1.0) else missing_count / 5.0 end >= threshold
+    then 1 else -1 end as predicted_value, missing_count from newest cross join models""")
+def stream_scoring(spark, sf):
+    """Complete snapshots, some of them delivered again, scored by the released and a shadow model; each decision is stored once."""
+    folder = scratch(spark, "scoring")
+    snaps = fx.snapshots(spark, sf).select(
+        "event_id", "serving_snapshot_id", "sample_id", "snapshot_version", "feature_hash", "snapshot_status", "is_complete", "features"
+    )
+    models = {"release": scoring.Model("run-a", 0.2, first_feature), "shadow": scoring.Model("run-b", 0.5, share_missing)}
+    table = Table(f"{folder}/decisions", ("prediction_id",), 16)
+    step = scoring.scoring_step(models, KEYS, lambda: 5.0, table)
+    run_to_end(stream_of(snaps, "event_id", "sample_id", folder, True), step, folder, "scoring")
     return table.read(spark).select(
-        "event_id", "sample_id", "event_time", "feature_group", "created_at", F.size(F.map_keys("features")).alias("keys")
+        "prediction_id", "sample_id", "snapshot_version", "runtime_slot", "threshold", F.round("fail_probability", 9).alias("fail_probability"),
+        "predicted_value", "missing_count",
     )
 
 
+def first_feature(vectors):
+    return np.clip(np.nan_to_num(vectors[:, 0]) / 500.0, 0.0, 1.0)
+
+
+def share_missing(vectors):
+    return np.isnan(vectors).mean(axis=1)
+
+
 @query("stream_latest", """
 select serving_snapshot_id, sample_id, snapshot_version, 7.0::double as available_at from (
   select concat('state:', sample_id, ':', cast(cast(floor(window_end * 1000) as bigint) as varchar), ':', cast(snapshot_version as varchar)) as serving_snapshot_id,
@@ -93,7 +175,7 @@ def stream_latest(spark, sf):
     stateful(spark)
     folder = scratch(spark, "latest")
     history = Table(f"{folder}/history", ("serving_snapshot_id",))
-    patches = fx.patches_of(stream_of_events(spark, sf)).select(
+    patches = fx.patches_of(stream_of_events(spark, sf, folder)).select(
         "sample_id", "event_id", F.col("event_id").alias("arrival"), "event_time", "feature_group", "features"
     )
     run_to_end(assemble_stream(patches, KEYS, hashed=False), jobs.materialize_step(history, lambda: 7.0), folder, "latest")
@@ -101,6 +183,74 @@ def stream_latest(spark, sf):
     return newest.select("serving_snapshot_id", "sample_id", "snapshot_version", "available_at")
 
 
+WIDE = feature_keys(590)
+# A wide patch sets the 118 features of its group: feature 5 j + group is j + 1 times the event's hundredths, null for every 13th.
+WIDE_CTE = """
+with runs as (select p.event_id, p.sample_id, row_number() over w as snapshot_version, min(p.event_time) over w as window_start,
+    max(p.event_time) over w as window_end, max(if(feature_index = 0, p.event_id, null)) over w as e0,
+    max(if(feature_index = 1, p.event_id, null)) over w as e1, max(if(feature_index = 2, p.event_id, null)) over w as e2,
+    max(if(feature_index = 3, p.event_id, null)) over w as e3, max(if(feature_index = 4, p.event_id, null)) over w as e4
+  from fx_patches p window w as (partition by p.sample_id order by p.event_id)),
+cells as (select r.event_id, 5 * j + g.i as feature, e.event_id as setter,
+    case when (e.event_id + j) % 13 <> 0 then floor(e.value * 100) * (j + 1) end as v
+  from runs r, lateral (values (0, e0), (1, e1), (2, e2), (3, e3), (4, e4)) g(i, e), range(0, 118) t(j), events e where e.event_id = g.e),
+sums as (select event_id, count(*) as feature_count, count(v) as filled, sum(v) as value_sum, sum(v * (feature % 101)) as place_sum from cells group by 1)
+"""
+
+
+def wide_patches(spark, sf):
+    groups = F.array(*[F.array(*[F.lit(k) for k in WIDE[i::5]]) for i in range(5)])
+    base = F.floor(F.col("raw") * 100).cast("double")
+    values = F.transform(
+        F.sequence(F.lit(0), F.lit(117)), lambda j: F.when((F.col("event_id") + j) % 13 != 0, base * (j + 1).cast("double"))
+    )
+    events = fx.table(spark, sf, "events")
+    patches = fx.patches_of(events).select("sample_id", "event_id", F.col("event_id").alias("arrival"), "event_time", "feature_index")
+    raw = events.select(F.col("event_id"), F.col("value").alias("raw"))
+    return patches.join(raw, "event_id").select(
+        "sample_id", "event_id", "arrival", "event_time", F.map_from_arrays(F.get(groups, F.col("feature_index")), values).alias("features")
+    )
+
+
+def wide_sums(df, vector, keep):
+    """Sums over whole vectors that tell values and places apart; whole numbers, so that their order does not matter."""
+    filled = F.transform(vector, lambda v: F.coalesce(v, F.lit(0.0)))
+    placed = F.transform(filled, lambda v, i: v * (i % 101))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    return df.select(*keep, total(filled).alias("value_sum"), total(placed).alias("place_sum"))
+
+
+@query("assemble_wide", WIDE_CTE + """
+select event_id, sample_id, snapshot_version, window_start, window_end, feature_count::int as feature_count,
+  (590 - filled)::int as missing_count, feature_count = 590 as is_complete, coalesce(value_sum, 0.0) as value_sum, coalesce(place_sum, 0.0) as place_sum
+from runs join sums using (event_id)""")
+def assembled_wide(spark, sf):
+    """Every version of every sample over 590 features."""
+    folded = assemble_replay(wide_patches(spark, sf), WIDE)
+    keep = ["event_id", "sample_id", "snapshot_version", "window_start", "window_end", "feature_count", "missing_count", "is_complete"]
+    return wide_sums(folded, F.col("feature_values"), keep)
+
+
+@query("first_complete_wide", WIDE_CTE + """
+select sample_id, min(event_id) as complete_at from runs join sums using (event_id) where feature_count = 590 group by 1""")
+def complete_wide(spark, sf):
+    return first_complete_versions(wide_patches(spark, sf), WIDE)
+
+
+@query("stream_assemble_wide", WIDE_CTE + """
+select event_id, sample_id, snapshot_version, feature_count::int as feature_count, (590 - filled)::int as missing_count,
+  coalesce(value_sum, 0.0) as value_sum, coalesce(place_sum, 0.0) as place_sum from runs join sums using (event_id)""")
+def streamed_wide(spark, sf):
+    """The same over a stream, with the state in the state store."""
+    stateful(spark)
+    folder = scratch(spark, "wide")
+    arriving = stream_of(wide_patches(spark, sf), "event_id", "sample_id", folder)
+    run_to_end(assemble_stream(arriving, WIDE, hashed=False), jobs.batch_append(f"{folder}/out"), folder, "wide")
+    stored = spark.read.parquet(f"{folder}/out").withColumn("event_id", F.col("event_id").cast("bigint"))
+    keep = ["event_id", "sample_id", "snapshot_version", "feature_count", "missing_count"]
+    return wide_sums(stored, F.map_values("features"), keep)
+
+
 DIGEST_COLUMNS = ["sample_id", "serving_snapshot_id", "snapshot_version", "label_revision", "actual_label"]
 
 

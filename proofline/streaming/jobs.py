@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from proofline.operators.latest import top_per_key
 from proofline.operators.validate import Contract, check
 from proofline.session import SETTINGS
-from proofline.sources.sinks import Table, as_messages, prediction_evidence, replay_conflicts
+from proofline.sources.sinks import Table, replay_conflicts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STREAM_SETTINGS = {**SETTINGS, "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
@@ -100,29 +100,3 @@ def refreshed_latest(latest: DataFrame | None, history: DataFrame) -> DataFrame:
     fresh = history if seen is None else history.where(F.col("available_at") >= F.lit(seen))
     both = latest.unionByName(fresh.select(*latest.columns))
     return top_per_key(both, ["sample_id"], [F.col("snapshot_version").desc(), F.col("available_at")])
-
-
-def scored_messages(snapshots: DataFrame, models: dict[str, Callable[[DataFrame], DataFrame]], request_id: str, at: float) -> DataFrame:
-    """Complete snapshots scored by every model: one slot each (release, shadow, ...), with distinct ids."""
-    ready = snapshots.where(F.col("is_complete") & (F.col("snapshot_status") == "complete"))
-    parts = []
-    for slot, score in models.items():
-        scored = score(ready).withColumns({
-            "prediction_id": F.concat_ws(":", F.lit(request_id), F.lit(slot), F.col("serving_snapshot_id")),
-            "request_id": F.lit(request_id), "predicted_at": F.lit(float(at)),
-        })
-        parts.append(prediction_evidence(scored, slot))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def scoring_step(models, request_id: Callable[[int], str], clock: Callable[[], float], emit: Callable[[DataFrame], None]):
-    """Score the newest complete snapshots of each micro-batch and hand the events to ``emit``."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        newest = top_per_key(batch, ["sample_id"], [F.col("snapshot_version").desc()])
-        emit(as_messages(scored_messages(newest, models, request_id(batch_id), clock())))
-
-    return step

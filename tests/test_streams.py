@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from proofline.operators import validate
 from proofline.operators.assemble import assemble_replay
 from proofline.sources.readers import file_stream
 from proofline.sources.sinks import Table
-from proofline.streaming import jobs
+from proofline.streaming import jobs, scoring
 from proofline.streaming.assembler import assemble_stream
 
 KEYS = feature_keys(5)
@@ -126,19 +127,32 @@ def test_materialize_publishes_then_records_once(rocks, tmp_path):
     assert jobs.refreshed_latest(newest, history.read(rocks)).count() == 1
 
 
-def test_scoring_fans_out_per_slot(spark):
+def test_scoring_fans_out_per_slot_and_survives_a_replay(spark, tmp_path):
     rows = spark.createDataFrame(
-        [("s:1", "s", 1, True, "complete"), ("t:1", "t", 1, False, "partial")],
-        "serving_snapshot_id string, sample_id string, snapshot_version bigint, is_complete boolean, snapshot_status string",
+        [("s:1", "s", 1, "h", True, "complete", {"f000": 0.25, "f001": None}), ("s:2", "s", 2, "h", True, "complete", {"f000": 0.75, "f001": 1.0}),
+         ("t:1", "t", 1, "h", False, "partial", {"f000": 9.0})],
+        "serving_snapshot_id string, sample_id string, snapshot_version bigint, feature_hash string, is_complete boolean, "
+        "snapshot_status string, features map<string,double>",
     )
-
-    def model(p):
-        return lambda df: df.withColumn("fail_probability", F.lit(p))
-
-    found = jobs.scored_messages(rows, {"release": model(0.1), "shadow": model(0.9)}, "r1", 5.0).collect()
-    assert {(r.runtime_slot, r.prediction_id, r.fail_probability) for r in found} == {
-        ("release", "r1:release:s:1", 0.1), ("shadow", "r1:shadow:s:1", 0.9)
+    models = {"release": scoring.Model("a", 0.5, lambda x: x[:, 0]), "shadow": scoring.Model("b", 0.9, lambda x: np.ones(len(x)))}
+    table, clock = Table(str(tmp_path / "decisions"), ("prediction_id",), 4), iter([5.0, 6.0, 7.0])
+    step = scoring.scoring_step(models, ["f000", "f001"], lambda: next(clock), table)
+    step(rows.where("snapshot_version = 1"), 0)
+    step(rows, 1)
+    step(rows, 1)  # the batch comes again
+    found = {r.prediction_id: (r.fail_probability, r.predicted_value, r.predicted_label, r.missing_count, r.predicted_at) for r in table.read(spark).collect()}
+    assert found == {
+        "release:s:1": (0.25, -1, "pass", 1, 5.0), "shadow:s:1": (1.0, 1, "fail", 1, 5.0),
+        "release:s:2": (0.75, 1, "fail", 0, 6.0), "shadow:s:2": (1.0, 1, "fail", 0, 6.0),
     }
+    assert table.read(spark).count() == 4
+    newest = Table(str(tmp_path / "newest"), ("prediction_id",), 4)
+    scoring.scoring_step(models, ["f000", "f001"], lambda: 8.0, newest, only_newest=True)(rows, 0)
+    assert {r.serving_snapshot_id for r in newest.read(spark).collect()} == {"s:2"}
+    wrong = {"release": scoring.Model("a", 0.5, lambda x: x[:, 0] + 1.0)}
+    with pytest.raises(Exception, match="does not give a probability"):
+        scoring.decisions(rows, wrong, ["f000", "f001"], 1.0).collect()
+    assert scoring.decisions(rows.limit(0), models, ["f000", "f001"], 1.0).count() == 0
 
 
 def test_state_based_deduplication(rocks, tmp_path):
