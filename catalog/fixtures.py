@@ -131,7 +131,7 @@ def prediction_volume(spark: SparkSession, sf: str) -> DataFrame:
 def label_volume(spark: SparkSession, sf: str) -> DataFrame:
     actual = F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).cast("int")
     key = F.col("o_orderkey").cast("string")
-    return table(spark, sf, "orders").where(F.col("o_orderstatus") != "P").select(
+    return table(spark, sf, "orders").select(
         F.concat(F.lit("label:"), key, F.lit(":r1")).alias("label_event_id"), key.alias("sample_id"),
         F.lit(1).cast("bigint").alias("label_revision"),
         epoch_seconds(F.col("o_orderdate")).alias("measured_at"),
@@ -208,7 +208,7 @@ fx_label_volume as (
     cast(1 as bigint) as label_revision, epoch_us(o_orderdate) / 1e6 as available_at,
     case o_orderstatus when 'F' then 1 else -1 end as actual_value,
     case o_orderstatus when 'F' then 'fail' else 'pass' end as actual_label
-  from orders where o_orderstatus <> 'P'),
+  from orders),
 fx_long as (
   select s.sample_id, s.snapshot_version, s.serving_snapshot_id, s.feature_hash, s.available_at, v.feature_index, v.feature_name, v.value
   from fx_snapshots s, lateral (values (0, 'f000', f0), (1, 'f001', f1), (2, 'f002', f2), (3, 'f003', f3), (4, 'f004', f4))

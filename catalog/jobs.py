@@ -366,5 +366,5 @@ def train_score(spark, sf):
     labels = labels_at(fx.labels(spark, sf), CUTOFF).select("sample_id", "actual_value")
     firsts = widen(first_complete(fx.snapshots(spark, sf)).select("sample_id", "serving_snapshot_id", "missing_count", "features"), KEYS)
     rows = firsts.join(labels, "sample_id").drop("missing_count", "serving_snapshot_id")
-    result = training.train(rows, model_columns(len(KEYS)), trees=(10,), leaves=(1, 3))
+    result = training.train(rows, model_columns(len(KEYS)))
     return result.model.score(firsts).select("sample_id", "serving_snapshot_id", "fail_probability", "predicted_value", "predicted_label")

@@ -157,6 +157,8 @@ def test_training_finds_a_separating_feature(spark):
     right = scored.where("predicted_value = actual_value").count()
     assert right > 170
     assert scored.where((F.col("predicted_value") == 1) != (F.col("predicted_label") == "fail")).count() == 0
+    holes = spark.createDataFrame([(1.0, None), (4.0, None), (None, None), (10.0, None)], "a double, b double")
+    assert training.exact_medians(holes, ["a", "b"]) == {"a": 4.0}
     weights = {r.actual_value: r._weight for r in training.with_class_weight(rows).select("actual_value", "_weight").distinct().collect()}
     assert weights == {1: pytest.approx(2.0), -1: pytest.approx(200 / 300)}
 
