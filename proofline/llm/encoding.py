@@ -1,13 +1,15 @@
 """Ids of whole texts by a public tokenizer file, with every distinct piece of a chunk encoded once.
 
 A text is cut only where the tokenizer's own pre-tokenization always has a boundary, so the ids are those of the whole
-text. Work is done on chunks of bounded size, in numpy, and a
+text. The string of an added token, such as an end mark, is that token's one id wherever it stands, as the tokenizers library has
+it; texts with one go to the tokenizer uncut. Work is done on chunks of bounded size, in numpy, and a
 bounded cache, keyed by 128-bit hashes, keeps the ids of pieces seen before.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +85,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Texts that are not cut: what the tokenizer finds in them before it splits words may span a cut.
+        self.uncut = "|".join([*added, *([RUN_BEFORE_SPACE] if keeps_space else [])])
         self.keeps_space = keeps_space
         self.cache = PieceCache()
 
@@ -114,12 +118,13 @@ class Encoder:
         texts = plain(texts)
         if not len(texts):
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        if self.keeps_space:
-            whole = np.flatnonzero(pc.match_substring_regex(texts, RUN_BEFORE_SPACE).to_numpy(zero_copy_only=False))
-            cut = pc.split_pattern(texts, " ")
-        else:
-            whole = np.zeros(0, np.int64)
-            cut = pc.ascii_split_whitespace(texts)
+        whole = np.zeros(0, np.int64)
+        parts_of = texts
+        if self.uncut:
+            marked = pc.match_substring_regex(texts, self.uncut)
+            whole = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+            parts_of = plain(pc.if_else(marked, "", texts)) if len(whole) else texts
+        cut = pc.split_pattern(parts_of, " ") if self.keeps_space else pc.ascii_split_whitespace(parts_of)
         bounds = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)

@@ -1,20 +1,23 @@
 """Round trips and small cases of token files, packing, archives and SimHash."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from proofline.llm.common import public_tokenizer
+from proofline.llm.common import public_tokenizer, tokenizer_definition
+from proofline.llm.encoding import Encoder
 from proofline.llm.packing import pack, plan_packing
 from proofline.llm.simhash import near_duplicates
 from proofline.llm.tokenfile import from_planes, read_token_files, to_planes, write_token_files
 from proofline.llm.warc import assemble, read_warc, write_warc
 from proofline.session import scratch
 
-TEXTS = ["Hello  world\n it's", None, "", " lead", "a \n b  c", "x" * 5000, "same text", "same text"]
+TEXTS = ["a<|endoftext|> b<|endoftext|>", "<|startoftext|>\tx <|endoftext| >", "Hello  world\n it's", None, "", " lead", "a \n b  c", "x" * 5000, "same text", "same text"]
 
 
 @pytest.mark.parametrize("form", ["bit", "byte"])
@@ -25,10 +28,20 @@ def test_planes(form):
 
 def _ids(name):
     tokenizer = Tokenizer.from_file(public_tokenizer(name))
-    tokenizer.encode_special_tokens = True
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in TEXTS]
 
 
+@pytest.mark.parametrize(("name", "keeps_space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_are_those_of_the_library(name, keeps_space):
+    rng, tokenizer = random.Random(6), Tokenizer.from_file(public_tokenizer(name))
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "it's", " ", "  ", "\n", "\t ", "Ünï", "é", "漢字", "12", "...", "word", "\u00a0", "A"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    counts, ids = Encoder(tokenizer_definition(public_tokenizer(name)), keeps_space).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, end, count in zip(texts, ends.tolist(), counts.tolist(), strict=True):
+        assert ids[end - count : end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
