@@ -7,7 +7,7 @@ returns typed columns with the list of broken rules. It is a projection: no shuf
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from proofline import constants as K
@@ -276,6 +276,31 @@ def audit(df: DataFrame, checks: dict[str, str], **values) -> DataFrame:
     return counted.select(F.inline(F.array(*lines)))
 
 
+def table_rules(table: str, schema, **values) -> dict[str, Column]:
+    """Rule name to the condition under which a row of the evidence table breaks it: its checks, and nulls in required columns.
+
+    As in SQL, a check that is null is not broken.
+    """
+    checks = {name: ~F.coalesce(F.expr(text.format(**values)), F.lit(True)) for name, text in TABLE_CHECKS.get(table, {}).items()}
+    return checks | {f"null:{f.name}": F.col(f.name).isNull() for f in schema.fields if not f.nullable}
+
+
+class Counted:
+    """A table with its rules counted by whatever job reads it next, such as the one that writes it: no second scan."""
+
+    def __init__(self, df: DataFrame, table: str, rules: dict[str, Column]) -> None:
+        self.table, self.rules, self.seen = table, list(rules), Observation(f"rules of {table}")
+        counters = [F.count_if(broken).alias(f"_r{i}") for i, broken in enumerate(rules.values())]
+        self.rows = df.observe(self.seen, F.count(F.lit(1)).alias("_rows"), *counters)
+        self.session = df.sparkSession
+
+    def report(self) -> DataFrame:
+        """One row per rule: table, rule, rows, violations. Waits for the job that reads ``rows``."""
+        found = self.seen.get
+        lines = [(self.table, rule, found["_rows"], found[f"_r{i}"]) for i, rule in enumerate(self.rules)]
+        return self.session.createDataFrame(lines, "table_name string, rule string, rows_ bigint, violations bigint")
+
+
 def _listed(values: Sequence[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 

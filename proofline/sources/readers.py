@@ -1,11 +1,13 @@
 """Readers: event topics, raw sensor and label text, stored evidence."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofline.constants import FAIL, PASS
 from proofline.functions.scalars import class_name
-from proofline.operators.scale import small_table
 from proofline.schemas import RAW_EVENT_DDL
 
 
@@ -61,12 +63,39 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, place: str = "place") -> DataFrame:
+    """Add ``number``: the place of each row in source order, from 0, without moving a row.
+
+    ``place`` is (file, block, line) as ``text_rows`` and ``ordered_rows`` give it: the lines of a block follow one another. Only
+    the blocks, a line each, are put in order; a row's number is its block's first plus its distance from the block's first line.
+    """
+    at = {name: F.col(place)[name] for name in ("file", "block", "line")}
+    keyed = df.withColumns({f"_{name}": column for name, column in at.items()})
+    blocks = keyed.groupBy("_file", "_block").agg(F.min("_line").alias("_begin"), F.count(F.lit(1)).alias("_rows"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # one row per block of the source
+    starts = blocks.select("_file", "_block", "_begin", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    numbers = keyed.join(starts, ["_file", "_block"])
+    return numbers.select(*df.columns, (F.col("_before") + F.col("_line") - F.col("_begin")).cast("bigint").alias("number"))
+
+
 def first_rows(df: DataFrame, count: int, place: str = "place") -> DataFrame:
-    """The first ``count`` rows in source order; fails if there are fewer."""
-    taken = small_table(df.orderBy(place).limit(count), count)
-    if taken.count() < count:
-        raise ValueError(f"source has fewer than {count} rows")
-    return taken
+    """The first ``count`` rows in source order; fails if there are fewer. Rows stay where they are, however many are wanted."""
+    held = df.count()
+    if held < count:
+        raise ValueError(f"source has fewer than {count} rows: {held}")
+    return numbered(df, place).where(F.col("number") < count).drop("number")
+
+
+def write_ordered(df: DataFrame, order: Sequence, path: str) -> None:
+    """Write ``df`` in a total order: ranges of it in files whose numbers follow the order, each sorted."""
+    df.orderBy(*order).write.mode("overwrite").parquet(path)
+
+
+def ordered_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_ordered`` wrote, with ``place``: the number of the file, and the row's index in it."""
+    rows = spark.read.parquet(path)
+    file = F.col("_metadata.file_name")
+    return rows.select("*", F.struct(file.alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("_metadata.row_index").alias("line")).alias("place"))
 
 
 def evidence(spark: SparkSession, path: str, schema=None) -> DataFrame:
