@@ -3,13 +3,17 @@
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from catalog.fixtures import CUTOFF, KEYS, oracle
-from catalog.ranking import COHORT_SQL, training_members
-from proofline.operators import validate
+from catalog.fixtures import CUTOFF, KEYS, listed, oracle
+from catalog.jobs import DIGEST_COLUMNS
+from catalog.ranking import COHORT_SQL, CONFIG, missed_sql, training_members
+from proofline.functions.features import lengthen
+from proofline.operators import quality, stats, validate
 from proofline.operators.assemble import latest_snapshots, reconstruct
+from proofline.plans import cohorts, datasets, readiness
 from proofline.schemas import evidence_schemas
 from proofline.session import scratch
 from proofline.sources import readers
+from proofline.sources.sinks import Table, as_stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -129,16 +133,128 @@ def ordered_cohort(spark, sf):
 
 
 @query("first_source_rows", """
-with lines as (select l_orderkey, l_linenumber, l_quantity, row_number() over (order by l_orderkey, l_linenumber) as r from lineitem)
+with lines as (select l_orderkey, l_linenumber, l_quantity, row_number() over (order by l_orderkey, l_linenumber, l_quantity) as r from lineitem)
 select l_orderkey, l_linenumber::int as l_linenumber, l_quantity::double as l_quantity from lines where r <= (select count(*) // 2 from lineitem)""")
 def first_source_rows(spark, sf):
     """Text lines in source order: the first half of the order lines, without passing them through one place."""
     folder = scratch(spark, "source")
     rows = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    ordered = rows.orderBy("l_orderkey", "l_linenumber")
+    ordered = rows.orderBy("l_orderkey", "l_linenumber", "l_quantity")
     ordered.select(F.concat_ws(" ", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("double")).alias("value")).write.text(folder)
     wanted = rows.count() // 2
     part = F.split("value", " ")
     return readers.first_rows(readers.text_rows(spark, folder), wanted).select(
         part[0].cast("bigint").alias("l_orderkey"), part[1].cast("int").alias("l_linenumber"), part[2].cast("double").alias("l_quantity")
     )
+
+
+@query("sensor_matrix", """
+with cells as (select row_number() over (order by l_orderkey, l_linenumber, l_quantity, l_discount, l_tax) - 1 as number, l_quantity::double as v0, l_discount::double as v1,
+  if(l_linenumber = 3, null, l_tax::double) as v2 from lineitem)
+select * from cells""")
+def sensor_matrix(spark, sf):
+    """Numbers in text, NaN for a missing one, read with the place of each line."""
+    folder = scratch(spark, "sensors")
+    ordered = fx.table(spark, sf, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    third = F.when(F.col("l_linenumber") == 3, "NaN").otherwise(F.col("l_tax").cast("double").cast("string"))
+    ordered.select(F.concat_ws("  ", F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), third).alias("value")).write.text(folder)
+    rows = readers.numbered(readers.sensor_matrix(spark, folder, 3))
+    return rows.select("number", *[F.col("values")[i].alias(f"v{i}") for i in range(3)])
+
+
+@query("label_lines", """
+select row_number() over (order by o_orderkey) - 1 as number, if(o_orderstatus = 'F', 1, -1) as actual_value, if(o_orderstatus = 'F', 'fail', 'pass') as actual_label from orders""")
+def label_lines(spark, sf):
+    folder = scratch(spark, "label-lines")
+    value = F.when(F.col("o_orderstatus") == "F", "1").otherwise("-1")
+    fx.table(spark, sf, "orders").orderBy("o_orderkey").select(F.concat_ws(" ", value, F.col("o_orderdate").cast("string")).alias("value")).write.text(folder)
+    return readers.numbered(readers.label_lines(spark, folder)).select("number", "actual_value", "actual_label")
+
+
+@query("offline_at_cutoff", """
+with sent as (select distinct sample_id, feature_index, event_time from fx_patches),
+built as (select sample_id, count(distinct feature_index) as n from sent where event_time <= {CUTOFF} group by 1)
+select sample_id, {CUTOFF} as build_cutoff_time, n::int as feature_count from built where n = 5""")
+def offline_at_cutoff(spark, sf):
+    """Of the snapshots built for two cutoffs, the complete ones of the second."""
+    events = fx.patches(spark, sf).select("sample_id", "event_id", "event_time", "created_at", "features")
+    both = reconstruct(events, KEYS, fx.START).unionByName(reconstruct(events, KEYS, CUTOFF))
+    return readers.offline_snapshots_at(both, CUTOFF).select("sample_id", "build_cutoff_time", "feature_count")
+
+
+@query("filtered_cohort", COHORT_SQL.replace("from fx_snapshots where is_complete", "from fx_snapshots where is_complete and event_id % 2 = 1 and event_id % 3 = 0")
+       + "select sample_id, serving_snapshot_id, snapshot_version, label_event_id from members")
+def filtered_cohort(spark, sf):
+    """The cohort of one run and one segment: the first complete snapshot among theirs."""
+    from dataclasses import replace
+
+    marked = fx.snapshots(spark, sf).withColumns({
+        "simulation_run_id": F.when(F.col("event_id") % 2 == 1, "odd"), "drift_segment": F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")),
+    })
+    config = replace(CONFIG, simulation_run_id="odd", drift_segment="m0")
+    return cohorts.training_cohort(marked, fx.labels(spark, sf), config).select("sample_id", "serving_snapshot_id", "snapshot_version", "label_event_id")
+
+
+SELECTED_SQL = COHORT_SQL + """
+, chosen as (select * from members where label_event_id is not null order by snapshot_available_at desc, sample_id desc, serving_snapshot_id desc limit 12)
+"""
+
+
+def selected(spark, sf):
+    cohort = training_members(spark, sf)
+    return cohort, quality.latest_labeled(cohort, "snapshot_available_at", ["sample_id", "serving_snapshot_id"], 12)
+
+
+@query("training_gate", SELECTED_SQL + """
+, counts as (select count(*) as sample_count, (select count(label_event_id)::double / count(*) from members) as label_coverage,
+  count_if(actual_value = 1) as fail_count, count_if(actual_value = -1) as pass_count from chosen)
+select sample_count, fail_count::bigint as fail_count, pass_count::bigint as pass_count, """
+       + missed_sql(label_coverage=0.999, sample_count=12, fail_count=100, pass_count=1) + """ as reasons, false as ready from counts""")
+def gate_of_training(spark, sf):
+    summary = readiness.training_summary(*selected(spark, sf))
+    judged = listed(readiness.training_gate(summary, 12, 0.999, 100, 1))
+    return judged.select("sample_count", "fail_count", "pass_count", "reasons", "ready")
+
+
+@query("development_selection", SELECTED_SQL + """
+, texts as (select sha256(concat_ws('|', length(sample_id) || ':' || sample_id, length(serving_snapshot_id) || ':' || serving_snapshot_id,
+    length(snapshot_version::varchar) || ':' || snapshot_version, length(label_revision::varchar) || ':' || label_revision,
+    length(actual_label) || ':' || actual_label)) as h from chosen),
+limbs as (select i, sum(('0x' || substr(h, 8 * i + 1, 8))::bigint) as s from texts, (select unnest(range(0, 8)) as i) group by 1)
+select (select count(*) from texts) as row_count, sha256(concat((select count(*) from texts), ':', (select string_agg(s::varchar, ':' order by i) from limbs))) as digest""")
+def development_selection(spark, sf):
+    """The identity of the rows a model is developed on."""
+    return datasets.selection_digest(selected(spark, sf)[1], DIGEST_COLUMNS)
+
+
+@query("metric_store", """
+with found as (select model_run_id, threshold, count(*) as n, count_if(predicted_value = 1)::double as fails, avg(latency_ms) as latency from fx_prediction_volume group by 1, 2)
+select concat(model_run_id, '@', threshold::varchar) as evaluation_id, model_run_id, threshold, m.name as metric_name, round(m.v, 6) as metric_value, n as n_predictions,
+  'all' as window_type, 7.0::double as computed_at from found, lateral (values ('predicted_fail_count', fails), ('latency_ms_mean', latency)) m(name, v)""")
+def metric_store(spark, sf):
+    """Metrics in the columns and types of their table, stored twice under one key."""
+    schema = evidence_schemas()["prediction_window_metrics"]
+    found = fx.prediction_volume(spark, sf).groupBy("model_run_id", "threshold").agg(
+        F.count(F.lit(1)).alias("n_predictions"), F.count_if(F.col("predicted_value") == 1).alias("predicted_fail_count"),
+        F.avg("latency_ms").alias("latency_ms_mean"),
+    ).withColumn("evaluation_id", F.concat_ws("@", "model_run_id", "threshold"))
+    long = quality.metric_rows(found, ["evaluation_id", "model_run_id", "threshold", "n_predictions"], ["predicted_fail_count", "latency_ms_mean"])
+    rows = as_stored(long, schema, window_type="all", computed_at=7.0, created_at=7.0)
+    table = Table(f"{scratch(spark, 'metrics')}/store", ("evaluation_id", "metric_name"), 8)
+    table.insert_ignore(rows, ["computed_at"])
+    table.insert_ignore(rows.withColumn("computed_at", F.lit(8.0)), ["computed_at"])
+    return table.read(spark).withColumn("metric_value", F.round("metric_value", 6)).select(
+        "evaluation_id", "model_run_id", "threshold", "metric_name", "metric_value", "n_predictions", "window_type", "computed_at"
+    )
+
+
+@query("sparse_feature_stats", """
+with cells as (select g.i as feature_index, if(p.feature_index = g.i, p.feature_value, null) as v from fx_patches p, range(0, 5) g(i))
+select cells.feature_index::int as feature_index, concat('f00', cells.feature_index) as feature_name, count(*) as samples, count_if(v is null)::bigint as null_count,
+  count(v) as non_null, round(avg(v), 6) as mean from cells group by cells.feature_index""")
+def sparse_feature_stats(spark, sf):
+    """Statistics over patches that name one feature each, under changing spellings: every patch counts for every feature."""
+    spelled = F.transform_keys("features", lambda k, _: F.when(F.col("event_id") % 2 == 0, k).otherwise(F.concat(F.lit("feature_"), F.substring(k, 2, 3))))
+    rows = fx.patches(spark, sf).withColumn("features", spelled)
+    found = stats.feature_stats(lengthen(rows, [], width=len(KEYS)), [])
+    return found.select("feature_index", "feature_name", "samples", "null_count", "non_null", F.round("mean", 6).alias("mean"))

@@ -57,8 +57,16 @@ def widen(df: DataFrame, keys: Sequence[str], features: str = "features") -> Dat
     return df.select(*rest, *wide)
 
 
-def lengthen(df: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:
-    """One row per feature: ``feature_index``, ``feature_name``, ``value``. The form all statistics use."""
+def lengthen(df: DataFrame, keep: Sequence[str], features: str = "features", width: int | None = None) -> DataFrame:
+    """One row per feature: ``feature_index``, ``feature_name``, ``value``. The form all statistics use.
+
+    Without ``width`` a row per key of the map. With it a row for each of ``width`` features, null where the map has none of the
+    feature's names, so that samples and nulls are counted over all rows whatever their maps hold.
+    """
+    if width is not None:
+        rows = df.select(*keep, F.posexplode(vector_from_map(F.col(features), width)).alias("feature_index", "value"))
+        name = F.concat(F.lit("f"), F.lpad(F.col("feature_index").cast("string"), 3, "0"))
+        return rows.select(*keep, "feature_index", name.alias("feature_name"), "value")
     rows = df.select(*keep, F.explode(features).alias("feature_name", "value"))
     index = F.substring("feature_name", 2, 9).cast("int")
     return rows.select(*keep, index.alias("feature_index"), "feature_name", clean_feature(F.col("value")).alias("value"))

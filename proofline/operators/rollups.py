@@ -57,11 +57,15 @@ def leading_successes(results: DataFrame, keys: Sequence[str] = (), index: str =
 
 
 def membership_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows in only one of two selections, with the side they are on; empty if the selections are equal."""
+    """Rows in only one of two selections, with the side they are on; empty if the selections are equal.
+
+    Copies count: a row that is on one side n times more is given n times. One aggregate over both sides, null equal to null.
+    """
     names = left.columns
-    return left.exceptAll(right.select(*names)).withColumn("only_in", F.lit("left")).unionByName(
-        right.select(*names).exceptAll(left).withColumn("only_in", F.lit("right"))
-    )
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*names).withColumn("_side", F.lit(-1)))
+    surplus = both.groupBy(*names).agg(F.sum("_side").cast("int").alias("_more")).where(F.col("_more") != 0)
+    copies = F.explode(F.array_repeat(F.when(F.col("_more") > 0, "left").otherwise("right"), F.abs("_more")))
+    return surplus.select(*names, copies.alias("only_in"))
 
 
 ELIGIBLE = {

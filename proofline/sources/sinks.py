@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proofline.operators.latest import top_per_key
 from proofline.operators.scale import attach
@@ -149,6 +150,21 @@ class Table:
         spark.catalog.refreshByPath(self.path)
 
 
+def as_stored(rows: DataFrame, schema: StructType, **constants) -> DataFrame:
+    """``rows`` in the columns, types and order of a stored table; ``constants`` fill columns of the same value everywhere.
+
+    A column that is in neither is null, which a required column does not take: the job stops.
+    """
+    given = {name: F.lit(value) for name, value in constants.items()} | {c: F.col(c) for c in rows.columns}
+    made = []
+    for field in schema.fields:
+        value = given.get(field.name, F.lit(None)).cast(field.dataType)
+        if not field.nullable:
+            value = F.coalesce(value, F.raise_error(F.lit(f"{field.name} is required")).cast(field.dataType))
+        made.append(value.alias(field.name))
+    return rows.select(*made)
+
+
 def latest_table(history: DataFrame) -> DataFrame:
     """The newest snapshot per sample. The first recorded ``available_at`` of a snapshot is never replaced."""
     firsts = top_per_key(history, ["serving_snapshot_id"], ["available_at"])
