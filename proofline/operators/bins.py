@@ -67,7 +67,7 @@ def shares(counts: Column) -> Column:
 
 def reference_bins(long: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
     """Edges, counts and ratios of the reference distribution per group."""
-    edges = small_table(bin_edges(long, keys, bins), 200_000)
+    edges = small_table(bin_edges(long, keys, bins))
     counts = bucket_counts(long, edges, keys)
     return attach(edges, counts, keys).withColumn("bin_ratios", shares(F.col("bin_counts")))
 

@@ -252,7 +252,7 @@ def fixed_drift(
     key = ["baseline_id"]
     known = small_table(baselines.select("baseline_id", *GROUP, "source_start", "source_end"))
     rows = newest_rows(attach(predictions, known, GROUP, "inner"), snapshots, key, seconds, seconds)
-    stored = small_table(stats, 200_000)
+    stored = small_table(stats)
 
     current = window_summary(rows, key)
     current = current.select(*key, F.col("rows").alias("c_rows"), *[F.col(n).alias(f"c_{n}") for n in (*OUTPUT, *INPUT)])
