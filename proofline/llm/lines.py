@@ -215,13 +215,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Lines without words stay. Rows of equal id and equal text count as one document and keep the same lines. Null texts stay null.
     """
+    mark = "_gone"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"  # whatever the table's columns are called
     gone = (
         repeated_lines(docs, id_col=id_col, text_col=text_col).groupBy("doc_id", "doc_hash")
-        .agg(F.collect_set("line_no").alias("_gone"))
-        .select(F.col("doc_id").alias("_gone_id"), F.col("doc_hash").alias("_gone_hash"), "_gone")
+        .agg(F.collect_set("line_no").alias(mark))
+        .select(F.col("doc_id").alias(f"{mark}id"), F.col("doc_hash").alias(f"{mark}hash"), mark)
     )
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_gone_hash"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{mark}id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(f"{mark}hash"))
     joined = docs.join(gone, same, "left")
-    kept = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda line, i: ~F.array_contains(mark, i)), "\n")
+    text = F.when(F.col(mark).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -53,3 +53,9 @@ def test_report_and_empty(spark):
     # The null id comes first, so its line stays and the later ones go.
     assert rows == {1: (4, 1, 9), 2: (2, 1, 11), None: (1, 0, 0), 3: (0, 0, 0)}
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5, "x", 1.5), (2, "a b c d e\nz", 6, "y", 2.5)], "doc_id long, text string, _gone long, _gone_id string, `_GONE_hash` double")
+    assert sorted(map(tuple, dedup_lines(docs).collect())) == [(1, "a b c d e", 5, "x", 1.5), (2, "z", 6, "y", 2.5)]
+    assert dedup_lines(docs).columns == docs.columns
