@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline.constants import PSI_EPSILON
 from proofline.functions.scalars import bisect, is_finite
-from proofline.operators.scale import attach, exact_quantiles, small_table
+from proofline.operators.scale import attach, quantiles_of_counts, value_counts
 
 
 def previous_double():
@@ -24,9 +24,13 @@ def previous_double():
 
 
 def bin_edges(long: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
+    return edges_of_counts(value_counts(long, keys, "value"), keys, bins)
+
+
+def edges_of_counts(counts: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
     """Strictly increasing inner edges per group; a constant group gets the buckets below, equal, above."""
     probs = [0.0, *[i / bins for i in range(1, bins)], 1.0]
-    q = exact_quantiles(long, keys, "value", probs)
+    q = quantiles_of_counts(counts, keys, probs)
     low, high = F.col("_q")[0], F.element_at("_q", -1)
     inner = F.array_sort(F.array_distinct(F.filter(F.slice("_q", 2, bins - 1), is_finite)))
     edges = (
@@ -46,10 +50,15 @@ def bucket_counts(long: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Dat
     The edges of a group say how many buckets it has, whatever that number is. Rows are counted per bucket before anything is
     shuffled; an array holds one count per bucket.
     """
-    placed = attach(
-        long.where(F.col("value").isNotNull()), edges.select(*keys, "bin_edges"), keys, "inner"
-    ).select(*keys, "bin_edges", bisect(F.col("bin_edges"), F.col("value")).cast("int").alias("_bucket"))
-    counted = placed.groupBy(*keys, "bin_edges", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    return buckets_of_counts(value_counts(long, keys, "value"), edges, keys)
+
+
+def buckets_of_counts(counts: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``bucket_counts`` from ``value_counts``."""
+    placed = attach(counts, edges.select(*keys, "bin_edges"), keys, "inner").select(
+        *keys, "bin_edges", bisect(F.col("bin_edges"), F.col("_v")).cast("int").alias("_bucket"), "_rows"
+    )
+    counted = placed.groupBy(*keys, "bin_edges", "_bucket").agg(F.sum("_rows").alias("_rows"))
     found = counted.groupBy(*keys, "bin_edges").agg(
         F.map_from_entries(F.collect_list(F.struct("_bucket", "_rows"))).alias("_found")
     )
@@ -66,9 +75,10 @@ def shares(counts: Column) -> Column:
 
 
 def reference_bins(long: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
-    """Edges, counts and ratios of the reference distribution per group."""
-    edges = small_table(bin_edges(long, keys, bins))
-    counts = bucket_counts(long, edges, keys)
+    """Edges, counts and ratios of the reference distribution per group, all from one count of the values."""
+    values = value_counts(long, keys, "value")
+    edges = edges_of_counts(values, keys, bins)
+    counts = buckets_of_counts(values, edges, keys)
     return attach(edges, counts, keys).withColumn("bin_ratios", shares(F.col("bin_counts")))
 
 

@@ -20,6 +20,7 @@ PIECE_ROWS = 5_000_000
 PIECES = 1024
 STRIDE = 32
 SKETCH_ACCURACY = 10_000
+BINS_PER_E = 4096
 SMALL_TABLE_BYTES = 32 * 1024 * 1024
 
 
@@ -110,95 +111,62 @@ def running_sums(
     return result.drop("_piece", *[f"_c_{c}" for c in columns])
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], lower: bool = False,
-    small_rows: int | None = None,
-) -> DataFrame:
-    """One row per group: ``_n`` and ``_q``, the exact quantiles of the values that are neither null nor NaN.
+def ordered_bin(value: Column) -> Column:
+    """A whole number that never falls as ``value`` rises: ``BINS_PER_E`` bins to each factor e, on both sides of zero."""
+    size = F.floor(F.ln(F.abs(value)) * BINS_PER_E) + 800 * BINS_PER_E  # the least double is e^-745
+    endless = F.abs(value) == F.lit(float("inf"))
+    wide = F.when(endless, F.lit(2000 * BINS_PER_E)).otherwise(size)
+    return F.when(value == 0, 0).when(value > 0, wide).otherwise(-wide).cast("bigint")
 
-    Linear interpolation at position (n-1)q, or with ``lower`` the element at floor((n-1)q).
-    Groups of a checked size are sorted. Beyond it, an approximate quantile
-    brackets each position from both sides, rows outside the brackets are only counted, and
-    the exact element is found by running counts over the few distinct values left inside.
-    """
-    limit = PIECE_ROWS if small_rows is None else small_rows
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).where(~F.isnan("_v"))
-    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
-    if largest <= limit:
-        return _sorted_quantiles(rows, keys, probs, lower)
-    return _bracketed_quantiles(rows, keys, probs, lower)
-
-
-def _pick(positions: Sequence[Column], lower: bool, element) -> tuple[list[Column], Column]:
-    """Aggregates finding the neighbours of each position, and the array of values computed from them."""
-    picks, values = [], []
-    for i, at in enumerate(positions):
-        picks += [element(i, F.floor(at)).alias(f"_lo{i}"), element(i, F.ceil(at)).alias(f"_hi{i}")]
-        low = F.coalesce(f"_lo{i}", F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
-        high, weight = F.col(f"_hi{i}"), at - F.floor(at)
-        # Equal neighbours need no arithmetic; it would move the value by a rounding error.
-        between = F.when((weight == 0) | (low == high), low).otherwise(low * (1 - weight) + high * weight)
-        values.append(low if lower else between)
-    return picks, F.array(*values)
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``_v`` and ``_rows`` per group: how often each value occurs, nulls and NaN left out. Reduced before its one shuffle.
 
-def _sorted_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], lower: bool) -> DataFrame:
-    """Running counts over the distinct values of each group; sorts spill, so memory is no limit."""
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
-    group = W.partitionBy(*keys)
-    ranked = counts.select(
-        "*", F.sum("_rows").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)).alias("_upto"),
-        F.sum("_rows").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_n"),
-    )
+    What is derived from it in one plan, quantiles, edges and bucket counts, shares that shuffle.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).where(~F.isnan("_v"))
+    return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
 
-    def element(_, index):
-        return F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_rows") <= index), F.col("_v")))
 
-    picks, values = _pick([(F.col("_n") - 1) * F.lit(float(q)) for q in probs], lower, element)
-    return ranked.groupBy(*keys, "_n").agg(*picks).select(*keys, "_n", values.alias("_q"))
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], lower: bool = False) -> DataFrame:
+    """One row per group: ``_n`` and ``_q``, the exact quantiles of the values that are neither null nor NaN.
 
+    Linear interpolation at position (n-1)q, or with ``lower`` the element at floor((n-1)q).
+    """
+    return quantiles_of_counts(value_counts(df, keys, value), keys, probs, lower)
 
-def _bracketed_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], lower: bool) -> DataFrame:
-    margin = 3.0 / SKETCH_ACCURACY
-    points = sorted({min(1.0, max(0.0, q + side * margin)) for q in probs for side in (-1, 1)})
-    infinity = F.lit(float("inf"))
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", points, SKETCH_ACCURACY).alias("_b"),
-    )
 
-    def edge(q, side):
-        point = min(1.0, max(0.0, q + side * margin))
-        return infinity * side if point in (0.0, 1.0) else F.element_at("_b", points.index(point) + 1)
-
-    # A sketch over few rows gives no tight bracket; such a group keeps all its values in one.
-    wide = F.col("_n") <= F.lit(10 * SKETCH_ACCURACY)
-    everything = F.array(F.struct((-infinity).alias("lo"), infinity.alias("hi")))
-    tight = F.array(*[F.struct(edge(q, -1).alias("lo"), edge(q, 1).alias("hi")) for q in probs])
-    brackets = small_table(sketch.select(*keys, "_n", F.when(wide, everything).otherwise(tight).alias("_brackets")))
-    placed = attach(rows, brackets, keys, "inner")
-    # What lies below each bracket is only counted.
-    below = placed.groupBy(*keys).agg(F.array(*[
-        F.count_if(F.col("_v") < F.get("_brackets", F.lit(i))["lo"]) for i in range(len(probs))
-    ]).alias("_below"))
-    below = small_table(below)
-    inside = F.filter(
-        F.transform("_brackets", lambda b, i: F.when((F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]), i)),
-        lambda i: i.isNotNull(),
-    )
-    kept = placed.select(*keys, F.explode(inside).alias("_bracket"), "_v").groupBy(*keys, "_bracket", "_v").agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    ranked = running_sums(kept, [*keys, "_bracket"], "_v", ["_rows"]).withColumnRenamed("cum__rows", "_upto")
-    ranked = attach(attach(ranked, brackets.select(*keys, "_n", F.size("_brackets").alias("_k")), keys), below, keys)
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], lower: bool = False) -> DataFrame:
+    """``exact_quantiles`` from ``value_counts``. Nothing runs while the plan is built.
 
-    def element(i, index):
-        bracket = F.when(F.col("_k") == 1, 0).otherwise(i)
-        own = F.col("_bracket") == bracket
-        place = index - F.get("_below", bracket)
-        return F.max(F.when(own & (F.col("_upto") > place) & (F.col("_upto") - F.col("_rows") <= place), F.col("_v")))
+    Counts are spread by value, so a hot group is too. The sums of ordered bins of values, a thin line each, say which bin holds
+    each position and how far into it; only the values of those bins are put in order, each bin by itself.
+    """
+    counts = counts.withColumn("_bin", ordered_bin(F.col("_v")))
+    group = W.partitionBy(*keys)
+    upto = F.sum("_in").over(group.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    whole = F.sum("_in").over(group.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_rows").alias("_in")).select("*", upto.alias("_upto"), whole.alias("_n"))
+    places = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
+    ends = [end for at in places for end in (F.floor(at), F.ceil(at))]
+    wanted = F.array(*[F.struct(F.lit(i).alias("slot"), end.cast("bigint").alias("at")) for i, end in enumerate(ends)])
+    before = F.col("_upto") - F.col("_in")
+    here = F.filter(wanted, lambda w: (w["at"] >= before) & (w["at"] < F.col("_upto")))
+    local = F.transform(here, lambda w: F.struct(w["slot"].alias("slot"), (w["at"] - before).alias("at")))
+    picked = bins.select(*keys, "_bin", "_n", local.alias("_wanted")).where(F.size("_wanted") > 0)
+    inside = attach(counts, picked, [*keys, "_bin"], "inner")
+    through = F.sum("_rows").over(W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = inside.withColumn("_through", through)
+    hits = F.filter("_wanted", lambda w: (w["at"] < F.col("_through")) & (w["at"] >= F.col("_through") - F.col("_rows")))
+    found = ranked.select(*keys, "_n", "_v", F.explode(F.transform(hits, lambda w: w["slot"])).alias("_slot"))
+    slots = found.groupBy(*keys, "_n").agg(*[F.max(F.when(F.col("_slot") == i, F.col("_v"))).alias(f"_s{i}") for i in range(len(ends))])
+
+    def quantile(i: int, at: Column) -> Column:
+        low, high, weight = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}"), at - F.floor(at)
+        # Equal neighbours need no arithmetic; it would move the value by a rounding error.
+        return low if lower else F.when((weight == 0) | (low == high), low).otherwise(low * (1 - weight) + high * weight)
 
-    picks, values = _pick([(F.col("_n") - 1) * F.lit(float(q)) for q in probs], lower, element)
-    return ranked.groupBy(*keys, "_n").agg(*picks).select(*keys, "_n", values.alias("_q"))
+    return slots.select(*keys, "_n", F.array(*[quantile(i, at) for i, at in enumerate(places)]).alias("_q"))
 
 
 def smallest_by_order(df: DataFrame, keys: Sequence[str], order: str, tie: str, wanted: Column) -> DataFrame:

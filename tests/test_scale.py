@@ -54,24 +54,35 @@ def values(spark, n=20_000):
 
 
 @pytest.mark.parametrize("lower", [False, True])
-@pytest.mark.parametrize("small_rows", [None, 100])
-def test_quantiles_are_exact(spark, monkeypatch, lower, small_rows):
-    monkeypatch.setattr(scale, "SKETCH_ACCURACY", 300)
-    monkeypatch.setattr(scale, "PIECE_ROWS", 10**9 if small_rows is None else 50)
+@pytest.mark.parametrize("bins", [4096, 1, 10**9])
+def test_quantiles_are_exact(spark, monkeypatch, lower, bins):
+    monkeypatch.setattr(scale, "BINS_PER_E", bins)
     rows, df = values(spark)
     probs = [0.0, 0.05, 0.5, 0.95, 1.0]
-    for r in exact_quantiles(df, ["g"], "v", probs, lower=lower, small_rows=small_rows).collect():
+    for r in exact_quantiles(df, ["g"], "v", probs, lower=lower).collect():
         own = np.sort([v for g, v in rows if g == r.g])
         want = [own[int((len(own) - 1) * q)] for q in probs] if lower else np.quantile(own, probs)
         assert r._n == len(own)
         assert np.allclose(r._q, want, rtol=0, atol=1e-12)
 
 
-def test_single_quantile_in_a_bracket(spark, monkeypatch):
-    monkeypatch.setattr(scale, "SKETCH_ACCURACY", 200)
-    rows, df = values(spark)
-    for r in exact_quantiles(df, ["g"], "v", [0.5], small_rows=10).collect():
-        assert r._q[0] == pytest.approx(np.median([v for g, v in rows if g == r.g]))
+def test_bins_follow_the_order_of_all_doubles(spark):
+    rng = random.Random(3)
+    numbers = [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 1.0, -1.0]
+    numbers += [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-320, 308) for _ in range(5000)]
+    numbers += [float(np.nextafter(v, 9e9)) for v in numbers[8:2000]]
+    placed = spark.createDataFrame([(v,) for v in numbers], "v double").select("v", scale.ordered_bin(F.col("v")).alias("b")).collect()
+    bins = [r.b for r in sorted(placed, key=lambda r: r.v)]
+    assert bins == sorted(bins)
+
+
+def test_quantiles_start_no_job_before_they_are_read(spark):
+    _, df = values(spark, 1000)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "")
+    exact_quantiles(df, ["g"], "v", [0.1, 0.5])
+    assert list(tracker.getJobIdsForGroup("planning")) == []
+    spark.sparkContext.setJobGroup("", "")
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -115,8 +126,5 @@ def test_registered_queries_with_every_group_hot(spark, monkeypatch, name):
 def test_quantiles_leave_nan_out_at_every_size(spark):
     values = [1.0, 2.0, 2.0, 3.0, float("inf"), float("nan"), None, float("-inf")] * 40
     rows = spark.createDataFrame([("a", v) for v in values], "g string, v double")
-    small, large = (
-        exact_quantiles(rows, ["g"], "v", [0.0, 0.25, 0.5, 1.0], small_rows=limit).first() for limit in (10_000, 10)
-    )
-    assert small == large
-    assert small["_n"] == 240 and small["_q"] == [float("-inf"), 1.0, 2.0, float("inf")]
+    found = exact_quantiles(rows, ["g"], "v", [0.0, 0.25, 0.5, 1.0]).first()
+    assert found["_n"] == 240 and found["_q"] == [float("-inf"), 1.0, 2.0, float("inf")]
