@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.fixtures import CUTOFF, KEYS, listed, oracle
 from catalog.jobs import DIGEST_COLUMNS
-from catalog.ranking import COHORT_SQL, CONFIG, missed_sql, training_members
-from proofline.functions.features import lengthen
+from catalog.ranking import COHORT_SQL, CONFIG, GATE_SQL, LENIENT, missed_sql, training_members
+from proofline.constants import GATE_IDENTITY, model_columns
+from proofline.functions.features import lengthen, widen
 from proofline.operators import quality, stats, validate
 from proofline.operators.assemble import latest_snapshots, reconstruct
 from proofline.plans import cohorts, datasets, readiness
 from proofline.schemas import evidence_schemas
-from proofline.session import scratch
+from proofline.session import pinned, scratch
 from proofline.sources import readers
 from proofline.sources.sinks import Table, as_stored
 
@@ -258,3 +259,52 @@ def sparse_feature_stats(spark, sf):
     rows = fx.patches(spark, sf).withColumn("features", spelled)
     found = stats.feature_stats(lengthen(rows, [], width=len(KEYS)), [])
     return found.select("feature_index", "feature_name", "samples", "null_count", "non_null", F.round("mean", 6).alias("mean"))
+
+
+SOUND_SQL = GATE_SQL + """
+, sound as (select * from members where not identity_conflict and found_snapshot_id is not null and found_feature_hash = feature_hash
+  and is_complete and snapshot_available_at <= predicted_at)
+"""
+GATE_STORED = ["prediction_id", "request_id", "source_model_run_id", "runtime_slot", "source_threshold", "predicted_at", "sample_id",
+               "serving_snapshot_id", "snapshot_version", "feature_hash", "snapshot_available_at", "serving_missing_count",
+               "label_event_id", "label_revision", "actual_value", "actual_label"]
+
+
+@query("gate_dataset", SOUND_SQL + f"""
+, builds as (select 2 as log_entries)
+select {', '.join('m.' + c for c in GATE_STORED)}, s.f0 as feature_000, s.f1 as feature_001, s.f2 as feature_002, s.f3 as feature_003, s.f4 as feature_004,
+  log_entries from sound m join fx_snapshots s on s.serving_snapshot_id = m.serving_snapshot_id cross join builds""")
+def gate_dataset(spark, sf):
+    """The dataset a candidate is judged on: written, asked for again (the stored one is used), loaded through verification."""
+    folder = scratch(spark, "gate")
+    snaps = fx.snapshots(spark, sf)
+    whole = cohorts.gate_cohort(fx.predictions(spark, sf, snaps), snaps, fx.labels(spark, sf), CONFIG, features=True)
+    sound = pinned(cohorts.gate_violations(whole, len(KEYS)).where(F.size("violations") == 0).drop("violations"))
+    builds = Table(f"{folder}/builds", ("dataset_id",), 0)
+    stats_row = readiness.gate_readiness(sound, LENIENT)
+    made = [
+        datasets.write_dataset(sound, stats_row, LENIENT, GATE_IDENTITY, datasets.GATE_MEMBERS, KEYS, folder, builds, at) for at in (CUTOFF, CUTOFF + 60)
+    ]
+    if made[0] != made[1]:
+        raise RuntimeError("the same members have two identities")
+    frame = datasets.verified_dataset(spark, folder, builds, made[0].dataset_id, GATE_IDENTITY, KEYS, ("prediction_id",))
+    entries = F.lit(builds.read(spark).count()).cast("int").alias("log_entries")  # BUILDING and READY, once each
+    return frame.select(*GATE_STORED, *model_columns(len(KEYS)), entries)
+
+
+@query("gate_dataset_rules", SOUND_SQL + """
+, rules as (select unnest(['missing_count', 'non_finite', 'label_0', 'label_1', 'label_2', 'label_3', 'duplicate_keys']) as rule)
+select rule, case rule when 'missing_count' then (select count(*) from sound where snapshot_version % 3 = 0)
+  when 'label_0' then (select count(*) from sound where snapshot_version % 4 = 0 and label_event_id is not null)
+  when 'duplicate_keys' then (select count(*) from (select request_id from sound group by 1 having count(*) > 1)) else 0 end as violations from rules""")
+def gate_dataset_rules(spark, sf):
+    """Rules of a stored dataset against rows broken on purpose."""
+    snaps = fx.snapshots(spark, sf)
+    whole = cohorts.gate_cohort(fx.predictions(spark, sf, snaps), snaps, fx.labels(spark, sf), CONFIG, features=True)
+    sound = cohorts.gate_violations(whole, len(KEYS)).where(F.size("violations") == 0)
+    wide = widen(sound, KEYS)
+    broken = wide.withColumns({
+        "serving_missing_count": F.col("serving_missing_count") + F.when(F.col("snapshot_version") % 3 == 0, 1).otherwise(0),
+        "label_event_id": F.when(F.col("snapshot_version") % 4 != 0, F.col("label_event_id")),
+    })
+    return datasets.row_violations(broken, len(KEYS), ["request_id"])
