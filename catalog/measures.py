@@ -10,6 +10,8 @@ from proofline.functions.features import lengthen
 from proofline.functions.scalars import offline_id
 from proofline.operators import bins, drift, latest, quality, stats
 from proofline.plans import proposal
+from proofline.session import scratch
+from proofline.sources.days import DayTable
 
 QUERIES, ORACLES = {}, {}
 GROUP = ["model_run_id", "threshold"]
@@ -361,6 +363,26 @@ def drift_feature(spark, sf):
     )
 
 
+@query("drift_recent_stored")
+def drift_stored(spark, sf):
+    """The same from predictions stored by day, whose older days are not read."""
+    snaps = fx.snapshots(spark, sf)
+    resolved = latest.resolved_predictions(fx.predictions(spark, sf, snaps), snaps)
+    table = DayTable(scratch(spark, "by-day"), "predicted_at")
+    table.append(resolved)
+    models = table.read(spark).select(*GROUP).distinct()
+    found = drift.stored_recent_drift(
+        table, spark, models, WIDE_MINUTES, top_n_features=3, min_feature_non_null=10, min_feature_samples=10
+    )
+    return rounded(found.where(F.col("metric_family") == "feature"), *METRICS).select(
+        *GROUP, "metric_name", "feature_name", *METRICS, "baseline_samples", "current_samples", "current_end",
+        "baseline_start", "current_start",
+    )
+
+
+ORACLES["drift_recent_stored"] = ORACLES["drift_recent_feature"]
+
+
 # Fixed reference: two early years of each model's volume is the baseline.
 LOW, HIGH = 820454400.0, 883612800.0
 YEAR_MINUTES = 365 * 24 * 60

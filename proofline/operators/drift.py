@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.constants import FAIL, PSI_EPSILON, STD_FLOOR
@@ -13,6 +13,7 @@ from proofline.operators.latest import resolved_predictions, top_per_key
 from proofline.operators.scale import attach, small_table
 from proofline.operators.stats import feature_stats, percentile_columns
 from proofline.session import pinned
+from proofline.sources.days import DayTable
 
 GROUP = ("model_run_id", "threshold")
 OUTPUT = ("prediction_count", "predicted_fail_ratio", "fail_probability_avg", "fail_probability_p50", "fail_probability_p95")
@@ -22,14 +23,17 @@ NAMES = ("model_name", "model_version", "model_alias")
 
 def newest_rows(
     predictions: DataFrame, snapshots: DataFrame | None, keys: Sequence[str], seconds: float, spare: float,
+    tops: DataFrame | None = None,
 ) -> DataFrame:
     """Resolved predictions of the last ``seconds`` before each group's newest one, with ``current_end``.
 
     Only resolved predictions count as newest, but resolving all history to find them would join everything. So the newest
     predictions are found first and resolved with ``spare`` seconds of older ones; only groups where
     that does not reach a full window are resolved completely. The rows are evaluated once: several aggregates follow.
+    ``tops`` has the newest time ``_top`` of each group where it is known, as from ``DayTable.newest``; else all history is asked.
     """
-    tops = small_table(predictions.groupBy(*keys).agg(F.max("predicted_at").alias("_top")))
+    if tops is None:
+        tops = small_table(predictions.groupBy(*keys).agg(F.max("predicted_at").alias("_top")))
     oldest = tops.agg(F.min("_top")).first()[0]
     at = F.col("predicted_at")
     near = predictions if oldest is None else predictions.where(at > F.lit(oldest - seconds - spare))
@@ -55,10 +59,11 @@ def newest_rows(
 
 def with_sides(
     predictions: DataFrame, window_seconds: float, snapshots: DataFrame | None = None, spare: float | None = None,
+    tops: DataFrame | None = None,
 ) -> DataFrame:
     """The windows ``(end-2w, end-w]`` and ``(end-w, end]`` of each (model, threshold), marked by side."""
     seconds = 2.0 * window_seconds
-    rows = newest_rows(predictions, snapshots, GROUP, seconds, seconds if spare is None else spare)
+    rows = newest_rows(predictions, snapshots, GROUP, seconds, seconds if spare is None else spare, tops)
     current = F.col("predicted_at") > F.col("current_end") - F.lit(float(window_seconds))
     return rows.withColumn("side", F.when(current, "current").otherwise("baseline"))
 
@@ -145,13 +150,14 @@ def recent_feature_scores(sided: DataFrame, top: int, min_non_null: int, min_sam
 def recent_drift(
     predictions: DataFrame, snapshots: DataFrame | None = None, window_minutes: float = 5, top_n_features: int = 30, min_feature_non_null: int = 30,
     min_feature_samples: int = 30, evaluation_id: str | None = None, computed_at: float | None = None,
+    tops: DataFrame | None = None,
 ) -> DataFrame:
     """All drift metrics per (model, threshold), the newest window against the one before it.
 
     Without ``snapshots`` the predictions must already be resolved and carry ``features``. An empty previous window gives null baselines, except a prediction count of 0.
     """
     seconds = float(window_minutes) * 60.0
-    sided = with_sides(predictions, seconds, snapshots)
+    sided = with_sides(predictions, seconds, snapshots, tops=tops)
     summary = window_summary(sided, [*GROUP, "side"])
     both = _pivot(summary, GROUP, ["rows", *OUTPUT, *INPUT]).withColumns({
         "b_rows": F.coalesce("b_rows", F.lit(0).cast("bigint")),
@@ -170,6 +176,17 @@ def recent_drift(
     return _stamped(described, evaluation_id, computed_at)
 
 
+def stored_recent_drift(
+    table: DayTable, spark: SparkSession, models: DataFrame, window_minutes: float = 5, known: DataFrame | None = None, **options,
+) -> DataFrame:
+    """``recent_drift`` of ``models`` (model, threshold) over resolved predictions stored by day; only the newest days are read."""
+    tops = table.newest(spark, GROUP, models, known)
+    oldest = tops.agg(F.min("_top")).first()[0]
+    reach = 4.0 * float(window_minutes) * 60.0  # two windows, and as much again for groups whose newest rows do not resolve
+    rows = attach(table.read(spark, None if oldest is None else oldest - reach), tops.select(*GROUP), GROUP, "left_semi")
+    return recent_drift(rows, None, window_minutes, tops=tops, **options)
+
+
 def _model_names(df: DataFrame):
     order = F.struct("predicted_at", "prediction_id")
     return [first_present(F.col(n), order).alias(n) for n in NAMES if n in df.columns]
