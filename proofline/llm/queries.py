@@ -23,10 +23,12 @@ from proofline.session import scratch
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2048 tokens at most. Nulls, empty texts, ties and repeated rows as in ``pack``."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as token ids in files of planes, read back from them. Nulls, empty texts and repeated rows as in ``write_token_files``."""
     folder = scratch(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
     manifest = write_token_files(docs, folder, public_tokenizer("byte_bpe_50k.json"))
@@ -34,6 +36,7 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as archive records, read back and assembled to one row per capture. Nulls and repeated payloads as in ``write_warc``."""
     folder = scratch(spark, "warc-files")
     manifest = write_warc(table(spark, sf_dir, "pages"), folder)
     records = saved(read_warc(manifest, folder, with_payload=False), "warc-records")
@@ -47,35 +50,42 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Nulls, empty texts and repeated rows as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that occurs in it. Nulls, short items and repeated rows as in ``contaminated``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document. Nulls, empty texts and repeated rows as in ``quality_verdicts``."""
     return quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "loss"
     )
 
 
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the models of the good documents and of all. Nulls, empty texts and repeated rows as in ``cross_entropy_difference``."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return cross_entropy_difference(docs, of_ids(docs, good, "doc_id"))
 
 
 def op5_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document and how many repeat an earlier one. Nulls, empty texts and repeated rows as in ``line_report``."""
     return line_report(table(spark, sf_dir, "documents"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of every document. Nulls, empty texts and repeated rows as in ``token_counts``."""
     automaton = Automaton(word_end_vocabulary(public_tokenizer("word_bpe_49k.json")))
     return token_counts(table(spark, sf_dir, "documents"), automaton)
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as reply-ordered threads without quotes. Nulls, empty texts and repeated rows as in ``linked_messages``."""
     return format_threads(linked_messages(table(spark, sf_dir, "conversations")))
 
 
