@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +40,18 @@ def decisions(snapshots: DataFrame, models: dict[str, Model], keys: Sequence[str
         "serving_snapshot_id", "sample_id", "snapshot_version", "feature_hash",
         F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.col("features")[k]).alias("vector"),
     )
-    shared, width = snapshots.sparkSession.sparkContext.broadcast(models), len(keys)
+    # As bytes, so that a model may be any function; a task reads them once.
+    shared, width = snapshots.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models)), len(keys)
 
     def score(batches):
+        fitted = cloudpickle.loads(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column("vector").flatten()
             vectors = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
             missing = pa.array(np.isnan(vectors).sum(axis=1), pa.int32())
-            for slot, model in shared.value.items():
+            for slot, model in fitted.items():
                 yield _decided(batch, slot, model, np.asarray(model.score(vectors), np.float64), missing, at)
 
     return ready.mapInArrow(score, DECISIONS)
