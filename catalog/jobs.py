@@ -39,16 +39,20 @@ BATCHES = 4
 def stream_of(rows, order, key, folder, replayed=False):
     """``rows`` as a stream of several micro-batches, by ``order``; a key's rows are in one file of each. ``replayed``: the first come twice.
 
-    The files are written one range after another, and the source takes them by their time, one a trigger.
+    The ranges are written one after another, and the source takes the files by their time: a trigger takes as many as the range with
+    most of them has, so that there are no more micro-batches than ranges, however many files a range needs.
     """
     spark = rows.sparkSession
     low, high = rows.agg(F.min(order), F.max(order)).first()
     cuts = [low + (high + 1 - low) * i // BATCHES for i in range(BATCHES + 1)] if low is not None else [0] * (BATCHES + 1)
     parts = list(zip(cuts, cuts[1:]))
+    width, written, most = spark.sparkContext.defaultParallelism, 0, 1
     for begin, end in parts + parts[:1] * replayed:
         part = rows.where((F.col(order) >= begin) & (F.col(order) < end))
-        part.repartition(key).write.mode("append").parquet(f"{folder}/arriving")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+        part.repartition(width, key).write.mode("append").parquet(f"{folder}/arriving")
+        files = len(spark.read.schema(rows.schema).parquet(f"{folder}/arriving").inputFiles())
+        written, most = files, max(most, files - written)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(f"{folder}/arriving")
 
 
 def stream_of_events(spark, sf, folder, replayed=False):

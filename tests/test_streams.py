@@ -161,3 +161,19 @@ def test_state_based_deduplication(rocks, tmp_path):
     stream = jobs.dedupe_by_state(typed(file_stream(rocks, str(tmp_path / "in"), max_files=1)), ["event_id"])
     jobs.start(stream, jobs.batch_append(str(tmp_path / "out")), str(tmp_path / "cp"), "t4", once=True).awaitTermination()
     assert rocks.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+@pytest.mark.parametrize("replayed", [False, True])
+def test_ranges_of_many_files_are_one_micro_batch_each(rocks, tmp_path, replayed):
+    from catalog.jobs import BATCHES, run_to_end, stream_of
+
+    rows = rocks.range(400).select("id", (F.col("id") % 40).alias("key"))
+    seen = []
+    rocks.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many files as a large range has
+    try:
+        stream = stream_of(rows, "id", "key", str(tmp_path), replayed)
+    finally:
+        rocks.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    run_to_end(stream, lambda batch, _: seen.append(sorted(r.id for r in batch.collect())), str(tmp_path), f"ranges {replayed}")
+    assert 1 < len(seen) <= BATCHES + replayed
+    assert [i for ids in seen for i in ids] == [*range(400), *range(100 * replayed)]
