@@ -177,3 +177,30 @@ def test_ranges_of_many_files_are_one_micro_batch_each(rocks, tmp_path, replayed
     run_to_end(stream, lambda batch, _: seen.append(sorted(r.id for r in batch.collect())), str(tmp_path), f"ranges {replayed}")
     assert 1 < len(seen) <= BATCHES + replayed
     assert [i for ids in seen for i in ids] == [*range(400), *range(100 * replayed)]
+
+
+@pytest.mark.parametrize("width", [5, 590])
+def test_assembly_over_many_samples_calls_the_processor_per_group(rocks, tmp_path, monkeypatch, width):
+    from proofline.streaming import assembler
+
+    keys, rng = feature_keys(width), random.Random(7)
+    monkeypatch.setattr(assembler, "CHUNK_CELLS", 7 * width)  # chunks end inside samples and just after what they held
+    made = []
+    for i in range(300):
+        sample = None if i % 41 == 0 and width == 5 else f"s-{rng.randint(0, 25)}"
+        features = {k: (None if rng.random() < 0.2 else rng.random()) for k in rng.sample(keys, 3)}
+        made.append((sample, i, float(rng.randint(0, 100)), f"e{i}", rng.choice(["early", None]), features))
+    schema = "sample_id string, arrival long, event_time double, event_id string, feature_group string, features map<string,double>"
+    for n in range(3):
+        rocks.createDataFrame(made[n * 100:n * 100 + 100], schema).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    folded = assembler.assemble_stream(stream, keys, hashed=False, groups=3)
+    jobs.start(folded, jobs.batch_append(str(tmp_path / "out")), str(tmp_path / "cp"), f"groups {width}", once=True).awaitTermination()
+    names = ["arrival", "sample_id", "snapshot_version", "window_start", "window_end", "feature_count", "missing_count", "last_feature_group",
+             "last_event_id"]
+
+    def rows(df):
+        cells = F.to_json("features", {"ignoreNullFields": "false"}).alias("cells")
+        return sorted(map(str, df.select(*names, cells).collect()))
+
+    assert rows(rocks.read.parquet(str(tmp_path / "out"))) == rows(assemble_replay(rocks.createDataFrame(made, schema), keys))
