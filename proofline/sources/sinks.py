@@ -127,7 +127,11 @@ class Table:
         if not self.buckets:
             rows.write.mode(mode).parquet(self.path)
             return
-        placed = self.bucketed(rows).hint("rebalance", F.col(self.bucket))  # a file or few per partition, large ones split
+        placed = self.bucketed(rows)
+        if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+            placed = placed.hint("rebalance", F.col(self.bucket))  # a file or few per partition, large ones split
+        else:  # a stream with state turns the adaptive plan off, and the hint with it: a file per partition, not one per task
+            placed = placed.repartition(F.col(self.bucket))
         placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(self.bucket).parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:

@@ -200,3 +200,14 @@ def test_null_keys_and_null_orders_in_an_upsert(spark):
     fresh = spark.createDataFrame([(None, None, "b"), (None, 1, "c"), ("x", None, "d"), ("y", None, "e")], "id string, n int, own string")
     found = {tuple(r) for r in sinks.merged(stored, fresh, ["id"], "n").collect()}
     assert found == {(None, 1, "c"), ("x", None, "d"), ("y", None, "e")}
+
+
+def test_a_partition_is_one_file_without_the_adaptive_plan(spark, tmp_path):
+    table = Table(str(tmp_path / "table"), ("id",), 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in the batches of a stream with state
+    try:
+        table.append(spark.range(0, 400, 1, 8))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(files_of(table)) == 4
+    assert table.read(spark).count() == 400
