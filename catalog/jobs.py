@@ -204,13 +204,12 @@ sums as (select event_id, count(*) as feature_count, count(v) as filled, sum(v)
 
 def wide_patches(spark, sf):
     groups = F.array(*[F.array(*[F.lit(k) for k in WIDE[i::5]]) for i in range(5)])
-    base = F.floor(F.col("raw") * 100).cast("double")
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(117)), lambda j: F.when((F.col("event_id") + j) % 13 != 0, base * (j + 1).cast("double"))
-    )
+    base = F.col("base")
+    factors = F.array(*[F.array(*[F.lit(None if (r + j) % 13 == 0 else float(j + 1)) for j in range(118)]) for r in range(13)])
+    values = F.transform(F.get(factors, F.pmod("event_id", F.lit(13)).cast("int")), lambda factor: base * factor)
     events = fx.table(spark, sf, "events")
     patches = fx.patches_of(events).select("sample_id", "event_id", F.col("event_id").alias("arrival"), "event_time", "feature_index")
-    raw = events.select(F.col("event_id"), F.col("value").alias("raw"))
+    raw = events.select(F.col("event_id"), F.floor(F.col("value") * 100).cast("double").alias("base"))
     return patches.join(raw, "event_id").select(
         "sample_id", "event_id", "arrival", "event_time", F.map_from_arrays(F.get(groups, F.col("feature_index")), values).alias("features")
     )

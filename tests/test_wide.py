@@ -110,3 +110,25 @@ def test_blocks_of_any_size_give_the_same_vectors(monkeypatch):
         found = [v for b in widefold.folded_batches(iter(batches), KEYS, ["g"], "carry") for v in b.column("feature_values").to_pylist()]
         assert found == expected
     assert np.isnan(widefold.Vector(3).values).all()
+
+
+def test_first_complete_follows_one_feature_of_each_class(spark, monkeypatch):
+    from proofline.operators import assemble
+
+    sets = [KEYS[0:3], KEYS[2:5], KEYS[5:7], [KEYS[6], KEYS[5]], []]
+    rng = random.Random(4)
+    made = [(rng.choice(["a", "b", "c", None]), i, {k: None for k in rng.choice(sets)}) for i in range(60)]
+    df = spark.createDataFrame([*made, ("d", 99, {KEYS[0]: 1.0})], "sample_id string, arrival bigint, features map<string,double>")
+    assert len(assemble._followed(df, KEYS)) == 5  # 0; 1; 2; 3 and 4; 5 and 6
+    seen, want = {}, {}
+    for sample, at, features in made:
+        known = seen.setdefault(sample, set())
+        known.update(features)
+        if len(known) == len(KEYS):
+            want.setdefault(sample, at)
+    assert {tuple(r) for r in first_complete_versions(df, KEYS).collect()} == set(want.items()) and want
+    assert first_complete_versions(df.where(~F.map_contains_key("features", KEYS[0])), KEYS).collect() == []
+    for features in ({"other": 1.0}, {KEYS[0]: float("nan")}, {KEYS[0]: float("-inf"), KEYS[1]: None}):
+        bad = df.union(spark.createDataFrame([("e", 1, features)], df.schema))
+        with pytest.raises(Exception, match="unexpected feature key|not a finite"):
+            first_complete_versions(bad, KEYS).collect()
