@@ -16,14 +16,15 @@ def new_rows(
 ) -> DataFrame:
     """Insert-ignore: the first row per key in ``order`` unless the key is stored.
 
-    With ``null_keys`` nulls count as equal; without, the join reuses the partitioning of the ranking.
+    With ``null_keys`` nulls count as equal; without, the join reuses the partitioning of the ranking. The stored keys are never
+    broadcast: a compressed table is taken for smaller than its keys are, and they would all pass through the driver.
     """
     firsts = top_per_key(incoming, keys, order)
     if existing is None:
         return firsts
     if null_keys:
         return attach(firsts, existing.select(*keys), keys, "left_anti")
-    return firsts.join(existing.select(*keys), list(keys), "left_anti")
+    return firsts.join(existing.select(*keys).hint("merge"), list(keys), "left_anti")
 
 
 def insert_counts(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,9 +51,9 @@ def replay_conflicts(
     variants = incoming.groupBy(key, F.struct(*payload).alias("_payload")).agg(F.min(place).alias("_first"))
     agreed = variants.groupBy(key).agg(F.min_by("_payload", "_first").alias("_agreed"))
     if existing is not None:
-        known = existing.select(key, F.struct(*payload).alias("_known"))
+        known = existing.select(key, F.struct(*payload).alias("_known")).hint("merge")  # as in new_rows
         agreed = agreed.join(known, key, "left").withColumn("_agreed", F.coalesce("_known", "_agreed")).drop("_known")
-    wrong = variants.join(agreed, key).where(~F.col("_payload").eqNullSafe(F.col("_agreed"))).select(key, "_payload")
+    wrong = variants.join(agreed.hint("merge"), key).where(~F.col("_payload").eqNullSafe(F.col("_agreed"))).select(key, "_payload")
     marked = incoming.withColumn("_mine", F.struct(*payload))
     same = (marked[key] == wrong[key]) & marked["_mine"].eqNullSafe(wrong["_payload"])
     return marked.join(wrong, same, "left_semi").select(*incoming.columns)

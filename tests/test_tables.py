@@ -211,3 +211,15 @@ def test_a_partition_is_one_file_without_the_adaptive_plan(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(files_of(table)) == 4
     assert table.read(spark).count() == 400
+
+
+def test_stored_keys_never_pass_through_the_driver(spark):
+    from proofline.sources.sinks import new_rows, replay_conflicts
+
+    rows = spark.range(20).select("id", (F.col("id") % 3).alias("value"), F.col("id").alias("at"))
+    stored = rows.where("id < 8")
+    conflicts = rows.withColumn("value", F.when(F.col("id") == 5, 9).otherwise(F.col("value")))
+    for found, want in ((new_rows(rows, stored, ["id"], ["at"]), {*range(8, 20)}), (replay_conflicts(conflicts, stored, "id", ["value"], ["at"]), {5})):
+        assert {r.id for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftAnti, BuildRight" not in plan and "LeftOuter, BuildRight" not in plan
