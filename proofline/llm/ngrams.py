@@ -6,6 +6,10 @@ short string, and counts, suffixes and contexts are plain DataFrame group-bys ov
 Texts are dealt into units of about ``UNIT_BYTES`` by a hash of their row. A unit's distinct n-grams are joined to the table of
 log probabilities by a 64-bit hash, and come back to the unit's texts: the memory of a task is that of a unit, whatever the
 number of n-grams.
+
+Where n-grams repeat much (characters), units are of ``WIDE_UNIT_BYTES`` and travel packed: the rows of a unit as compressed blocks,
+its n-grams as tokens in the order of their hash, cut into parts by ranges of the hash. A part of the model answers with the values
+alone, in the same order, and the unit finds its own n-grams again from its texts.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,10 @@ from proofline.llm.encoding import chunks, plain
 START = 2
 CHUNK_BYTES = 3 << 20  # of text at once: the arrays of a chunk take about forty times as much
 UNIT_BYTES = 8 << 20  # of text in a unit
+WIDE_UNIT_BYTES = 32 << 20  # of text in a packed unit
+UNITS_A_PART = 4  # a part has about as many n-grams as so many units
+BLOCK_BYTES = 64 << 20  # of rows that are packed at once
+PENDING = 1_000_000  # n-grams of chunks, merged when there are more
 MOST_BROADCAST = 10_000  # groups whose totals may be broadcast
 WORD_CODES = 3  # code points of a word, 20 bits of its hash each
 WORD_BASE = 0x10000
@@ -177,11 +186,173 @@ def seed(group: str) -> int:
     return xxhash.xxh64_intdigest(group)
 
 
-def with_units(rows: DataFrame, text: str = "text") -> DataFrame:
+def unit_count(rows: DataFrame, text: str, size: int) -> int:
+    return -(-(rows.agg(F.sum(F.octet_length(text))).first()[0] or 0) // size) or 1
+
+
+def with_units(rows: DataFrame, text: str = "text", units: int | None = None) -> DataFrame:
     """Adds unit, by a hash of all columns that can be hashed, so copies of a text with ids of their own are dealt out."""
-    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    units = units or unit_count(rows, text, UNIT_BYTES)
     parts = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
-    return rows.withColumn("unit", F.pmod(F.xxhash64(*parts), F.lit(-(-total // UNIT_BYTES) or 1)))
+    return rows.withColumn("unit", F.pmod(F.xxhash64(*parts), F.lit(units)))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """unit, rows: the rows of each unit, without that column, as compressed blocks of Arrow batches."""
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield blocks(held)
+                held, size = [], 0
+        if held:
+            yield blocks(held)
+
+    def blocks(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        unit = table["unit"].to_numpy()
+        order = np.argsort(unit, kind="stable")
+        found, begins = np.unique(unit[order], return_index=True)
+        table, out = table.drop_columns(["unit"]), []
+        for low, high in zip(begins, [*begins[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table.take(pa.array(order[low:high])))
+            out.append(zstandard.ZstdCompressor(level=3).compress(sink.getvalue()))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], ["unit", "rows"])
+
+    return rows.mapInArrow(pack, "unit long, rows binary")
+
+
+def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The batches in the blocks of a unit."""
+    for block in table["rows"]:
+        yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(block.as_py()))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, the first bytes of all before the second."""
+    wide = np.ascontiguousarray(numbers)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T).tobytes())
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, rows of tokens, counts), each n-gram once, by hash."""
+    hashes, first, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    n = np.bincount(place, weights=np.concatenate([p[2] for p in parts]), minlength=len(hashes)).astype(np.int64)
+    return hashes, np.concatenate([p[1] for p in parts])[first], n
+
+
+def found_grams(batches: Iterator[pa.RecordBatch], order: int, tokens: Tokens) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By group the hashes, tokens and counts of the distinct n-grams of all texts, by hash."""
+    parts: dict[str, list] = {}
+    for batch in batches:
+        for group, _, texts in by_group(batch):
+            size, ids, codes = tokens(texts)
+            if len(ids):
+                _, _, n, found = distinct_grams(size, ids, codes, order)
+                held = parts.setdefault(group, [])
+                held.append((hashed(found, seed(group)), found, n))
+                if len(held) > 2 and sum(len(h[0]) for h in held[1:]) > PENDING:
+                    held[:] = [_merged(held)]
+    return {group: _merged(held) for group, held in sorted(parts.items())}
+
+
+def part_count(units: int) -> int:
+    return -(-units // UNITS_A_PART)
+
+
+def packed_grams(rows: DataFrame, order: int, tokens: Tokens, parts: int) -> DataFrame:
+    """unit, part, grp, tokens, n from rows of ``packed``: the distinct n-grams of a unit, by hash, in ``parts`` ranges of the hash."""
+
+    def count(table: pa.Table) -> pa.Table:
+        out = []
+        for group, (hashes, found, n) in found_grams(unpacked(table), order, tokens).items():
+            ends = np.searchsorted(_part(hashes, parts), np.arange(parts), side="right").tolist()
+            for part, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if low < high:
+                    out.append((part, group, _planes(found[low:high].T.astype("<u4")), _planes(n[low:high].astype("<i8"))))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
+        unit = pa.array([table["unit"][0].as_py()] * len(out), pa.int64())
+        return pa.table([unit, *map(pa.array, columns, kinds)], ["unit", "part", "grp", "tokens", "n"])
+
+    schema = "unit long, part int, grp string, tokens binary, n binary"
+    return saved(rows.groupBy("unit").applyInArrow(count, schema), "packed-grams")
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)
+
+
+def part_of(hash_: Column, parts: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(hash_, 33) * F.lit(parts).cast("long"), 31).cast("int")
+
+
+def merged_grams(grams: DataFrame, order: int) -> DataFrame:
+    """grp, gram, c, hash: the n-grams of all units from ``packed_grams``, a part in a task. Tokens are single code points."""
+    names = ["grp", "gram", "c", "hash"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def merge(table: pa.Table) -> pa.Table:
+        held: dict[str, list] = {}
+        for group, tokens, n in zip(table["grp"], table["tokens"], table["n"], strict=True):
+            rows = _numbers(tokens.as_py(), np.uint32).reshape(order, -1).T
+            parts = held.setdefault(group.as_py(), [])
+            parts.append((hashed(rows, seed(group.as_py())), rows, _numbers(n.as_py(), np.int64)))
+            if len(parts) > 2 and sum(len(p[0]) for p in parts[1:]) > PENDING:
+                parts[:] = [_merged(parts)]
+        out = [pa.table([pa.array([], t) for t in kinds], names)]
+        for group, parts in held.items():
+            hashes, rows, n = _merged(parts)
+            place = np.lexsort(rows.T[::-1])  # neighbours share their beginning, which compresses well
+            columns = [pa.array([group] * len(place), pa.string()), grams_of(rows[place]), pa.array(n[place]), pa.array(hashes[place].view(np.int64))]
+            out.append(pa.table(columns, names))
+        return pa.concat_tables(out)
+
+    return grams.groupBy("part").applyInArrow(merge, "grp string, gram string, c long, hash long")
+
+
+def packed_values(grams: DataFrame, model: DataFrame, order: int, parts: int) -> DataFrame:
+    """unit, part, grp, numbers: the ``value`` of each n-gram of a row of ``packed_grams``, in its order; ``model`` has hash and value."""
+    names = ["unit", "part", "grp", "numbers"]
+
+    def look_up(own: pa.Table, model: pa.Table) -> pa.Table:
+        table = HashArray(model["hash"].to_numpy().view(np.uint64), model["value"].to_numpy())
+        out = []
+        for group, tokens in zip(own["grp"], own["tokens"], strict=True):
+            rows = _numbers(tokens.as_py(), np.uint32).reshape(order, -1).T
+            found, (values,) = table.find(hashed(rows, seed(group.as_py())))
+            if not found.all():
+                raise RuntimeError("n-grams of a unit are not in the model")
+            out.append(_planes(values.astype("<f8")))
+        return pa.table([own["unit"], own["part"], own["grp"], pa.array(out, pa.binary())], names)
+
+    asked = model.select(part_of(F.col("hash"), parts).alias("part"), "hash", "value").groupBy("part")
+    schema = "unit long, part int, grp string, numbers binary"
+    return saved(grams.select("unit", "part", "grp", "tokens").groupBy("part").cogroup(asked).applyInArrow(look_up, schema), "packed-values")
+
+
+def unit_values(batches: Iterator[pa.RecordBatch], values: pa.Table, order: int, tokens: Tokens) -> HashArray:
+    """The values of a unit by the hashes of its n-grams, which are found again from its texts."""
+    held: dict[str, list] = {}
+    for part, group, numbers in zip(values["part"], values["grp"], values["numbers"], strict=True):
+        held.setdefault(group.as_py(), []).append((part.as_py(), _numbers(numbers.as_py(), np.float64)))
+    found = {group: hashes for group, (hashes, _, _) in found_grams(batches, order, tokens).items()}
+    answers = {group: np.concatenate([v for _, v in sorted(parts, key=lambda p: p[0])]) for group, parts in held.items()}
+    if {g: len(h) for g, h in found.items()} != {g: len(v) for g, v in answers.items()}:
+        raise RuntimeError("n-grams of a text are not in the table of all: its rows changed between two readings")
+    if not found:
+        return HashArray(np.zeros(0, np.uint64), np.zeros(0))
+    return HashArray(np.concatenate(list(found.values())), np.concatenate([answers[g] for g in found]))
 
 
 def unit_grams(rows: DataFrame, order: int, tokens: Tokens) -> DataFrame:
@@ -253,14 +424,18 @@ class Level:
 
 
 def kneser_ney(grams: DataFrame, order: int, width: int = 1) -> tuple[list[Level], DataFrame]:
-    """The levels from order 1 on (between the first and the last the n-grams are deleted) of a model per group from ``unit_grams``, and grp, letters: its distinct tokens and one.
+    """The levels from order 1 on (between the first and the last the n-grams are deleted) of a model per group, and grp, letters: its distinct tokens and one.
+
+    ``grams`` is of ``unit_grams``, or of ``merged_grams``, where each n-gram is one row with its count c.
 
     p is the interpolated probability of the last token after the others. Lower orders count the distinct tokens before an
     n-gram; start marks count like any token. Every n-gram is kept, so the back-off weights leave each context's sum at one.
     """
     spark = grams.sparkSession
     part = lambda first, tokens: F.substring("gram", first * width + 1, tokens * width)
-    tables = {order: saved(grams.groupBy("grp", "gram").agg(F.sum("n").alias("c"), F.first("hash").alias("hash")), "grams")}
+    if "c" not in grams.columns:
+        grams = grams.groupBy("grp", "gram").agg(F.sum("n").alias("c"), F.first("hash").alias("hash"))
+    tables = {order: saved(grams, "grams")}
     paths = {order: last_saved()}
     for k in range(order - 1, 0, -1):
         longer = tables[k + 1].select("grp", F.substring("gram", width + 1, width * k).alias("gram"))

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofline.llm.common import saved
-from proofline.llm.ngrams import HashArray, by_group, characters, kneser_ney, losses, unit_grams, with_units
+from proofline.llm.common import forget, last_saved, saved
+from proofline.llm.ngrams import (
+    WIDE_UNIT_BYTES, by_group, characters, kneser_ney, losses, merged_grams, packed, packed_grams, packed_values, part_count,
+    unit_count, unit_values, unpacked, with_units,
+)
 
 ORDER = 5
 LEAST_WORDS = 50
@@ -57,18 +60,19 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(SYMBOLS.findall(text)), again, repeated
 
 
-def scored(docs: DataFrame, values: DataFrame, order: int, text_col: str) -> DataFrame:
-    """``docs``, with columns grp and unit, all columns kept; adds the base counts and the mean loss a character (null without any).
+def scored(docs: DataFrame, values: DataFrame, order: int, text_col: str, carried: list[str]) -> DataFrame:
+    """``docs``, with columns grp and unit; keeps grp and the carried columns, adds the base counts and the mean loss a character (null without any).
 
-    ``values``: unit, hash, value: the log probabilities of the n-grams in the unit's texts.
+    ``values``: of ``packed_values``, the log probabilities of the n-grams in the unit's texts.
     """
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
-        table = HashArray(found["hash"].to_numpy().view(np.uint64), found["value"].to_numpy())
+        texts_of = lambda batch: pa.RecordBatch.from_arrays([batch.column("grp"), batch.column(text_col)], ["grp", "text"])
+        table = unit_values(map(texts_of, unpacked(own)), found, order, characters)
         out = []
-        for batch in own.combine_chunks().to_batches():
+        for batch in unpacked(own):
             n, loss, text = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), batch.column(text_col)
-            for group, rows, texts in by_group(pa.RecordBatch.from_arrays([batch.column("grp"), text], ["grp", "text"])):
+            for group, rows, texts in by_group(texts_of(batch)):
                 size, ids, names = characters(texts)
                 n[rows] = size
                 (loss[rows],) = losses(size, ids, names, order, group, table)
@@ -77,10 +81,10 @@ def scored(docs: DataFrame, values: DataFrame, order: int, text_col: str) -> Dat
             out.append(pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *ADDED]).select(names_out))
         return pa.Table.from_batches(out) if out else pa.table({})
 
-    kept = [f for f in docs.schema.fields if f.name not in ("unit", text_col)]
+    kept = [f for f in docs.schema.fields if f.name in ("grp", *carried)]
     added = T.StructType([T.StructField(c, T.LongType() if c in NAMES else T.DoubleType()) for c in ADDED])
     names_out = [*[f.name for f in kept], *ADDED]
-    return docs.groupBy("unit").cogroup(values.groupBy("unit")).applyInArrow(score, T.StructType([*kept, *added.fields]))
+    return packed(docs).groupBy("unit").cogroup(values.groupBy("unit")).applyInArrow(score, T.StructType([*kept, *added.fields]))
 
 
 def bands(rows: DataFrame, band: float = BAND) -> DataFrame:
@@ -102,17 +106,23 @@ def bands(rows: DataFrame, band: float = BAND) -> DataFrame:
 def _judged(docs: DataFrame, text_col: str, lang_col: str, order: int, band: float, carry: list[str]) -> DataFrame:
     """The carried columns in a struct ``doc``, the added ones and kept; written once before the bands are known."""
     grp = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
-    text = F.col(f"`{text_col}`")
-    # The carried columns travel as c0, c1, ..., so their names cannot clash with the added ones.
-    moved = docs.select(grp.alias("grp"), text.alias("own_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
-    moved = with_units(moved, "own_text")
-    grams = unit_grams(moved.withColumnRenamed("own_text", "text"), order, characters)
-    levels, _ = kneser_ney(grams, order)
-    values = grams.select("unit", "hash").join(levels[-1].grams.select("hash", F.log("p").alias("value")), "hash")
-    judged = scored(moved, values, order, "own_text").withColumn(
+    # The carried columns travel as c0, c1, ..., so their names cannot clash with the added ones. A carried text travels once.
+    carried = [f"c{k}" for k in range(len(carry))]
+    text = f"c{carry.index(text_col)}" if text_col in carry else "own_text"
+    moved = docs.select(grp.alias("grp"), *[F.col(f"`{text_col}`").alias(c) for c in [text] if c not in carried], *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, carried)])
+    units = unit_count(moved, text, WIDE_UNIT_BYTES)
+    moved, parts = with_units(moved, text, units), part_count(units)
+    grams = packed_grams(packed(moved.select("unit", "grp", F.col(text).alias("text"))), order, characters, parts)
+    used = last_saved()
+    levels, _ = kneser_ney(merged_grams(grams, order), order)
+    values = packed_values(grams, levels[-1].grams.select("hash", F.log("p").alias("value")), order, parts)
+    forget(docs.sparkSession, used)
+    used = last_saved()
+    judged = scored(moved, values, order, text, carried).withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
     judged = saved(judged, "scored")
+    forget(docs.sparkSession, used)
     limits = saved(bands(judged, band), "bands")
     if limits.count() <= MOST_BROADCAST:
         limits = F.broadcast(limits)

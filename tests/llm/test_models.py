@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from proofline.llm import ngrams, quality
 from proofline.llm.common import of_ids
 from proofline.llm.crossentropy import cross_entropy_difference
 from proofline.llm.quality import quality_verdicts
@@ -148,3 +149,63 @@ def test_character_model_of_a_small_language_beside_a_large_one(spark):
     assert alone.keys() == beside.keys() and all(beside[k] == pytest.approx(alone[k], rel=1e-9) for k in alone)
     # A language of symbols only has a model of its own, which knows its texts.
     assert all(0 < alone[100 + k] < math.log(100) for k in range(20)) and len({alone[100 + k] for k in range(20)}) == 20
+
+
+def character_model(texts, order):
+    """Interpolated modified Kneser-Ney over all orders, character by character; returns the mean loss of a text."""
+    counts = {order: Counter(t[i : i + order] for t in ("\2" * (order - 1) + t for t in texts) for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    taken = {k: discounts(c.values()) for k, c in counts.items()}
+    total, freed = Counter(), Counter()
+    for k, found in counts.items():
+        for g, c in found.items():
+            total[k, g[:-1]] += c
+            freed[k, g[:-1]] += taken[k][min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, c = len(g), counts[len(g)][g]
+        return (c - taken[k][min(c, 3) - 1] + freed[k, g[:-1]] * p(g[1:])) / total[k, g[:-1]]
+
+    def mean_loss(text):
+        line = "\2" * (order - 1) + text
+        return sum(-math.log(p(line[i : i + order])) for i in range(len(text))) / len(text)
+
+    return mean_loss
+
+
+def prose(rng, words, n):
+    return "\n".join(" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(n))
+
+
+@pytest.mark.parametrize("unit_bytes", [2_000, 1 << 25])
+def test_character_losses_against_a_plain_model(spark, monkeypatch, unit_bytes):
+    """Whatever the units and parts are, the losses are those of the whole tables of n-grams."""
+    monkeypatch.setattr(quality, "WIDE_UNIT_BYTES", unit_bytes, raising=False)
+    monkeypatch.setattr(ngrams, "PENDING", 300, raising=False)
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdeé𝛼 |", k=rng.randrange(1, 7))) for _ in range(80)]
+    rows = [(k, prose(rng, words, rng.randrange(1, 9)), ("en", "de", None)[k % 3]) for k in range(60)]
+    rows += [(60, None, "en"), (61, "", "xx"), (62, "\n \n", "de"), rows[5], rows[5]]
+    got = sorted(((r.doc_id, r.loss) for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()), key=str)
+    models = {g: character_model([t.replace("\n", " ") for _, t, lang in rows if lang == g and t], 5) for g in ("en", "de", None)}
+    want = sorted(((d, models[lang](t.replace("\n", " ")) if t else None) for d, t, lang in rows), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for (_, g), (_, w) in zip(got, want):
+        assert g == (None if w is None else pytest.approx(w, rel=1e-9))
+
+
+def test_quality_rules_shuffle_less_than_their_texts(spark, monkeypatch):
+    """Texts and n-grams travel packed: what is shuffled in all, each text twice, stays under twice the size of the texts."""
+    monkeypatch.setattr(quality, "WIDE_UNIT_BYTES", 2 << 20, raising=False)
+    monkeypatch.setattr(ngrams, "UNIT_BYTES", 2 << 20)
+    rng = random.Random(22)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randrange(2, 9))) for _ in range(3000)]
+    rows = [(k, prose(rng, words, 50), "en") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).localCheckpoint()
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    assert quality_verdicts(docs).where("loss > 0").count() == len(rows)
+    assert written() - before < 2 * sum(len(r[1]) for r in rows)
