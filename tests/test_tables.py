@@ -163,6 +163,21 @@ def test_training_finds_a_separating_feature(spark):
     assert weights == {1: pytest.approx(2.0), -1: pytest.approx(200 / 300)}
 
 
+def test_rows_that_keep_their_nodes_give_the_same_forest(spark):
+    rows = spark.range(400).select(
+        F.when(F.xxhash64("id") % 3 == 0, 1).otherwise(-1).alias("actual_value"), (F.xxhash64("id", F.lit(1)) % 50).cast("double").alias("a"),
+        F.sin(F.col("id").cast("double")).alias("b"),
+    )
+    rows = training.with_class_weight(rows.repartition(3, "b")).localCheckpoint()
+    pipeline = training.forest({"a": 0.0, "b": 0.0}, trees=6, leaf=1, seed=3)
+    classifier = pipeline.getStages()[-1]
+    assert classifier.getCacheNodeIds()
+    trees = lambda: [t.toDebugString.split("\n", 1)[1] for t in pipeline.fit(rows).stages[-1].trees]
+    kept = trees()
+    classifier.setCacheNodeIds(False)
+    assert kept == trees() and max(map(len, kept)) > 1000
+
+
 def files_of(table):
     return {str(f.relative_to(table.path)) for f in Path(table.path).rglob("*.parquet")}
 
