@@ -121,7 +121,7 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, order: int, band: flo
     judged = scored(moved, values, order, text, carried).withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
-    judged = saved(judged, "scored")
+    judged = saved(judged, "scored", "zstd")
     forget(docs.sparkSession, used)
     limits = saved(bands(judged, band), "bands")
     if limits.count() <= MOST_BROADCAST:

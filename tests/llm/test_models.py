@@ -10,7 +10,7 @@ import pytest
 from proofline.llm import ngrams, quality
 from proofline.llm.common import of_ids
 from proofline.llm.crossentropy import cross_entropy_difference
-from proofline.llm.quality import quality_verdicts
+from proofline.llm.quality import kept_documents, quality_verdicts
 
 DOCS = "doc_id long, text string, words string"
 
@@ -197,7 +197,8 @@ def test_character_losses_against_a_plain_model(spark, monkeypatch, unit_bytes):
         assert g == (None if w is None else pytest.approx(w, rel=1e-9))
 
 
-def test_quality_rules_shuffle_less_than_their_texts(spark, monkeypatch):
+@pytest.mark.parametrize("rules", [quality_verdicts, kept_documents])
+def test_quality_rules_shuffle_less_than_their_texts(spark, monkeypatch, rules):
     """Texts and n-grams travel packed: what is shuffled in all, each text twice, stays under twice the size of the texts."""
     monkeypatch.setattr(quality, "WIDE_UNIT_BYTES", 2 << 20, raising=False)
     monkeypatch.setattr(ngrams, "UNIT_BYTES", 2 << 20)
@@ -207,5 +208,5 @@ def test_quality_rules_shuffle_less_than_their_texts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).localCheckpoint()
     written = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
     before = written()
-    assert quality_verdicts(docs).where("loss > 0").count() == len(rows)
+    assert rules(docs).count() == len(rows)
     assert written() - before < 2 * sum(len(r[1]) for r in rows)
