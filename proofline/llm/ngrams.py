@@ -32,7 +32,7 @@ CHUNK_BYTES = 3 << 20  # of text at once: the arrays of a chunk take about forty
 UNIT_BYTES = 8 << 20  # of text in a unit
 WIDE_UNIT_BYTES = 32 << 20  # of text in a packed unit
 UNITS_A_PART = 4  # a part has about as many n-grams as so many units
-BLOCK_BYTES = 64 << 20  # of rows that are packed at once
+BLOCK_BYTES = 32 << 20  # of rows that are packed at once
 PENDING = 1_000_000  # n-grams of chunks, merged when there are more
 MOST_BROADCAST = 10_000  # groups whose totals may be broadcast
 WORD_CODES = 3  # code points of a word, 20 bits of its hash each
