@@ -3,7 +3,7 @@
 A line is the set of its words. Two lines match at Jaccard similarity 0.8 or more; a line is removed if any line before it
 (by document id, then line number) matches it. Method: words are ordered by rarity; if two sets of sizes m and n match, they
 share at least a = ceil(t / (1 + t) * (m + n)) words, so the first word they share is, in both, among the first
-size - a + 1. Only those prefixes are joined, under the length filter, the positional filter, and a filter on 64-bit
+size - a + 1. Only those prefixes are joined, under the length filter, the positional filter, and a filter on 128-bit
 signatures (each word turns one bit over, so the differing bits are at most the differing words, however long the lines are).
 What is left is verified on the words.
 
@@ -14,6 +14,8 @@ any order gives exact results, a rare one only gives short candidate lists.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ from proofline.llm.common import forget, last_saved, saved
 
 SIMILARITY = (4, 5)  # as a fraction, so that all limits are whole numbers
 BUCKET_BITS = 18
+KEY_WORDS = 8  # rarest words of a set; two neighbours of them lead to its likely match
+SETTLED = 1 << 31  # a bit above every place in a line
+HALVES = ["low", "high"]
+PARTS = [f"p{i}" for i in range(4)]
 MARKS = 7 << BUCKET_BITS  # lines are marked in a bitmap of this fixed size, seven to a byte
 
 
@@ -38,9 +44,27 @@ def _bit(word: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
 
-def _entry(table: bytes, place: Column) -> Column:
-    """The number, under 128, of a fixed table; the array is folded into one literal, so a look-up is one access."""
-    return F.get(F.split(F.lit(" ".join(map(str, table))), " ").cast("array<int>"), place.cast("int"))
+def _signature(i: int, parts: int) -> Column:
+    """64 bits, part i of the signature of the set ``words`` in so many parts (a power of two): each word turns one bit of one part over."""
+    turned = lambda w: F.when(F.shiftright(w, 6).bitwiseAND(F.lit(parts - 1)) == i, _bit(w)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(turned(w)))
+
+
+def _distance(parts: list[str]) -> Column:
+    return sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parts), F.lit(0))
+
+
+def _table(rows: DataFrame, key: str, value: str) -> Column:
+    """The numbers, under 128, of a table of 2^BUCKET_BITS places as one array; places without a row are 0.
+
+    A scalar subquery: the array travels with the tasks, and no plan holds it as text.
+    """
+    places = rows.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("place"), F.lit(0).cast("tinyint").alias("v"))
+    full = rows.select(F.col(key).cast("long").alias("place"), F.col(value).cast("tinyint").alias("v")).unionByName(places)
+    full = full.groupBy("place").agg(F.max("v").alias("v"))
+    in_order = lambda x, y: F.transform(F.array_sort(F.collect_list(F.struct(x, y))), lambda e: e[y])
+    pieces = full.groupBy(F.shiftright("place", 10).alias("piece")).agg(in_order("place", "v").alias("vs"))
+    return pieces.agg(F.flatten(in_order("piece", "vs"))).scalar()
 
 
 def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,51 +88,80 @@ def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def _rarity(lines: DataFrame) -> bytes:
+def _rarity(lines: DataFrame) -> Column:
     """For each hash bucket how often its words are in a line, as a logarithm; 0: at most once. A table of fixed size."""
     counts = lines.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    table = bytearray(1 << BUCKET_BITS)
-    for bucket, level in counts.select("bucket", F.least(F.lit(62), F.ceil(F.log2("n") * 2)).cast("int")).collect():
-        table[bucket] = level
-    return bytes(table)
+    return _table(counts.select("bucket", F.least(F.lit(62), F.ceil(F.log2("n") * 2)).alias("level")), "bucket", "level")
 
 
-def _prefixes(lines: DataFrame, table: bytes) -> DataFrame:
-    """Each distinct set once, as its first line, with a row for each word of its prefix that is in another line too."""
+def _prefix_size(n: Column) -> Column:
     p, q = SIMILARITY
+    return (n - F.floor((n * p + (q - 1)) / F.lit(q)) + 1).cast("int")
+
+
+def _distinct_sets(lines: DataFrame) -> DataFrame:
+    """Each distinct set once, as its first line, with its rarest words: those of its prefix, and at least KEY_WORDS."""
     n = F.size("words")
-    key = lambda w: F.shiftleft(_entry(table, _bucket(w)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(w, 7))
-    first = F.slice(F.sort_array(F.transform("words", key)), F.lit(1), (n - F.floor((n * p + (q - 1)) / F.lit(q)) + 1).cast("int"))
-    each = lines.select(
-        "s1", "s2", F.struct("doc_id", "line_no", "uid").alias("place"), n.alias("n"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(_bit(w))).alias("signature"), first.alias("prefix"),
+    key = lambda w, levels: F.shiftleft(F.get(levels, _bucket(w).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(w, 7))
+    # Subqueries may not stand in a higher-order function, so the table comes as a column; it is used once, and no row holds it.
+    keys = F.transform(F.array("levels"), lambda levels: F.transform("words", lambda w: key(w, levels)))[0]
+    each = lines.withColumn("levels", _rarity(lines)).select(
+        "s1", "s2", F.struct("doc_id", "line_no", "uid", "doc_hash").alias("place"), n.alias("n"),
+        *[_signature(i, len(HALVES)).alias(c) for i, c in enumerate(HALVES)],
+        F.slice(F.sort_array(keys), F.lit(1), F.greatest(_prefix_size(n), F.lit(KEY_WORDS))).alias("rarest"),
     )
     distinct = each.groupBy("s1", "s2").agg(
-        F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "signature", "prefix")]
-    )
-    distinct = saved(distinct.select("place.*", "n", "signature", "prefix"), "line-prefixes", "zstd")
-    return distinct.select("doc_id", "line_no", "uid", "n", "signature", F.posexplode("prefix").alias("i", "word")).where(
-        F.shiftrightunsigned("word", 57) > 0
+        F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", *HALVES, "rarest")]
     )
+    return saved(distinct.select("s1", "s2", "place.*", "n", *HALVES, "rarest"), "line-prefixes", "zstd")
+
+
+def _in_other_lines(word: Column) -> Column:
+    return F.shiftrightunsigned(word, 57) > 0
+
+
+def _prefixes(distinct: DataFrame) -> DataFrame:
+    """A row for each word of a set's prefix that is in another line too; of ``distinct`` with the flag settled.
+
+    Words are 32 bits here: words that fall together only make a candidate more.
+    """
+    n = F.col("n")
+    each = distinct.select(
+        "doc_id", "line_no", "uid", "n", *HALVES, "settled", F.posexplode(F.slice("rarest", F.lit(1), _prefix_size(n))).alias("i", "word")
+    ).where(_in_other_lines(F.col("word")))
+    sizes = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.col("i").cast("long")).bitwiseOR(F.when(F.col("settled"), F.lit(SETTLED)).otherwise(F.lit(0)).cast("long"))
+    return each.select(F.hash("word").alias("word"), "doc_id", "line_no", "uid", *HALVES, sizes.alias("sizes"))
+
+
+def _likely(distinct: DataFrame) -> DataFrame:
+    """(b, a): for each set the first set that has two neighbours of its KEY_WORDS rarest words, without those no other has, as neighbours too, a before b.
+
+    One row at most for each pair of those words, so the size of a group of near copies does not matter.
+    """
+    rare = distinct.select(F.struct("doc_id", "line_no", "uid").alias("place"), F.filter("rarest", _in_other_lines).alias("rare"))
+    two = lambda i, j: F.when(F.size("rare") > j, F.xxhash64(F.col("rare")[i], F.col("rare")[j]))
+    keys = F.array_compact(F.array(*[two(i, j) for i, j in pairwise(range(KEY_WORDS))]))
+    keyed = rare.select("place.*", F.explode(keys).alias("key"))
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key")
+    keyed = saved(keyed.join(common, "key").select("key", F.struct("doc_id", "line_no", "uid").alias("place")), "line-keys")
+    firsts = keyed.groupBy("key").agg(F.min("place").alias("first"))
+    found = keyed.join(firsts, "key").where("place.uid <> first.uid")
+    return found.select(F.col("place.uid").alias("b"), F.col("first.uid").alias("a")).distinct()
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
-    """(b, a, distance): first lines b and a of sets that may match, a before b, with the distance of their signatures."""
-    a, b = (
-        prefixes.select(
-            F.col("word").alias(f"{side}_word"), *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "uid", "signature")],
-            F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias(f"{side}_sizes"),
-            F.col("line_no").alias(f"{side}_line_no"),
-        )
-        for side in "ab"
-    )
+    """(b, a, distance): first lines b, not settled, and a of sets that may match, a before b, with the distance of their signatures.
+
+    Both sides are the same rows, so they are shuffled once; a settled b fails the positional filter.
+    """
+    a, b = (prefixes.select(*[F.col(c).alias(f"{side}_{c}") for c in prefixes.columns]) for side in "ab")
     p, q = SIMILARITY
-    (m, i), (n, j) = ((F.shiftright(f"{s}_sizes", 32), F.col(f"{s}_sizes").bitwiseAND(F.lit(0xFFFFFFFF))) for s in "ab")
+    (m, i), (n, j) = ((F.shiftright(f"{s}_sizes", 32), F.col(f"{s}_sizes").bitwiseAND(F.lit(mask))) for s, mask in (("a", SETTLED - 1), ("b", 2 * SETTLED - 1)))
     shared = _least_shared(m, n)
     before = F.struct(F.col("a_doc_id").alias("x"), F.col("a_line_no").alias("y"), F.col("a_uid").alias("z")) < F.struct(
         F.col("b_doc_id").alias("x"), F.col("b_line_no").alias("y"), F.col("b_uid").alias("z")
     )
-    distance = F.bit_count(F.col("a_signature").bitwiseXOR(F.col("b_signature")))
+    distance = _distance(HALVES)
     pairs = a.join(
         b,
         (F.col("a_word") == F.col("b_word")) & (m * q >= n * p) & (n * q >= m * p) & (distance <= m + n - shared * 2)
@@ -118,7 +171,7 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
 
 
 def _asked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines that ``pairs`` name, and few others.
+    """The lines that ``pairs`` name, and few others, with signatures of 256 bits in four parts.
 
     A bitmap of fixed size by hash of the line leaves most other lines unread by the joins that follow; where there are so many
     pairs that it is full, all lines go in.
@@ -126,65 +179,74 @@ def _asked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     mark = lambda uid: F.pmod(F.xxhash64(uid), F.lit(MARKS))
     place, bit = F.floor(F.col("mark") / 7).cast("int"), F.expr("shiftleft(1, cast(mark % 7 as int))")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).select(mark("uid").alias("mark"))
-    marks = bytearray(1 << BUCKET_BITS)
-    for i, bits in asked.groupBy(place.alias("i")).agg(F.bit_or(bit).alias("bits")).collect():
-        marks[i] = bits
-    marked = lines.select("uid", "words", mark("uid").alias("mark"))
-    return marked.where(_entry(bytes(marks), place).bitwiseAND(bit) != 0).select("uid", "words")
-
+    marks = _table(asked.groupBy(place.alias("i")).agg(F.bit_or(bit).alias("bits")), "i", "bits")
 
-def _close(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs that signatures of 256 bits allow, with that distance; long lines often pass the 64 bits of the join by chance."""
+    marked = lines.select("uid", "doc_id", "line_no", "words", mark("uid").alias("mark"))
+    marked = marked.where(F.get(marks, place).cast("int").bitwiseAND(bit) != 0)
+    return saved(
+        marked.select("uid", F.struct("doc_id", "line_no", "uid").alias("place"), F.size("words").alias("n"), *[_signature(i, len(PARTS)).alias(c) for i, c in enumerate(PARTS)], "words"),
+        "line-asked", "zstd",
+    )
 
-    def part(i):
-        turned = lambda w: F.when(F.shiftright(w, 6).bitwiseAND(F.lit(3)) == i, _bit(w)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(turned(w)))
 
-    parts = [f"p{i}" for i in range(4)]
-    sketches = _asked(pairs, lines).select("uid", F.size("words").alias("n"), *[part(i).alias(c) for i, c in enumerate(parts)])
+def _close(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs, a before b, that signatures of 256 bits allow, with that distance; the longest lines pass the 128 bits of the join by chance."""
     joined = pairs.select("a", "b")
     for side in "ab":
-        joined = joined.join(sketches.select(F.col("uid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *parts)]), side)
+        joined = joined.join(asked.select(F.col("uid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("place", "n", *PARTS)]), side)
     m, n = F.col("a_n"), F.col("b_n")
-    distance = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parts), F.lit(0))
+    distance = _distance(PARTS)
     allowed = m + n - _least_shared(m, n) * 2
-    return joined.select("a", "b", distance.alias("distance"), allowed.alias("allowed")).where("distance <= allowed").drop("allowed")
+    close = joined.where("a_place < b_place").select("a", "b", distance.alias("distance"), allowed.alias("allowed"))
+    return saved(close.where("distance <= allowed").drop("allowed"), "line-pairs-close")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """The lines b that match their a on the words."""
-    words = _asked(pairs, lines)
-    with_a = pairs.select("a", "b").join(words.select(F.col("uid").alias("a"), F.col("words").alias("wa")), "a")
-    with_b = with_a.join(words.select(F.col("uid").alias("b"), F.col("words").alias("wb")), "b")
+    with_a = pairs.select("a", "b").join(asked.select(F.col("uid").alias("a"), F.col("words").alias("wa")), "a")
+    with_b = with_a.join(asked.select(F.col("uid").alias("b"), F.col("words").alias("wb")), "b")
     p, q = SIMILARITY
     both = F.size(F.array_intersect("wa", "wb"))
     return saved(with_b.where(both * q >= (F.size("wa") + F.size("wb") - both) * p).select("b").distinct(), "line-matches")
 
 
-def _repeated_sets(lines: DataFrame) -> DataFrame:
-    """First lines b whose set matches a set at an earlier place.
+def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines b that match one of their a.
 
     One earlier match is enough, so each set is first verified against its most likely one; only sets that fail there are
     verified against all their candidates.
     """
-    prefixes = _prefixes(lines, _rarity(lines))
-    used = last_saved()
-    pairs = saved(_candidates(prefixes), "line-pairs")
-    forget(lines.sparkSession, used)
-    pairs = saved(_close(pairs, lines), "line-pairs-close")
+    asked = _asked(pairs, lines)
+    path = last_saved()
+    pairs = _close(pairs, asked)
     best = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best"))
-    sure = _verified(best.select("b", "best.a"), lines)
+    sure = _verified(best.select("b", "best.a"), asked)
     rest = saved(pairs.join(sure, "b", "left_anti"), "line-pairs-left")
-    return sure.unionByName(_verified(rest, lines))
+    found = sure.unionByName(_verified(rest, asked))
+    forget(lines.sparkSession, path)
+    return found
+
+
+def _repeated_sets(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """First lines b whose set matches a set at an earlier place.
+
+    Sets that match the first of those with two neighbours of their rarest words, as the members of a group of near copies do, need no more;
+    the others are joined to all earlier sets that may match.
+    """
+    early = _matching(saved(_likely(distinct), "line-pairs-likely"), lines)
+    settled = distinct.join(early.select(F.col("b").alias("uid"), F.lit(True).alias("settled")), "uid", "left")
+    settled = settled.withColumn("settled", F.coalesce("settled", F.lit(False)))
+    pairs = saved(_candidates(_prefixes(settled)), "line-pairs")
+    return early.unionByName(_matching(pairs, lines))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """doc_id, doc_hash, line_no, chars of every line that matches an earlier one."""
     lines = word_sets(docs, id_col, text_col) if lines is None else lines
-    sets = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "uid", "doc_hash")).alias("place"))
-    sets = sets.select("s1", "s2", "place", F.col("place.uid").alias("first"))
-    matched = _repeated_sets(lines).select(F.col("b").alias("first"), F.lit(True).alias("matched"))
-    sets = saved(sets.join(matched, "first", "left"), "line-firsts")
+    distinct = _distinct_sets(lines)
+    matched = _repeated_sets(distinct, lines).select(F.col("b").alias("first"), F.lit(True).alias("matched"))
+    place = F.struct("doc_id", "line_no", "doc_hash")
+    sets = saved(distinct.select("s1", "s2", place.alias("place"), F.col("uid").alias("first")).join(matched, "first", "left"), "line-firsts")
     same = F.col("place.doc_id").eqNullSafe(F.col("doc_id"))
     for column in ("line_no", "doc_hash"):  # rows of equal id and text share their lines' places
         same = same & (F.col(f"place.{column}") == F.col(column))

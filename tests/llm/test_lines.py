@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from proofline.llm import lines
 from proofline.llm.lines import dedup_lines, line_report
 
 
@@ -59,3 +60,24 @@ def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 5, "x", 1.5), (2, "a b c d e\nz", 6, "y", 2.5)], "doc_id long, text string, _gone long, _gone_id string, `_GONE_hash` double")
     assert sorted(map(tuple, dedup_lines(docs).collect())) == [(1, "a b c d e", 5, "x", 1.5), (2, "z", 6, "y", 2.5)]
     assert dedup_lines(docs).columns == docs.columns
+
+
+def test_a_group_of_near_copies_makes_few_pairs_and_short_plans(spark, monkeypatch):
+    """Candidates grow with the group, not with its square, and no plan holds a table as text."""
+    pairs, plans = {}, []
+    kept = lines.saved
+
+    def saved(df, name, *more):
+        plans.append(len(df._jdf.queryExecution().toString()))
+        out = kept(df, name, *more)
+        if name in ("line-pairs-likely", "line-pairs"):
+            pairs[name] = pairs.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "saved", saved)
+    common = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join([*common, f"own{k % 40}"])) for k in range(300)] + [(300 + k, f"own{k} own{k + 1}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in dedup_lines(docs).collect() if r.text}
+    assert got == {0, *range(300, 340)} and 0 < sum(pairs.values()) < 200  # the group has 40 sets, 780 pairs of them
+    assert max(plans) < 200_000
