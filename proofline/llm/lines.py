@@ -24,6 +24,7 @@ from proofline.llm.common import forget, last_saved, saved
 SIMILARITY = (4, 5)  # as a fraction, so that all limits are whole numbers
 BUCKET_BITS = 18
 KEY_WORDS = 8  # rarest words of a set; two neighbours of them lead to its likely match
+MOST_BROADCAST = 2_000_000  # settled sets, 8 bytes each; more are joined by shuffle
 SETTLED = 1 << 31  # a bit above every place in a line
 HALVES = ["low", "high"]
 PARTS = [f"p{i}" for i in range(4)]
@@ -234,7 +235,8 @@ def _repeated_sets(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     the others are joined to all earlier sets that may match.
     """
     early = _matching(saved(_likely(distinct), "line-pairs-likely"), lines)
-    settled = distinct.join(early.select(F.col("b").alias("uid"), F.lit(True).alias("settled")), "uid", "left")
+    done = early.select(F.col("b").alias("uid"), F.lit(True).alias("settled"))
+    settled = distinct.join(F.broadcast(done) if early.count() <= MOST_BROADCAST else done, "uid", "left")
     settled = settled.withColumn("settled", F.coalesce("settled", F.lit(False)))
     pairs = saved(_candidates(_prefixes(settled)), "line-pairs")
     return early.unionByName(_matching(pairs, lines))
