@@ -7,15 +7,14 @@ texts. A document's score is the mean over its tokens of target loss minus backg
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import narrow, saved
-from proofline.llm.ngrams import WORD_CODES, HashArray, by_group, kneser_ney, losses, unit_grams, vocabulary, with_units, words
+from proofline.llm.common import narrow
+from proofline.llm.ngrams import vocabulary, words
+from proofline.llm.wordpairs import text_losses
 
 ORDER = 2
-TARGET, BACKGROUND = "target", "background"
 UNTRAINED = float(np.log(0x110000))
 
 
@@ -32,45 +31,11 @@ def cross_entropy_difference(
     """
     if order != ORDER or least_share:
         raise ValueError("models are of word pairs, and no pair is dropped")
-    rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("grp", F.lit(BACKGROUND))
+    rows = narrow(docs, doc_id=id_col, text=text_col)
     tokens = words(vocabulary(rows, word_share) if word_share else None)
-    rows = with_units(rows)
-    grams = unit_grams(rows, order, tokens)
-    aimed = with_units(narrow(target, text=text_col).withColumn("grp", F.lit(TARGET)).withColumn("place", F.monotonically_increasing_id()))
-    (singles, pairs), letters = kneser_ney(unit_grams(aimed, order, tokens), order, WORD_CODES)
-    own = kneser_ney(grams, order, WORD_CODES)[0][-1].grams
-    # Of every pair of the background its probability in the target: its own, or that of its second word by the pair's weight.
-    alone = singles.contexts.join(letters, "grp").select((F.col("back") / F.col("letters")).alias("alone"))  # one row, or none
-    aimed = (
-        own.select("hash", "gram", F.log("p").alias("background"), F.substring("gram", 1, WORD_CODES).alias("context"),
-                   F.substring("gram", WORD_CODES + 1, WORD_CODES).alias("word"))
-        .join(pairs.grams.select("gram", F.col("p").alias("pair")), "gram", "left")
-        .join(pairs.contexts.select("context", "back"), "context", "left")
-        .join(singles.grams.select(F.col("gram").alias("word"), F.col("p").alias("single")), "word", "left")
-        .join(F.broadcast(alone), how="left")
+    summed = text_losses(rows, narrow(target, text=text_col), tokens, UNTRAINED)
+    target_loss, background_loss = (F.try_divide(F.col(c), F.col("n_tokens")) for c in ("target", "background"))
+    return summed.select(
+        "doc_id", "n_tokens", target_loss.alias("target_loss"), background_loss.alias("background_loss"),
+        (target_loss - background_loss).alias("score"),
     )
-    backed = F.coalesce("back", F.lit(1.0)) * F.coalesce("single", "alone")
-    values = saved(
-        aimed.select("hash", "background", F.coalesce(F.log(F.coalesce("pair", backed)), F.lit(-UNTRAINED)).alias("target")), "pairs"
-    )
-    found = grams.select("unit", "hash").join(values, "hash")
-
-    def score(own: pa.Table, values: pa.Table) -> pa.Table:
-        table = HashArray(values["hash"].to_numpy().view(np.uint64), values["target"].to_numpy(), values["background"].to_numpy())
-        n, at_target, at_background = (np.zeros(own.num_rows, t) for t in (np.int64, float, float))
-        own = own.combine_chunks()
-        begin = 0
-        for batch in own.to_batches():
-            for group, at, texts in by_group(batch):
-                size, ids, names = tokens(texts)
-                n[begin + at] = size
-                at_target[begin + at], at_background[begin + at] = losses(size, ids, names, order, group, table)
-            begin += batch.num_rows
-        a, b = at_target / np.maximum(n, 1), at_background / np.maximum(n, 1)
-        return pa.table(
-            [own["doc_id"].cast(pa.int64()), pa.array(n), *(pa.array(x, mask=n == 0) for x in (a, b, a - b))],
-            ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-        )
-
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return rows.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(score, schema)

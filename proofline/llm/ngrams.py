@@ -1,15 +1,11 @@
 """Interpolated modified Kneser-Ney models of token n-grams, counted and kept in Spark tables. No n-gram is dropped.
 
-A token is a fixed number of Unicode code points: a character is one, a word three that hold a 60-bit hash. So an n-gram is a
-short string, and counts, suffixes and contexts are plain DataFrame group-bys over strings.
+A token is a character, so an n-gram is a short string, and counts, suffixes and contexts are plain DataFrame group-bys over strings.
 
-Texts are dealt into units of about ``UNIT_BYTES`` by a hash of their row. A unit's distinct n-grams are joined to the table of
-log probabilities by a 64-bit hash, and come back to the unit's texts: the memory of a task is that of a unit, whatever the
-number of n-grams.
-
-Where n-grams repeat much (characters), units are of ``WIDE_UNIT_BYTES`` and travel packed: the rows of a unit as compressed blocks,
-its n-grams as tokens in the order of their hash, cut into parts by ranges of the hash. A part of the model answers with the values
-alone, in the same order, and the unit finds its own n-grams again from its texts.
+Texts are dealt into units of ``WIDE_UNIT_BYTES`` by a hash of their row. The rows of a unit travel as compressed blocks, its
+n-grams as tokens in the order of their hash, cut into parts by ranges of the hash. A part of the model answers with the values
+alone, in the same order, and the unit finds its own n-grams again from its texts: the memory of a task is that of a unit,
+whatever the number of n-grams. Word pairs are counted in ``wordpairs.py``.
 """
 
 from __future__ import annotations
@@ -35,12 +31,12 @@ UNITS_A_PART = 4  # a part has about as many n-grams as so many units
 BLOCK_BYTES = 32 << 20  # of rows that are packed at once
 PENDING = 1_000_000  # n-grams of chunks, merged when there are more
 MOST_BROADCAST = 10_000  # groups whose totals may be broadcast
-WORD_CODES = 3  # code points of a word, 20 bits of its hash each
-WORD_BASE = 0x10000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 # (tokens of each text, all tokens as small numbers, the code points of each number or None if it is one itself)
 Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
+# (words of each text, all words as numbers, the 64-bit hash of each number's word)
+Words = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, None]:
@@ -51,14 +47,7 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, None]:
     return count, np.where(joined == 10, np.uint32(32), joined), None
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    """Of each word three code points from 0x10000 on, with 60 bits of its hash."""
-    digest = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    codes = [(digest >> np.uint64(20 * k)) & np.uint64(0xFFFFF) for k in range(WORD_CODES)]
-    return np.stack(codes, axis=1).astype(np.uint32) + np.uint32(WORD_BASE)
-
-
-def words(vocabulary: pa.Array | None = None) -> Tokens:
+def words(vocabulary: pa.Array | None = None) -> Words:
     """Tokens are the lower-cased words; with a vocabulary, all words outside it are one token."""
 
     def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,16 +57,13 @@ def words(vocabulary: pa.Array | None = None) -> Tokens:
         if vocabulary is not None:  # the empty word stands for the unknown ones
             names = pc.if_else(pc.is_in(names, value_set=vocabulary), names, pa.scalar("", names.type))
         size = cut.value_lengths().to_numpy().astype(np.int64)
-        ids = coded.indices.to_numpy().astype(np.uint32) + np.uint32(START + 1)
+        ids = coded.indices.to_numpy().astype(np.uint32)
         empty = pc.equal(pc.binary_length(plain(texts)), 0).to_numpy(zero_copy_only=False)
         blank = empty | (size == 1) & (pc.binary_length(pc.ascii_trim_whitespace(plain(texts))).to_numpy() == 0)
         if blank.any():
             ids = np.delete(ids, (np.cumsum(size) - size)[blank & (size > 0)])
             size = np.where(blank, 0, size)
-        table = np.full((len(names) + START + 1, WORD_CODES), START, np.uint32)
-        if len(names):
-            table[START + 1 :] = word_codes(names.to_pylist())
-        return size, ids, table
+        return size, ids, np.array([xxhash.xxh64_intdigest(w) for w in names.to_pylist()], np.uint64)
 
     return tokens
 
@@ -355,34 +341,6 @@ def unit_values(batches: Iterator[pa.RecordBatch], values: pa.Table, order: int,
     return HashArray(np.concatenate(list(found.values())), np.concatenate([answers[g] for g in found]))
 
 
-def unit_grams(rows: DataFrame, order: int, tokens: Tokens) -> DataFrame:
-    """unit, grp, gram, hash, n: the distinct n-grams of each unit's texts in each group, counted over the whole texts."""
-    names = ["unit", "grp", "gram", "hash", "n"]
-
-    def count(table: pa.Table) -> pa.Table:
-        parts: dict[str, list] = {}
-        for batch in table.combine_chunks().to_batches():
-            for group, _, texts in by_group(batch):
-                size, ids, codes = tokens(texts)
-                if len(ids):
-                    _, _, n, found = distinct_grams(size, ids, codes, order)
-                    parts.setdefault(group, []).append((hashed(found, seed(group)), found, n))
-        out = [pa.table([pa.array([], t) for t in kinds], names)]
-        for group, found in parts.items():
-            hashes, first, place = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate([f[2] for f in found])).astype(np.int64)
-            rows = np.concatenate([f[1] for f in found])[first]
-            order_of = np.lexsort(rows.T[::-1])  # neighbours share their beginning, which compresses well
-            grams, hashes, n = grams_of(rows[order_of]), hashes[order_of], n[order_of]
-            same = [pa.array([x] * len(grams), t) for x, t in ((table["unit"][0].as_py(), pa.int64()), (group, pa.string()))]
-            out.append(pa.table([*same, grams, pa.array(hashes.view(np.int64)), pa.array(n)], names))
-        return pa.concat_tables(out)
-
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    schema = "unit long, grp string, gram string, hash long, n long"
-    return saved(rows.select("unit", "grp", "text").groupBy("unit").applyInArrow(count, schema), "unit-grams", "zstd")
-
-
 def losses(size, ids, names, order: int, group: str, table: HashArray) -> list[np.ndarray]:
     """Sums of the token losses of each text, one for each value (a log probability) that the table has of an n-gram."""
     ends = np.cumsum(size)
@@ -423,22 +381,20 @@ class Level:
         self.grams, self.contexts = grams, contexts
 
 
-def kneser_ney(grams: DataFrame, order: int, width: int = 1) -> tuple[list[Level], DataFrame]:
+def kneser_ney(grams: DataFrame, order: int) -> tuple[list[Level], DataFrame]:
     """The levels from order 1 on (between the first and the last the n-grams are deleted) of a model per group, and grp, letters: its distinct tokens and one.
 
-    ``grams`` is of ``unit_grams``, or of ``merged_grams``, where each n-gram is one row with its count c.
+    ``grams`` is of ``merged_grams``: each n-gram is one row with its count c.
 
     p is the interpolated probability of the last token after the others. Lower orders count the distinct tokens before an
     n-gram; start marks count like any token. Every n-gram is kept, so the back-off weights leave each context's sum at one.
     """
     spark = grams.sparkSession
-    part = lambda first, tokens: F.substring("gram", first * width + 1, tokens * width)
-    if "c" not in grams.columns:
-        grams = grams.groupBy("grp", "gram").agg(F.sum("n").alias("c"), F.first("hash").alias("hash"))
+    part = lambda first, tokens: F.substring("gram", first + 1, tokens)
     tables = {order: saved(grams, "grams")}
     paths = {order: last_saved()}
     for k in range(order - 1, 0, -1):
-        longer = tables[k + 1].select("grp", F.substring("gram", width + 1, width * k).alias("gram"))
+        longer = tables[k + 1].select("grp", part(1, k).alias("gram"))
         tables[k] = saved(longer.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
         paths[k] = last_saved()
     letters = saved(tables[1].groupBy("grp").agg((F.count(F.lit(1)) + 1).cast("double").alias("letters")), "letters")
